@@ -82,18 +82,18 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     made = 0
     # adding a sequence with gap g changes the sum by 2 * counts[g] + 1, taking one away by 1 - 2 * counts[g]
     for k, n in enumerate(lengths.tolist()):
-        after = 2 * counts[: capacity - n] + 1
-        after[0] = 0  # a full sequence is no longer open
-        change = after + 1 - 2 * counts[n:capacity]
-        change[counts[n:capacity] == 0] = np.iinfo(np.int64).max
-        best = int(change.argmin()) if len(change) else -1
-        anew = 2 * counts[capacity - n] + 1 if n < capacity else 0
-        if best >= 0 and change[best] <= anew and counts[n + best]:
-            gap = n + best
+        best, gap = 2 * counts[capacity - n] + 1 if n < capacity else 0, capacity
+        if n < capacity:
+            now, after = counts[n:capacity], 2 * counts[: capacity - n] + 1
+            after[0] = 0  # a full sequence is no longer open
+            change = np.where(now > 0, after + 1 - 2 * now, np.iinfo(np.int64).max)
+            if change[at := int(change.argmin())] <= best:
+                gap = n + at
+        if gap == capacity:
+            s, made = made, made + 1
+        else:
             s = open_by_gap[gap].pop()
             counts[gap] -= 1
-        else:
-            gap, s, made = capacity, made, made + 1
         sequence[k], offset[k] = s, capacity - gap
         if gap > n:
             open_by_gap[gap - n].append(s)
