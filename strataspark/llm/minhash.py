@@ -27,16 +27,17 @@ from .components import connected_components
 
 #: Rounds of comparisons with one member of each component, before the remaining pairs are formed.
 STAR_ROUNDS = 2
-#: Of the minhashes of a pair, this share at least must agree before full sets are compared. At 0.85 and 72 hashes a
-#: smaller share has a probability below 1e-8.
-AGREE = 0.58
+#: Of the minhashes of a pair, a share of threshold - SLACK at least must agree before full sets are compared. At 0.85
+#: and 72 hashes a smaller share has a probability of about 1e-6.
+SLACK = 0.2
+_LOW7 = 0x007F7F7F7F7F7F7F
 
 
 class _WordHashes(dict):
     """64-bit hashes of words; emptied when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -71,6 +72,8 @@ def _signer(size: int, m: int, rows: int, seed: int):
     odd |= np.uint32(1)
     scale = (rng.integers(0, 1 << 63, rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
+    pad = -2 * m * rows % 7
+
     def signed(text: str | None):
         s = shingle_hashes(text, size)
         if not len(s):
@@ -81,23 +84,26 @@ def _signer(size: int, m: int, rows: int, seed: int):
             x = (h[None, at : at + 4096] ^ flip) * odd
             np.minimum(low, (x ^ (x >> np.uint32(15))).min(axis=1), out=low)
         bundles = _mixed((low.reshape(2 * m, rows).astype(np.uint64) * scale).sum(axis=1, dtype=np.uint64) + np.arange(2 * m, dtype=np.uint64))
-        return len(s), xxhash.xxh3_128_digest(s.tobytes()), bundles.view(np.int64), (low & np.uint32(255)).astype(np.uint8).tobytes()
+        sketch = np.zeros((len(low) + pad, 1), np.uint8)
+        sketch[: len(low), 0] = low & np.uint32(255)
+        sketch = np.pad(sketch.reshape(-1, 7), ((0, 0), (0, 1)))
+        return len(s), xxhash.xxh3_128_digest(s.tobytes()), bundles.view(np.int64), sketch.view("<i8").ravel()
 
     return signed
 
 
-_SIGNED = "id bigint, n_shingles bigint, class binary, bundles array<bigint>, sketch binary"
+_SIGNED = "id bigint, n_shingles bigint, class binary, bundles array<bigint>, sketch array<bigint>"
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, m: int = 12, rows: int = 3, seed: int = 7) -> DataFrame:
-    """One row a document: id, n_shingles, class (digest of its set), its 2 * m bundles, and a byte of each minhash."""
+    """One row a document: id, n_shingles, class (digest of its set), its 2 * m bundles, and a byte of each minhash, seven to a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = _signer(size, m, rows, seed)
         for batch in batches:
             if batch.num_rows:
                 n, classes, bundles, sketches = zip(*map(signed, batch.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bundles, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "class", "bundles", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bundles, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n_shingles", "class", "bundles", "sketch"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
@@ -113,20 +119,17 @@ def table_members(classes: DataFrame, m: int = 12) -> DataFrame:
     return keys.join(shared, "table")
 
 
-def _agreeing(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and sketches allow the threshold."""
-    s = sketches.select("id", "n_shingles", "sketch")
-    p = pairs.join(s.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-    p = p.join(s.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-    p = p.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array((x == y).mean(axis=1) >= AGREE)) for c in batch.columns[:2]], names=["a", "b"])
+def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
+    """SQL: whether the sizes and sketches of the structs x and y allow the threshold.
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    Bytes that agree are zero in the exclusive or; each leaves one bit of the expression that is counted.
+    """
+    n = 2 * m * rows
+    numbers = -(-n // 7)
+    differ = [f"(get({x}.sketch, {k}) ^ get({y}.sketch, {k}))" for k in range(numbers)]
+    equal = " + ".join(f"bit_count(~(((({d} & {_LOW7}) + {_LOW7}) | {d}) | {_LOW7}) & {0x0080808080808080})" for d in differ)
+    least = int((threshold / 100 - SLACK) * n) + (7 * numbers - n)
+    return f"100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) and {equal} >= {least}"
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
@@ -142,8 +145,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int = 5)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(same, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -173,18 +176,27 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = base.where("id is not null")
 
     links = None
-    label = reps.select("id", F.col("id").alias("c"))
+    alike = _alike("x", "y", m, rows, threshold)
+    brief = reps.select("id", F.struct(F.col("id"), F.col("n_shingles").alias("n"), "sketch").alias("x"))
+    label = None
     for k in range(STAR_ROUNDS + 1):
-        tagged = members.join(label, "id")
-        spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("c", "id")).alias("p"), F.max(F.struct("c", "id")).alias("q")).where("lo < hi")
+        tagged = members.withColumn("c", F.col("id")) if links is None else members.join(label, "id")
+        spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.struct("c", "id")).alias("p"), F.max_by("id", F.struct("c", "id")).alias("q")).where("lo < hi")
+        if links is not None:
+            # components only grow, so a table within one of them is done with
+            spread = stored(spread)
+            tagged = stored(tagged.join(spread.select("table"), "table"))
+            members = tagged.select("table", "id")
         if k < STAR_ROUNDS:
-            hub = F.col("p.id") if k % 2 == 0 else F.col("q.id")
-            pairs = tagged.join(spread.select("table", hub.alias("hub"), F.when(F.lit(k % 2 == 0), F.col("lo")).otherwise(F.col("hi")).alias("hc")), "table").where("c <> hc").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            # all members with the first member of the first, then of the last component
+            hub = spread.select("table", F.col("p" if k % 2 == 0 else "q").alias("hub"), F.col("lo" if k % 2 == 0 else "hi").alias("hc"))
+            pairs = tagged.join(hub, "table").where("c <> hc").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            pairs = pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike)
         else:
-            mixed = tagged.join(spread.select("table"), "table").join(reps.select("id", "n_shingles"), "id")
-            x, y = (mixed.select("table", F.col("id").alias(f"{n}"), F.col("c").alias(f"c{n}"), F.col("n_shingles").alias(f"n{n}")) for n in "ab")
-            pairs = x.join(y, "table").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b")
-        pairs = stored(_agreeing(pairs.distinct(), reps, threshold))
+            # all pairs of different components
+            mixed = tagged.join(brief, "id").select("table", "c", "x")
+            pairs = mixed.join(mixed.select("table", F.col("c").alias("d"), F.col("x").alias("y")), "table").where(f"x.id < y.id and c <> d and {alike}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        pairs = stored(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
             if k >= STAR_ROUNDS or spread.isEmpty():
                 break
