@@ -148,18 +148,22 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)] if len(word) > 2 else []
 
 
+SIGNALS = 4
+
+
 @dataclass
 class ToxicModel:
     chars: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
-    scale: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of the intercept, the highest weight, and the log of their sum
+    scale: tuple[float, ...] = (0.0,) * (SIGNALS + 1)  # of the intercept and the signals
 
-    def signals(self, words: list[str], known: dict[str, float]) -> tuple[float, float]:
-        found = [w for w in map(known.__getitem__, set(words)) if w]
-        return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
+    def signals(self, words: list[str], known: dict[str, float]) -> tuple[float, ...]:
+        """The highest weight, the logs of the sum of weights and of their number, and of their share of the words."""
+        found = [w for w in map(known.__getitem__, words) if w]
+        return (max(found), math.log1p(sum(found)), math.log1p(len(found)), math.log1p(100 * len(found) / len(words))) if found else (0.0,) * SIGNALS
 
-    def score(self, top, total):
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * top + self.scale[2] * total, -30, 30)))
+    def score(self, signals: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] + signals @ np.array(self.scale[1:]), -30, 30)))
 
 
 class _Weights(dict):
@@ -223,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     share = (na + 1) / (na + nb + 2)
-    model = ToxicModel(chars, {}, (math.log(share / (1 - share)), 0.0, 0.0))
+    model = ToxicModel(chars, {}, (math.log(share / (1 - share)), *(0.0,) * SIGNALS))
     if not na or not nb:
         return model
     toxic = {r["feature"]: r["n"] for r in _counted(sample.where("y = 1"), chars, None).where(f"n >= {MIN_TOXIC}").orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()}
@@ -239,15 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         restored, known = Restored(chars), _Weights(model.weights)
         for batch in batches:
             if batch.num_rows:
-                s = [model.signals(restored.words(t), known) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in s]), pa.array([x for _, x in s])], names=["y", "top", "total"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.signals(restored.words(t), known) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "s"])
 
-    rows = sample.select("y", "text").mapInArrow(signals, "y int, top double, total double").toPandas()
-    model.scale = _logistic(rows[["top", "total"]].to_numpy(), rows["y"].to_numpy(float))
+    rows = sample.select("y", "text").mapInArrow(signals, "y int, s array<double>").toPandas()
+    model.scale = _logistic(np.stack(rows["s"].to_list()), rows["y"].to_numpy(float))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Intercept and weights of a logistic model with a small L2 penalty, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -272,7 +275,7 @@ def scored(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
         for batch in batches:
             if batch.num_rows:
                 s = np.array([model.signals(restored.words(t), known) for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(s[:, 0], s[:, 1]))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(s))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
