@@ -180,9 +180,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     brief = reps.select("id", F.struct(F.col("id"), F.col("n_shingles").alias("n"), "sketch").alias("x"))
     label = None
     for k in range(STAR_ROUNDS + 1):
-        tagged = members.withColumn("c", F.col("id")) if links is None else members.join(label, "id")
+        tagged = members.withColumn("c", F.col("id")) if label is None else members.join(label, "id")
         spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.struct("c", "id")).alias("p"), F.max_by("id", F.struct("c", "id")).alias("q")).where("lo < hi")
-        if links is not None:
+        if label is not None:
             # components only grow, so a table within one of them is done with
             spread = stored(spread)
             tagged = stored(tagged.join(spread.select("table"), "table"))
@@ -208,7 +208,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comp = cut(connected_components(links))
         label = reps.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
     out = heads.withColumnRenamed("id", "class_id")
-    if links is None:
+    if label is None:
         out = out.withColumns({"n_links": F.lit(0).cast("bigint"), "component": F.col("class_id")})
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))

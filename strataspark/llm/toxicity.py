@@ -280,6 +280,19 @@ def scored(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
+def without_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is below threshold; one pass, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored, known = Restored(model.chars), _Weights(model.weights)
+        for batch in batches:
+            if batch.num_rows:
+                s = model.score(np.array([model.signals(restored.words(t), known) for t in batch.column(text_col).to_pylist()]))
+                yield batch.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from labels whose crc32 modulo 4 isn't 2."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
