@@ -9,7 +9,9 @@ similarity s meets in a table with probability (1 - (1 - s**rows)**m)**2; at 0.8
 Only table keys of two bundles that both repeat can repeat, so only those are formed. Documents with equal sets are
 one class from the start. Within a table, members are first compared with its smallest member; confirmed links are
 merged into components, and only pairs of members of different components are compared afterwards, so a large group
-of copies costs about one comparison a member. No pair that shares a table and could join two components is left out.
+of copies costs about one comparison a member. Of those, only pairs are formed that can be similar enough by the number
+of shingles that each has in common with any other member. No pair that shares a table and could join two components
+is left out.
 """
 
 from __future__ import annotations
@@ -119,6 +121,23 @@ def table_members(classes: DataFrame, m: int = 12) -> DataFrame:
     return keys.join(shared, "table")
 
 
+def common_shingles(docs: DataFrame, size: int = 5) -> DataFrame:
+    """id, common: how many shingles of each of docs(id, text) another of them has as well, or more where ids repeat.
+
+    An intersection is no larger than that, which rules out most pairs of copies that differ by edits of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                s = shingle_hashes(t, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i.as_py())), pa.array(s.view(np.int64))], names=["id", "shingle"])
+
+    own = stored(docs.select("id", "text").mapInArrow(run, "id bigint, shingle bigint"))
+    shared = own.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shingle")
+    return own.join(shared, "shingle").groupBy("id").agg(F.count("*").alias("common"))
+
+
 def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
     """SQL: whether the sizes and sketches of the structs x and y allow the threshold.
 
@@ -193,9 +212,11 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = tagged.join(hub, "table").where("c <> hc").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
             pairs = pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike)
         else:
-            # all pairs of different components
-            mixed = tagged.join(brief, "id").select("table", "c", "x")
-            pairs = mixed.join(mixed.select("table", F.col("c").alias("d"), F.col("x").alias("y")), "table").where(f"x.id < y.id and c <> d and {alike}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            # all pairs of different components, but for members that have too few shingles in common with any other
+            common = common_shingles(texts.join(tagged.select("id").distinct(), "id", "left_semi"), size)
+            mixed = tagged.join(brief.join(common, "id").where(f"100 * common >= {threshold} * x.n"), "id").select("table", "c", "x", "common")
+            bound = f"100 * least(common, other) >= {threshold} * (x.n + y.n - least(common, other))"
+            pairs = mixed.join(mixed.select("table", F.col("c").alias("d"), F.col("x").alias("y"), F.col("common").alias("other")), "table").where(f"x.id < y.id and c <> d and {bound} and {alike}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs = stored(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
             if k >= STAR_ROUNDS or spread.isEmpty():
