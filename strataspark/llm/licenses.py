@@ -75,7 +75,7 @@ _PATTERNS = tuple((k, re.compile(p)) for k, p in SENTENCES)
 #: A text without any of these has no known sentence.
 _HINTS = ("licen", "permission", "redistribut", "warrant", "liab", "free software", "mpl", "public domain", "advertising", "neither the name")
 _LEADERS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|\(\*)?[ \t]*")
-_ENDS = re.compile(r"(?<=[.!?:;])\s+(?=[A-Z(\d*-])|\n\s*\n")
+_ENDS = re.compile(r"(?<=[.!?;])\s+(?=[A-Z(\d*-])|(?<=:)\s+(?=[(\d*-])|\n\s*\n")
 
 
 def normalised(sentence: str) -> str:
