@@ -106,7 +106,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
     groups = max(1, round(pieces.count() / group))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        # pieces of half a sequence or more can't share one: they come first, longest first; the others in no order of length
+        small = pdf["length"].to_numpy() < capacity // 2
+        mixed = pd.util.hash_array((pdf["doc_id"].fillna(-1).to_numpy(np.int64) << 16) + pdf["piece"].to_numpy())
+        pdf = pdf.iloc[np.lexsort((mixed, np.where(small, 0, -pdf["length"].to_numpy()), small))].reset_index(drop=True)
         s, at = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf.drop(columns="grp").assign(sequence_id=(pdf["grp"].to_numpy().astype(np.int64) << 40) + s, offset=at)
 
