@@ -58,8 +58,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def segment_keys(forms: list[str], max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of form, key) for each key of each form of min_chars characters or more."""
+def segment_keys(forms: list[str], max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of form, key, whether it is one of the form's own segments) for each key of each form of min_chars or more."""
     text = "".join(forms).encode("utf-32-le", "surrogatepass")
     chars = np.frombuffer(text, "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, forms), np.int64, len(forms))
@@ -67,7 +67,7 @@ def segment_keys(forms: list[str], max_edits: int = MAX_EDITS, min_chars: int =
     power, inverse = _power_tables(len(chars))
     sums = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum((chars + np.uint64(1)) * power[: len(chars)], out=sums[1:])
-    owners, keys = [], []
+    owners, keys, segments = [], [], []
     parts = max_edits + 1
     for less in range(max_edits + 1):  # the partner is the segmented one and shorter by this
         short = lengths - less
@@ -83,8 +83,9 @@ def segment_keys(forms: list[str], max_edits: int = MAX_EDITS, min_chars: int =
                     a = starts[own] + low[own] + step
                     h = (sums[a + width[own]] - sums[a]) * inverse[a]
                     owners.append(own)
+                    segments.append((low[own] + step == place[own]) & (less == 0))
                     keys.append(_mixed(h + _mixed((short[own] * parts + k).astype(np.uint64))))
-    return (np.concatenate(owners), np.concatenate(keys)) if owners else (np.empty(0, np.int64), np.empty(0, np.uint64))
+    return tuple(map(np.concatenate, (owners, keys, segments))) if owners else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
 
 
 def parity(form: str) -> int:
@@ -160,18 +161,18 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """key, h1 of each distinct line; lines that repeat within a batch count once."""
+    """key, h1, segment of each distinct line; lines that repeat within a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in chunks(texts, limit=2_000_000):
                 forms = list({f for t in texts[part] if t for f in map(normal, t.split("\n")) if len(f) >= min_chars})
-                own, keys = segment_keys(forms, max_edits, min_chars)
+                own, keys, segments = segment_keys(forms, max_edits, min_chars)
                 h = np.array([_digest(f)[0] for f in forms], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h[own] if len(forms) else np.empty(0, np.int64))], names=["key", "h1"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h[own] if len(forms) else np.empty(0, np.int64)), pa.array(segments)], names=["key", "h1", "segment"])
 
-    return docs.mapInArrow(run, "key bigint, h1 bigint")
+    return docs.mapInArrow(run, "key bigint, h1 bigint, segment boolean")
 
 
 def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,15 +210,16 @@ def near_lines(docs: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS, mi
     Earlier is the line whose first document has the smaller id, in one document the one above.
     """
     dealt = _keys(docs, max_edits, min_chars).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
-    members = stored(dealt.join(shared.hint("shuffle_hash"), "key").distinct())
+    shared = dealt.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("segment").alias("any")).where("lo < hi and any").select("key")
+    members = stored(dealt.join(shared.hint("shuffle_hash"), "key").groupBy("key", "h1").agg(F.max("segment").alias("segment")))
     wanted = stored(lines.join(members.select("h1").distinct(), "h1", "left_semi"))
     forms = _forms(docs, wanted)
     known = stored(wanted.join(forms, ["h1", "h2"]).select("h1", F.struct("doc_id", "pos", "h1", "h2").alias("at"), "h2", "form", "parity"))
     brief = known.select("h1", "h2", "at", "parity", F.length("form").alias("n"))
     m = members.join(brief, "h1")
-    alike = f"abs(x.n - y.n) <= {max_edits} and bit_count(x.parity ^ y.parity) <= {4 * max_edits}"
-    side = lambda t, n: t.select("key", F.struct("h1", "h2", "at", "parity", "n").alias(n))
+    # the key must be a segment of the shorter line
+    alike = f"abs(x.n - y.n) <= {max_edits} and (x.n <= y.n and x.segment or y.n <= x.n and y.segment) and bit_count(x.parity ^ y.parity) <= {4 * max_edits}"
+    side = lambda t, n: t.select("key", F.struct("h1", "h2", "at", "parity", "n", "segment").alias(n))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         p = pairs.select(F.col("x.at").alias("xa"), F.col("y.at").alias("ya")).distinct()
@@ -226,7 +228,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS, mi
 
     # most lines of a large group are near its first one; only the others are compared with all earlier ones
     heads = m.groupBy("key").agg(F.min("at").alias("head"))
-    first = m.join(heads, "key").where("at = head").select("key", F.struct("h1", "h2", "at", "parity", "n").alias("x"))
+    first = m.join(heads, "key").where("at = head").select("key", F.struct("h1", "h2", "at", "parity", "n", "segment").alias("x"))
     star = stored(confirmed(first.join(side(m, "y"), "key").where(f"x.at < y.at and {alike}")))
     left = m.join(star, ["h1", "h2"], "left_anti")
     rest = confirmed(side(m, "x").join(side(left, "y"), "key").where(f"x.at < y.at and {alike}"))

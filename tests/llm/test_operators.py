@@ -274,8 +274,9 @@ def test_edit_join_parts(edits):
     for (a, b), near in zip(pairs, line_dedup.within(pairs, edits), strict=True):
         assert near == (distance(a, b) <= edits)
         if near and a != b and min(len(a), len(b)) >= 6:
-            own, keys = line_dedup.segment_keys([a, b], edits, 6)
-            assert set(keys[own == 0].tolist()) & set(keys[own == 1].tolist())
+            own, keys, segment = line_dedup.segment_keys([a, b], edits, 6)
+            short = int(len(b) < len(a))
+            assert set(keys[(own == short) & segment].tolist()) & set(keys[own != short].tolist())
             assert bin((line_dedup.parity(a) ^ line_dedup.parity(b)) & (1 << 64) - 1).count("1") <= 4 * edits
 
 
