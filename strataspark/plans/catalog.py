@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import geometry, kernels, selection, stacking, windows  # noqa: F401
+from .registry import QUERIES, SQL
+from .stacking import pair_stack as flagship
+
+__all__ = ["QUERIES", "SQL", "flagship"]
