@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Mean earth radius in km.
 RADIUS = 6371.0
@@ -48,7 +49,7 @@ def next_pow2(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("bigint")
 
 
-@F.pandas_udf("distance double, azimuth double, back_azimuth double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("distance", "azimuth", "back_azimuth")]))
 def wgs84_inverse(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     """Distance in km and azimuths on the WGS84 ellipsoid, by Vincenty's inverse formula on whole batches.
 

@@ -30,7 +30,7 @@ def love_velocity(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.nd
         return t
 
     out = np.full(len(periods), np.nan)
-    grid = np.arange(vs[:-1].min() + 1e-6, vs[-1], step)
+    grid = np.append(np.arange(vs[:-1].min() + 1e-6, vs[-1], step), vs[-1] - 1e-9)
     for i, period in enumerate(periods):
         w = 2 * np.pi / period
         f = traction(grid, w)

@@ -10,14 +10,15 @@ from strataspark.sources.fixtures import table
 from .registry import query
 
 
-@query("running_minimum", "select grid, isample, min(misfit) over (partition by grid order by isample rows unbounded preceding) as least from ensemble")
+@query("running_minimum", "select grid, isample, min(misfit) over (partition by grid order by isample, misfit rows unbounded preceding) as least from ensemble")
 def running_minimum(spark, sf_dir):
-    w = Window.partitionBy("grid").orderBy("isample").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("grid").orderBy("isample", "misfit").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "ensemble").select("grid", "isample", F.min("misfit").over(w).alias("least"))
 
 
 _CURVE = "k as (select sta1, sta2, period, round(avg(c), 6) as c from curves group by all)"
-_PAIR = Window.partitionBy("sta1", "sta2").orderBy("period")
+def _pair():
+    return Window.partitionBy("sta1", "sta2").orderBy("period")
 
 
 def _curves(spark, sf_dir):
@@ -31,7 +32,7 @@ _JUMPS = f"""with {_CURVE}, n as (select *, lag(period) over w as p0, lag(c) ove
 
 def jumps(curves, threshold: float):
     """Sign of the second difference at uneven spacing, times 100, where it is beyond threshold; 0 elsewhere and at the ends."""
-    x = curves.withColumns({"p0": F.lag("period").over(_PAIR), "c0": F.lag("c").over(_PAIR), "p1": F.lead("period").over(_PAIR), "c1": F.lead("c").over(_PAIR)})
+    x = curves.withColumns({"p0": F.lag("period").over(_pair()), "c0": F.lag("c").over(_pair()), "p1": F.lead("period").over(_pair()), "c1": F.lead("c").over(_pair())})
     bend = ((F.col("c1") - F.col("c")) / (F.col("p1") - F.col("period")) - (F.col("c") - F.col("c0")) / (F.col("period") - F.col("p0"))) / ((F.col("p1") - F.col("p0")) / 2) * 100
     return x.select("sta1", "sta2", "period", F.when(bend > threshold, 1).when(bend < -threshold, -1).otherwise(0).alias("jump"))
 
@@ -46,7 +47,7 @@ def curve_jumps(spark, sf_dir):
   r as (select *, row_number() over (partition by sta1, sta2 order by n desc, first) as k from g) select sta1, sta2, first, last, n from r where k = 1""")
 def longest_smooth_segment(spark, sf_dir):
     """The longest run of periods without a jump; of equal ones the first."""
-    s = jumps(_curves(spark, sf_dir), 40.0).withColumn("island", F.sum(F.abs("jump")).over(_PAIR.rowsBetween(Window.unboundedPreceding, 0)))
+    s = jumps(_curves(spark, sf_dir), 40.0).withColumn("island", F.sum(F.abs("jump")).over(_pair().rowsBetween(Window.unboundedPreceding, 0)))
     g = s.where("jump = 0").groupBy("sta1", "sta2", "island").agg(F.min("period").alias("first"), F.max("period").alias("last"), F.count("*").alias("n"))
     best = g.groupBy("sta1", "sta2").agg(F.max_by(F.struct("first", "last", "n"), F.struct("n", -F.col("first"))).alias("b"))
     return best.select("sta1", "sta2", "b.*")
@@ -65,7 +66,7 @@ def record_runs(spark, sf_dir):
 @query("local_extrema", f"""with {_CURVE}, n as (select *, lag(c) over w as c0, lead(c) over w as c1 from k window w as (partition by sta1, sta2 order by period))
   select sta1, sta2, period, case when c > c0 and c > c1 then 1 else -1 end as kind from n where c > c0 and c > c1 or c < c0 and c < c1""")
 def local_extrema(spark, sf_dir):
-    x = _curves(spark, sf_dir).withColumns({"c0": F.lag("c").over(_PAIR), "c1": F.lead("c").over(_PAIR)})
+    x = _curves(spark, sf_dir).withColumns({"c0": F.lag("c").over(_pair()), "c1": F.lead("c").over(_pair())})
     return x.where("c > c0 and c > c1 or c < c0 and c < c1").select("sta1", "sta2", "period", F.when(F.expr("c > c0 and c > c1"), 1).otherwise(-1).alias("kind"))
 
 
@@ -105,7 +106,7 @@ def sliding_windows(spark, sf_dir):
 @query("dispersion_sanity", f"""with {_CURVE}, n as (select *, lag(c) over (partition by sta1, sta2 order by period) as c0 from k)
   select sta1, sta2, count(*) as n, bool_and(c >= coalesce(c0, c)) as rising, round(max(abs(c / c0 - 1)) * 100, 6) as max_percent from n group by sta1, sta2""")
 def dispersion_sanity(spark, sf_dir):
-    x = _curves(spark, sf_dir).withColumn("c0", F.lag("c").over(_PAIR))
+    x = _curves(spark, sf_dir).withColumn("c0", F.lag("c").over(_pair()))
     return x.groupBy("sta1", "sta2").agg(F.count("*").alias("n"), F.bool_and(F.expr("c >= coalesce(c0, c)")).alias("rising"), F.round(F.max(F.abs(F.col("c") / F.col("c0") - 1)) * 100, 6).alias("max_percent"))
 
 

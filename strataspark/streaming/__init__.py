@@ -1 +1 @@
-"""Streaming."""
+"""Incremental stacks over event streams."""
