@@ -55,10 +55,11 @@ def data_counts(spark, sf_dir):
     return g.select(F.explode(F.array(*(F.struct(F.lit(t).cast("bigint").alias("threshold"), F.col(f"`{t}`").alias("n")) for t in (1, 5, 10, 20, 30)))).alias("x")).select("x.*")
 
 
-@query("job_status", "select event_type as status, user_id % 7 as month, count(*) as n from events group by rollup(user_id % 7, event_type)")
+@query("job_status", "select coalesce(event_type, 'all') as status, coalesce(cast(user_id % 7 as varchar), 'all') as month, count(*) as n from events group by rollup(user_id % 7, event_type)")
 def job_status(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("month"), F.col("event_type").alias("status"))
-    return e.rollup("month", "status").agg(F.count("*").alias("n"))
+    x = e.rollup("month", "status").agg(F.count("*").alias("n"))
+    return x.select(F.coalesce("status", F.lit("all")).alias("status"), F.coalesce(F.col("month").cast("string"), F.lit("all")).alias("month"), "n")
 
 
 @query("block_median", "select cast(floor(lon / 2) as bigint) as bx, cast(floor(lat / 2) as bigint) as byy, round(median(elev_m), 4) as z, round(avg(elev_m), 4) as z_mean, count(*) as n from stations group by all")
