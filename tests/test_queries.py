@@ -8,6 +8,8 @@ import pytest
 from strataspark.functions import geo
 from strataspark.operators import arrays, inversion, signal, stacks, tomography
 from strataspark.plans.catalog import QUERIES, SQL
+from strataspark.sources import files
+from strataspark.sources.fixtures import table
 from strataspark.streaming import stacks as streams
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -154,3 +156,13 @@ def test_stream_gives_what_the_table_gives(spark, sf_dir, tmp_path):
     q.stop()
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
     assert spark.read.parquet(str(last)).agg({"n": "sum"}).first()[0] == e.count()
+
+
+def test_text_lists(spark, sf_dir, tmp_path):
+    s = table(spark, sf_dir, "stations").select("staid", "lon", "lat", "elev_m")
+    files.write_columns(s, str(tmp_path / "s"))
+    assert sorted(map(tuple, files.read_columns(spark, str(tmp_path / "s")).collect())) == sorted(map(tuple, s.collect()))
+    (tmp_path / "t").write_text("# list\n\nA.B 1 x 3\nC.D 2.5\n")
+    assert sorted(map(tuple, files.read_columns(spark, str(tmp_path / "t"), at=(0, 1, 2, 3)).collect())) == [("A.B", 1.0, None, 3.0), ("C.D", 2.5, None, None)]
+    more = files.insert_new(s, s.union(s.limit(1).selectExpr("'X' as staid", "lon", "lat", "elev_m")), ["staid"])
+    assert more.count() == s.count() + 1
