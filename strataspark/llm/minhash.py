@@ -121,6 +121,12 @@ def table_members(classes: DataFrame, m: int = 12) -> DataFrame:
     return keys.join(shared, "table")
 
 
+def _first_table(m: int) -> str:
+    """SQL: whether table is the first that the structs p and q share, so that a pair is formed once."""
+    same = [f"case when get(p.bundles, {k}) = get(q.bundles, {k}) then get(p.bundles, {k}) end" for k in range(2 * m)]
+    return f"table = xxhash64(coalesce({', '.join(same[:m])}), coalesce({', '.join(same[m:])}))"
+
+
 def common_shingles(docs: DataFrame, size: int = 5) -> DataFrame:
     """id, common: how many shingles of each of docs(id, text) another of them has as well, or more where ids repeat.
 
@@ -214,9 +220,12 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             # all pairs of different components, but for members that have too few shingles in common with any other
             common = common_shingles(texts.join(tagged.select("id").distinct(), "id", "left_semi"), size)
-            mixed = tagged.join(brief.join(common, "id").where(f"100 * common >= {threshold} * x.n"), "id").select("table", "c", "x", "common")
-            bound = f"100 * least(common, other) >= {threshold} * (x.n + y.n - least(common, other))"
-            pairs = mixed.join(mixed.select("table", F.col("c").alias("d"), F.col("x").alias("y"), F.col("common").alias("other")), "table").where(f"x.id < y.id and c <> d and {bound} and {alike}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            able = stored(brief.join(reps.select("id", "bundles"), "id").join(common, "id").where(f"100 * common >= {threshold} * x.n"))
+            tagged = tagged.join(able.select("id"), "id", "left_semi")
+            spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
+            mixed = tagged.join(spread, "table").join(able, "id").select("table", F.struct("id", "c", "common", "bundles").alias("p"), "x")
+            bound = f"100 * least(p.common, q.common) >= {threshold} * (x.n + y.n - least(p.common, q.common))"
+            pairs = mixed.join(mixed.select("table", F.col("p").alias("q"), F.col("x").alias("y")), "table").where(f"p.id < q.id and p.c <> q.c and {bound} and {_first_table(m)} and {alike}").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
         pairs = stored(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
             if k >= STAR_ROUNDS or spread.isEmpty():
