@@ -43,7 +43,7 @@ def timing_asymmetry(spark, sf_dir):
     return t.select("sta_key", "day", at("p").alias("positive"), at("n").alias("negative"), F.round(F.array_max("p") / F.array_max("n"), 5).alias("ratio"))
 
 
-@query("density_from_velocity", """with m as (select grid, isample, 3.0 + 20 * p0 as vs from ensemble) select grid, isample, round(case when vs < 4.0 then 0.541 + 0.3601 * (vs * 1.75) else 3.4268 + (vs - 4.5) / 4.5 end, 6) as rho from m""".replace("3.0 +", "cast(3.0 as double) +"))
+@query("density_from_velocity", """with m as (select grid, isample, cast(3.0 as double) + 20 * p0 as vs from ensemble) select grid, isample, round(case when vs < 4.0 then 0.541 + 0.3601 * (vs * 1.75) else 3.4268 + (vs - 4.5) / 4.5 end, 6) as rho from m""")
 def density_from_velocity(spark, sf_dir):
     """Crustal densities from vp = 1.75 vs, mantle ones from vs."""
     vs = F.lit(3.0) + 20 * F.col("p0")

@@ -145,11 +145,11 @@ def mask_combine(spark, sf_dir):
     return table(spark, sf_dir, "cells").groupBy("ilat", "ilon").agg(F.bool_or(F.col("reason_n") == 1).alias("any_bad"), (F.count_if(F.col("reason_n") == 0) < 30).alias("masked"), F.count_distinct("ev").alias("n_events"))
 
 
-@query("period_resample", """with p as (select unnest([7.0, 9.0, 11.0, 13.0, 15.0]) as period), c as (select sta1, sta2, period, avg(c) as c from curves where sta1 <= 5 group by all)
+@query("period_resample", """with p as (select unnest([7.0, 9.0, 11.0, 13.0, 15.0]) as period), c as (select sta1, sta2, period, avg(c) as c from curves group by all)
   select l.sta1, l.sta2, cast(p.period as double) as period, round(case when lo is null then hc when hi is null then lc when hi = lo then lc else lc + (hc - lc) * (p.period - lo) / (hi - lo) end, 6) as c, lo is not null and hi is not null as inbound
   from (select distinct sta1, sta2 from c) l cross join p
   left join lateral (select max(period) as lo, max_by(c, period) as lc from c where c.sta1 = l.sta1 and c.sta2 = l.sta2 and c.period <= p.period) a on true
-  left join lateral (select min(period) as hi, min_by(c, period) as hc from c where c.sta1 = l.sta1 and c.sta2 = l.sta2 and c.period >= p.period) b on true""".replace(" where sta1 <= 5", ""))
+  left join lateral (select min(period) as hi, min_by(c, period) as hc from c where c.sta1 = l.sta1 and c.sta2 = l.sta2 and c.period >= p.period) b on true""")
 def period_resample(spark, sf_dir):
     """Curves at other periods: linear between the neighbours, the end value outside, and whether it is inside."""
     c = table(spark, sf_dir, "curves").groupBy("sta1", "sta2", "period").agg(F.avg("c").alias("c"))

@@ -13,7 +13,7 @@ from .registry import query
 
 @query("pair_stack", """with t as (select sta_key, day, data from traces), p as (select a.sta_key as sta1, b.sta_key as sta2, a.day as day, a.data as x, b.data as y from t a join t b on a.day = b.day and a.sta_key < b.sta_key),
   l as (select sta1, sta2, day, lag, list_sum(list_transform(range(1, 65), lambda i: case when i + lag between 1 and 64 then cast(x[i] as double) * y[i + lag] else 0 end)) as v from p cross join (select unnest(range(-2, 3)) as lag) k)
-  select sta1, sta2, cast(lag as int) as lag, round(sum(v), 6) as value, count(*) as n from l group by sta1, sta2, lag having count(*) >= 2 or max(day) = 0""".replace(" having count(*) >= 2 or max(day) = 0", ""))
+  select sta1, sta2, cast(lag as int) as lag, round(sum(v), 6) as value, count(*) as n from l group by sta1, sta2, lag""")
 def pair_stack(spark, sf_dir):
     """Short-lag correlations of all station pairs, day by day, summed over days with their number."""
     t = table(spark, sf_dir, "traces").select("sta_key", "day", F.col("data").cast("array<double>").alias("data"))
@@ -23,7 +23,7 @@ def pair_stack(spark, sf_dir):
 
 
 @query("station_stack", """with e as (select sta_key, label, unnest(data) as x, generate_subscripts(data, 1) as i from traces), s as (select sta_key, i, sum(cast(x as double)) as x, count(*) as n from e group by sta_key, i)
-  select sta_key, list(round(x, 5) order by i) as data, max(n) as n from s group by sta_key""".replace("list(round(x, 5) order by i) as data", "round(sum(x * i), 4) as moment, round(max(x), 5) as top"))
+  select sta_key, round(sum(x * i), 4) as moment, round(max(x), 5) as top, max(n) as n from s group by sta_key""")
 def station_stack(spark, sf_dir):
     """Unnormalised element-wise sum of a station's traces and the number of days."""
     t = table(spark, sf_dir, "traces").select("sta_key", F.col("data").cast("array<double>").alias("data"))
@@ -189,7 +189,7 @@ def love_parameters(spark, sf_dir):
     return m.selectExpr("grid", "isample", "round(rho * vph * vph, 6) as a", "round(rho * vpv * vpv, 6) as c", "round(rho * vsv * vsv, 6) as l", "round(rho * vsh * vsh, 6) as n", "round(eta * (rho * vph * vph - 2 * rho * vsv * vsv), 6) as f")
 
 
-@query("lag_symmetric", "select sta_key, day, round(list_sum(list_transform(range(0, 32), lambda i: (cast(data[32 + i] as double) + data[32 - i]) / 2 * (i + 1))), 5) as moment from (select sta_key, day, data[1:63] as data from traces) t".replace("range(0, 32)", "range(0, 32)"))
+@query("lag_symmetric", "select sta_key, day, round(list_sum(list_transform(range(0, 32), lambda i: (cast(data[32 + i] as double) + data[32 - i]) / 2 * (i + 1))), 5) as moment from (select sta_key, day, data[1:63] as data from traces) t")
 def lag_symmetric(spark, sf_dir):
     """The mean of both sides of a trace of 63 lags, told by its first moment."""
     t = table(spark, sf_dir, "traces").select("sta_key", "day", F.slice(F.col("data").cast("array<double>"), 1, 63).alias("data"))
