@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import geometry, kernels, models, selection, stacking, windows  # noqa: F401
+from . import geometry, joins, kernels, models, selection, stacking, windows  # noqa: F401
 from .registry import QUERIES, SQL
 from .stacking import pair_stack as flagship
 
