@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Identifier and pattern of a normalised sentence: lower case, no comment signs, single spaces, without the full stop
 #: at its end. A group named x is a part of the identifier.
 SENTENCES = (
@@ -134,7 +136,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, sentences, rest = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = sentence_ids(t)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, small, stored
 
 MAX_EDITS = 2
 #: Shorter normal forms aren't compared; their lines stay. Two edits make other words of them.
@@ -146,7 +146,7 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, pos, h1, h2, first (in its document) of each line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen: set[str] = set()
@@ -164,9 +164,9 @@ def _keys(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """key, h1, segment of each distinct line; lines that repeat within a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
-            for part in chunks(texts, limit=2_000_000):
+            for part in chunks(texts, limit=500_000):
                 forms = list({f for t in texts[part] if t for f in map(normal, t.split("\n")) if len(f) >= min_chars})
                 own, keys, segments = segment_keys(forms, max_edits, min_chars)
                 h = np.array([_digest(f)[0] for f in forms], np.int64)
@@ -182,7 +182,7 @@ def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         places = F.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
@@ -197,7 +197,7 @@ def _linked(pairs: DataFrame, max_edits: int) -> DataFrame:
     """The h1, h2 of the later line of the pairs that are within max_edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             same = within(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), max_edits)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(same)) for c in batch.columns[:2]], names=["h1", "h2"])
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 WIDTH = 192
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "pre", "blockquote", "article", "section", "br", "tr", "table", "ul", "ol", "title", "figure", "figcaption", "body", "html", "head"}
@@ -154,7 +156,7 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence(t) for t in batch.column(1).to_pylist()], pa.list_(_ITEM))], names=["id", "items"])
 
     return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id bigint, {ITEMS}")
@@ -167,7 +169,7 @@ def media_store(payloads: DataFrame, width: int = WIDTH) -> DataFrame:
     """digest, media: each distinct digest of payloads(digest, payload) once, stored as PNG; payloads are whole rows of width bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             seen: dict[str, bytes] = {}
             for d, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if d not in seen:
@@ -181,7 +183,7 @@ def read_back(store: DataFrame) -> DataFrame:
     """What the stored media of store(digest, media) hold: sizes and digests of payload and media, and the feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 samples = png_samples(m)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, small, stored
 from .components import connected_components
 
 #: Rounds of comparisons with one member of each component, before the remaining pairs are formed.
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = _signer(size, m, rows, seed)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 n, classes, bundles, sketches = zip(*map(signed, batch.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bundles, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n_shingles", "class", "bundles", "sketch"])
@@ -134,7 +134,7 @@ def common_shingles(docs: DataFrame, size: int = 5) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for i, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingle_hashes(t, size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i.as_py())), pa.array(s.view(np.int64))], names=["id", "shingle"])
@@ -162,13 +162,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int = 5)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
     own = stored(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, set binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             same = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

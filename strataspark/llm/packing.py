@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 CAPACITY = 2048
 GROUP = 30_000
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = TokenBytes(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for doc, text in zip(ids, texts, strict=True):

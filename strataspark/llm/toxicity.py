@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, small, stored
 from .labelled import MAX_TRAIN_ROWS, crc_mod, training_ids
 
 #: Letters of the character model; all other characters are its symbol 0.
@@ -52,9 +52,9 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_K**3, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).to_pylist()
-            for part in chunks(texts, limit=2_000_000):
+            for part in chunks(texts, limit=500_000):
                 c = np.frombuffer("  ".join(t.lower() for t in texts[part] if t).encode("utf-32-le", "surrogatepass"), "<u4")
                 if len(c) > 2:
                     x = _INDEX[np.where(c < len(_INDEX), c, 0)]
@@ -118,7 +118,7 @@ class Restored(dict):
         self.model = model
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = word = self.restore(token)
         return word
@@ -174,7 +174,7 @@ class _Weights(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = best = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
         return best
@@ -185,7 +185,7 @@ def _counted(sample: DataFrame, chars: np.ndarray, among: frozenset[str] | None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, restored = Counter(), Restored(chars)
-        for batch in batches:
+        for batch in small(batches):
             for t in batch.column(0).to_pylist():
                 own = {f for w in set(restored.words(t)) for f in features(w)}
                 seen.update(own if among is None else own & among)
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = training_ids(labels, "toxic", F.lit(True) if keep is None else keep, max_rows)
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_lead(t) for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "y", "text", "lead"])
 
     sample = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("id", "y", "text")
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, known = Restored(chars), _Weights(model.weights)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.signals(restored.words(t), known) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "s"])
 
@@ -272,7 +272,7 @@ def scored(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, known = Restored(model.chars), _Weights(model.weights)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 s = np.array([model.signals(restored.words(t), known) for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(s))], names=["doc_id", "score"])
@@ -285,7 +285,7 @@ def without_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, known = Restored(model.chars), _Weights(model.weights)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 s = model.score(np.array([model.signals(restored.words(t), known) for t in batch.column(text_col).to_pylist()]))
                 yield batch.filter(pa.array(s < threshold))
