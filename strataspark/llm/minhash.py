@@ -159,7 +159,7 @@ def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
     """The pairs (a, b) of ids of docs(id, text) with 100 * intersection >= threshold * union of their full shingle sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -241,7 +241,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if label is None:
         out = out.withColumns({"n_links": F.lit(0).cast("bigint"), "component": F.col("class_id")})
     else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+        degree = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
         out = out.join(degree, "class_id", "left").join(label.select(F.col("id").alias("class_id"), F.col("c").alias("component")), "class_id", "left")
     rest = signed.where("id is null or n_shingles = 0").select("id", "n_shingles")
     out = known.select("id", "n_shingles", "class").join(out, "class").drop("class").unionByName(rest, allowMissingColumns=True)
