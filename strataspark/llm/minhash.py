@@ -29,6 +29,8 @@ from .components import connected_components
 
 #: Rounds of comparisons with one member of each component, before the remaining pairs are formed.
 STAR_ROUNDS = 2
+#: Up to this many ids of documents to confirm are broadcast, so that only their texts are dealt out; they are counted first.
+SMALL_IDS = 200_000
 #: Of the minhashes of a pair, a share of threshold - SLACK at least must agree before full sets are compared. At 0.85
 #: and 72 hashes a smaller share has a probability of about 1e-6.
 SLACK = 0.2
@@ -159,7 +161,9 @@ def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
     """The pairs (a, b) of ids of docs(id, text) with 100 * intersection >= threshold * union of their full shingle sets."""
-    wanted = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct())
+    if wanted.count() <= SMALL_IDS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
