@@ -36,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled towards the target weights of sources, languages and topics."""
-    return mixing.mixed(docs).where("sampled").select("row.*")
+    """Documents sampled towards the target weights of sources, languages and topics, with mixing.BUDGET of the tokens at least."""
+    return mixing.mixed(docs, budget=mixing.BUDGET).where("sampled").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ Documents are counted by cell, a combination of source, language and topic; the
 to the target share of each source, language and topic in turn; a document's inclusion probability is its cell's raked
 weight per token, scaled so that the largest is 1; documents are kept when a hash of their id, read as a number from 0
 to 1, is below it. The same id and seed always decide alike, so lost tasks can be run again.
+
+With a budget, a share of all tokens, one small cell can't scale the others down: where that scale keeps less, cells
+whose raked tokens exceed what they have are kept whole, and the rest is raked again and scaled until the budget is met.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ DIMS = ("source", "lang", "topic")
 ALPHAS = {"source": 0.8, "lang": 0.8, "topic": 1.0}
 ROUNDS = 8
 SEED = "mix"
+#: The share of all tokens that the pipeline keeps at least. op2 has none: its SQL scales by the largest rate alone.
+BUDGET = 0.7
+#: Times that cells are set to be kept whole and the rest is raked again; what is over after that is cut by the last scale.
+CAP_ROUNDS = 12
 #: Up to this many cells, raking is one task without shuffles and the cells are broadcast; they are counted first.
 SMALL_CELLS = 20_000
 
@@ -40,9 +47,11 @@ def labelled(docs: DataFrame, text_col: str = "text", topic: Column | None = Non
     return docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in own.items()))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alphas=None, rounds: int = ROUNDS) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alphas=None, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
     """cells(_source, _lang, _topic, tokens) with weight (adds up to 1) and probability (the largest is 1).
 
+    With a budget, probabilities keep that share of the tokens at least, or all tokens that have a weight.
+
     targets has a frame (value, share) by dimension; dimensions without one get alphas. Values without a target or
     tokens get weight 0. Each round scales the weights to each dimension's shares once.
     """
@@ -64,9 +73,41 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alphas=
             total = F.sum("weight").over(Window.partitionBy(f"_{d}"))
             x = x.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"t_{d}") / total).otherwise(F.lit(0.0)))
     x = cut(x.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))))
-    top = x.agg(F.max("rate")).first()[0] or 1.0
+    top, total, able = x.agg(F.max("rate"), F.sum("tokens"), F.sum(F.when(F.col("rate") > 0, F.col("tokens")))).first()
+    top = top or 1.0
+    plain = F.col("rate") / F.lit(top)
+    if budget is not None and able and x.agg(F.sum(F.col("tokens") * plain)).first()[0] < min(budget * total, able):
+        x, kept = _calibrated(x, float(min(budget * total, able)), rounds)
+        plain = F.least(F.greatest(plain, kept / F.col("tokens")), F.lit(1.0))
     # cells without tokens have nothing to weigh; their documents stay
-    return x.withColumn("probability", F.when(F.col("tokens") > 0, F.col("rate") / F.lit(top)).otherwise(F.lit(1.0))).select(*(f"_{d}" for d in DIMS), "tokens", "weight", "probability")
+    return x.withColumn("probability", F.when(F.col("tokens") > 0, plain).otherwise(F.lit(1.0))).select(*(f"_{d}" for d in DIMS), "tokens", "weight", "probability")
+
+
+def _calibrated(x: DataFrame, budget: float, rounds: int) -> tuple[DataFrame, Column]:
+    """x(tokens, weight, t_ by dimension) with more columns, and the tokens to keep of each cell, which add up to budget."""
+    tokens, kept, full = F.col("tokens").cast("double"), F.col("kept"), F.col("full")
+    x = cut(x.withColumn("kept", F.col("weight") * F.lit(budget)).withColumn("full", F.lit(False)))
+    for _ in range(CAP_ROUNDS):
+        over = ~full & (tokens > 0) & (kept >= tokens)
+        if x.where(over).isEmpty():
+            break
+        x = x.withColumn("full", full | over).withColumn("kept", F.when(full, tokens).otherwise(kept))
+        for _ in range(rounds):
+            for d in DIMS:
+                sum_of = lambda c, d=d: F.sum(F.when(c, kept).otherwise(F.lit(0.0))).over(Window.partitionBy(f"_{d}"))
+                left = F.greatest(F.col(f"t_{d}") * F.lit(budget) - sum_of(full), F.lit(0.0))
+                x = x.withColumn("kept", F.when(full | (sum_of(~full) <= 0), kept).otherwise(kept * left / sum_of(~full)))
+        x = cut(x)
+    # the scale of the rest that meets the budget, from below: each step adds cells that it fills
+    scale = 0.0
+    while True:
+        filled = full | (kept * F.lit(scale) >= tokens)
+        spent, rest = x.agg(F.sum(F.when(filled, tokens)), F.sum(F.when(~filled, kept))).first()
+        better = (budget - (spent or 0.0)) / rest if rest else scale
+        if better <= scale * (1 + 1e-12):
+            break
+        scale = better
+    return x, F.when(full, tokens).otherwise(kept * F.lit(scale))
 
 
 def uniform(id_col: Column, seed: str = SEED) -> Column:
@@ -75,7 +116,7 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets=None, alphas=None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets=None, alphas=None, rounds: int = ROUNDS, seed: str = SEED, budget: float | None = None) -> DataFrame:
     """row (a struct of the columns of docs), _source, _lang, _topic, _tokens, probability and sampled (boolean) of each row.
 
     A null source, language or topic is the value '(none)'; a null or blank text has no tokens, and adds none to its
@@ -84,7 +125,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic
     """
     own = labelled(docs, text_col, topic)
     keys = [f"_{d}" for d in DIMS]
-    cells = raked(own.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), targets, alphas, rounds).select(*keys, "probability")
+    cells = raked(own.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), targets, alphas, rounds, budget).select(*keys, "probability")
     if cells.count() <= SMALL_CELLS:
         cells = F.broadcast(cells)
     return own.join(cells, keys).withColumn("sampled", uniform(F.col(f"row.{id_col}"), seed) < F.col("probability"))
