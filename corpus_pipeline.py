@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier; those that lose all their words go, blank ones stay."""
-    d = line_dedup.dedup_lines(docs)
+    d = line_dedup.dedup_lines(docs, min_exact=line_dedup.MIN_EXACT)
     worded = lambda c: F.coalesce(c.rlike(f"[^{SPACE}]"), F.lit(False))
     own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
     return d.where(worded(F.col("text")) | ~worded(F.col("row.text"))).select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

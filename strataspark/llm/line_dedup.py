@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import chunks, small, stored
 
 MAX_EDITS = 2
-#: Shorter normal forms aren't compared; their lines stay. Two edits make other words of them.
+#: Shorter normal forms aren't compared by edits. Two edits make other words of them.
 MIN_CHARS = 24
+#: op8 and the pipeline find exact copies of all lines that have a word.
+MIN_EXACT = 1
 #: Up to this many ids of documents that hold candidate lines are broadcast; they are counted first.
 SMALL_IDS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -235,9 +237,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS, mi
     return stored(star.union(rest).distinct())
 
 
-def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, min_exact: int | None = None) -> DataFrame:
     """doc_id, exact and near: the places (from 0) of the lines that go from each document that loses any."""
-    seen = stored(_occurrences(docs, min_chars))
+    seen = stored(_occurrences(docs, min_chars if min_exact is None else min(min_chars, min_exact)))
     lines = seen.where("first").groupBy("h1", "h2").agg(F.min_by("pos", "doc_id").alias("pos"), F.min("doc_id").alias("doc_id"))
     near = near_lines(docs, lines, max_edits, min_chars).withColumn("near", F.lit(True))
     fate = lines.select("h1", "h2", F.col("doc_id").alias("owner")).join(near, ["h1", "h2"], "left")
@@ -245,16 +247,17 @@ def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     return fate.where("exact or near").groupBy("doc_id").agg(F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("pos"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, min_exact: int | None = None) -> DataFrame:
     """row (a struct of the columns of docs), text (without the lines that go), n_lines, n_exact and n_near of each row.
 
-    Lines are split at \\n; those of under min_chars characters in normal form stay. The first line of each form stays
+    Lines are split at \\n; those of under min_chars characters in normal form go only as exact copies, and stay if they
+    have under min_exact (none: min_chars), or no characters at all. The first line of each form stays
     unless an earlier form is within max_edits edits, whether or not that one stays itself. A null text stays null and
     has no lines; rows with a null id stay as they are and aren't compared; rows with equal ids count as one document
     and lose the same lines. Columns of docs, whatever their names, stay inside row. No rows give no rows.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = removed_lines(own, max_edits, min_chars)
+    gone = removed_lines(own, max_edits, min_chars, min_exact)
     kept = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(gone, "doc_id", "left")
     lines = F.split("text", "\n")
     both = F.concat("exact", "near")
@@ -265,5 +268,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """What all documents lose to exact and near copies of lines, and the digest of what stays."""
-    d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_exact=MIN_EXACT)
     return d.select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
