@@ -74,10 +74,14 @@ RULES = (
     ("{x}", ("spdx",)),
 )
 _PATTERNS = tuple((k, re.compile(p)) for k, p in SENTENCES)
-#: A text without any of these has no known sentence.
-_HINTS = ("licen", "permission", "redistribut", "warrant", "liab", "free software", "mpl", "public domain", "advertising", "neither the name")
+#: A text without any of these, or cc as a word, has no known sentence: each pattern has one. They are single words or parts
+#: of one, so that a line break can't stand within.
+_HINTS = ("licen", "permission", "redistribut", "warrant", "liab", "mpl", "public", "advertising", "endorse", "commons")
+_CC = re.compile(r"\bcc\b")
 _LEADERS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|\(\*)?[ \t]*")
-_ENDS = re.compile(r"(?<=[.!?;])\s+(?=[A-Z(\d*-])|(?<=:)\s+(?=[(\d*-])|\n\s*\n")
+_ENDS = re.compile(r"(?<=[.!?;])\s+(?=[A-Z(\d*-])|(?<=:)\s+(?=[(\d*-])|(?<=:)(?<![Ii]dentifier:)(?<!IDENTIFIER:)[ \t]*\n\s*(?=[A-Z])|\n\s*\n")
+#: The number, letter or sign of a list item.
+_ITEM = re.compile(r"\(?(?:\d{1,2}|[a-z])[.)]|[-*•]")
 
 
 def normalised(sentence: str) -> str:
@@ -87,13 +91,14 @@ def normalised(sentence: str) -> str:
 
 def sentence_ids(text: str | None) -> list[tuple[str, str]]:
     """(identifier, variable part) of each known sentence of text, in order; other sentences are (\"\", \"\") ."""
-    low = (text or "").lower()
-    if not any(h in low for h in _HINTS):
+    if not _hinted((text or "").lower()):
         return []
     out = []
     for paragraph in re.split(r"\n\s*\n", _LEADERS.sub("", text)):
         # a paragraph is read as running text first; lines that stand alone are tried each where that finds nothing
         for run in _ENDS.split(paragraph):
+            if _ITEM.fullmatch(run.strip().lower()):
+                continue
             found = _known(run)
             if found is None and "\n" in run:
                 for line in run.split("\n"):
@@ -103,10 +108,17 @@ def sentence_ids(text: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def _hinted(low: str) -> bool:
+    return any(h in low for h in _HINTS) or "cc" in low and _CC.search(low) is not None
+
+
 def _known(sentence: str) -> tuple[str, str] | None:
     s = normalised(sentence)
-    if not any(h in s for h in _HINTS) and "you may" not in s:
+    if not _hinted(s):
         return None
+    first, _, rest = s.partition(" ")
+    if rest and first != "-" and _ITEM.fullmatch(first):
+        s = rest
     for k, p in _PATTERNS:
         if m := p.fullmatch(s):
             return k, (m.groupdict().get("x") or "").strip()
@@ -114,7 +126,11 @@ def _known(sentence: str) -> tuple[str, str] | None:
 
 
 def licences(ids: list[tuple[str, str]]) -> list[str]:
-    """The licences of a sequence of identifiers, in order; each place takes the first rule that fits there."""
+    """The licences of a sequence of identifiers, in order; each place takes the first rule that fits there.
+
+    Unknown sentences may lie between the identifiers of a rule.
+    """
+    ids = [i for i in ids if i[0]]
     known = [k for k, _ in ids]
     out, at = [], 0
     while at < len(ids):
@@ -151,9 +167,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _used(ids: list[tuple[str, str]]) -> int:
-    known = [k for k, _ in ids]
+    known = [k for k, _ in ids if k]
     n = at = 0
-    while at < len(ids):
+    while at < len(known):
         fit = next((len(rule) for _, rule in RULES if tuple(known[at : at + len(rule)]) == rule), 0)
         n, at = n + fit, at + (fit or 1)
     return n
