@@ -7,11 +7,12 @@ similarity s meets in a table with probability (1 - (1 - s**rows)**m)**2; at 0.8
 2 times in 100,000, above that less. Candidates are confirmed on the full sets.
 
 Only table keys of two bundles that both repeat can repeat, so only those are formed. Documents with equal sets are
-one class from the start. Within a table, members are first compared with its smallest member; confirmed links are
-merged into components, and only pairs of members of different components are compared afterwards, so a large group
-of copies costs about one comparison a member. Of those, only pairs are formed that can be similar enough by the number
-of shingles that each has in common with any other member. No pair that shares a table and could join two components
-is left out.
+one class from the start. In each of a few rounds every member is compared with one other, the first member of the
+smallest component in the table that it meets in most of its tables; confirmed links are merged into components, and
+tables within one component are done with. A large group of copies thus costs about one comparison a member. What is
+left of a table is divided by the rarest shingles of its members: two sets that are similar enough have one of those in
+common, so only pairs of different components that share a table and a rare shingle are compared. No pair that shares a
+table and could join two components is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, small, stored
 from .components import connected_components
 
-#: Rounds of comparisons with one member of each component, before the remaining pairs are formed.
-STAR_ROUNDS = 2
+#: Rounds of comparisons with one other member, before the remaining pairs are formed.
+STAR_ROUNDS = 3
 #: Up to this many ids of documents to confirm are broadcast, so that only their texts are dealt out; they are counted first.
 SMALL_IDS = 200_000
 #: Of the minhashes of a pair, a share of threshold - SLACK at least must agree before full sets are compared. At 0.85
@@ -123,27 +124,32 @@ def table_members(classes: DataFrame, m: int = 12) -> DataFrame:
     return keys.join(shared, "table")
 
 
-def _first_table(m: int) -> str:
-    """SQL: whether table is the first that the structs p and q share, so that a pair is formed once."""
-    same = [f"case when get(p.bundles, {k}) = get(q.bundles, {k}) then get(p.bundles, {k}) end" for k in range(2 * m)]
-    return f"table = xxhash64(coalesce({', '.join(same[:m])}), coalesce({', '.join(same[m:])}))"
+def _shares_table(x: str, y: str, m: int) -> str:
+    """SQL: whether the structs x and y have a bundle of the first and one of the second collection in common."""
+    same = lambda at: " or ".join(f"get({x}.bundles, {k}) = get({y}.bundles, {k})" for k in at)
+    return f"({same(range(m))}) and ({same(range(m, 2 * m))})"
 
 
-def common_shingles(docs: DataFrame, size: int = 5) -> DataFrame:
-    """id, common: how many shingles of each of docs(id, text) another of them has as well, or more where ids repeat.
+def rare_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
+    """id, shingle: those of the rarest shingles of each of docs(id, text) that another of them has as well.
 
-    An intersection is no larger than that, which rules out most pairs of copies that differ by edits of their own.
+    Two sets of similarity threshold have so many in common that, in any order, one stands among the first
+    n - ceil(threshold * n / 100) + 1 of each; the order is by the number of ids, then by the hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             for i, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingle_hashes(t, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i.as_py())), pa.array(s.view(np.int64))], names=["id", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i.as_py())), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s)))], names=["id", "shingle", "n"])
 
-    own = stored(docs.select("id", "text").mapInArrow(run, "id bigint, shingle bigint"))
-    shared = own.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shingle")
-    return own.join(shared, "shingle").groupBy("id").agg(F.count("*").alias("common"))
+    own = stored(docs.select("id", "text").mapInArrow(run, "id bigint, shingle bigint, n bigint"))
+    df = stored(own.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = own.join(df, "shingle")
+    # shingles that no other has come first; of those that are left, n - n_shared fewer are needed
+    lists = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    first = F.expr(f"cast(greatest(0, n - ceil({threshold} * n / 100) + 1 - (n - size(s))) as int)")
+    return lists.select("id", F.explode(F.slice("s", F.lit(1), first)).alias("e")).select("id", "e.shingle").distinct()
 
 
 def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
@@ -192,55 +198,62 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked with texts of the same words. class_id is the smallest id with the same set, n_links the number of links
     of that class with other classes that were confirmed, component_id the smallest id reachable over links,
     kept whether the document is that one. Rows with a null id count as copies of no one and stay (component_id null,
-    kept true). Repeated rows stay repeated and get equal values. Other columns of docs are ignored; an empty table
-    gives an empty result.
+    kept true). Repeated rows stay repeated and get equal values. Of rows with one id and different texts each gets the
+    values of its own text's class; an id that is the smallest of several classes joins them. Other columns of docs are
+    ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(base, "id", "text", size, m, rows, seed))
     known = signed.where("id is not null and n_shingles > 0")
     heads = known.groupBy("class").agg(F.min("id").alias("id"))
     # a set of under threshold / (100 - threshold) shingles has no partner but its equals
-    reps = stored(known.where(f"n_shingles * (100 - {threshold}) >= {threshold}").join(heads, ["class", "id"], "left_semi").dropDuplicates(["id"]))
+    reps = stored(known.where(f"n_shingles * (100 - {threshold}) >= {threshold}").join(heads, ["class", "id"], "left_semi").dropDuplicates(["id", "class"]))
     members = stored(table_members(reps, m))
     texts = base.where("id is not null")
 
-    links = None
+    links = tested = label = None
     alike = _alike("x", "y", m, rows, threshold)
     brief = reps.select("id", F.struct(F.col("id"), F.col("n_shingles").alias("n"), "sketch").alias("x"))
-    label = None
     for k in range(STAR_ROUNDS + 1):
         tagged = members.withColumn("c", F.col("id")) if label is None else members.join(label, "id")
-        spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.struct("c", "id")).alias("p"), F.max_by("id", F.struct("c", "id")).alias("q")).where("lo < hi")
+        spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.struct("c", "id")).alias("hub")).where("lo < hi")
         if label is not None:
             # components only grow, so a table within one of them is done with
             spread = stored(spread)
             tagged = stored(tagged.join(spread.select("table"), "table"))
             members = tagged.select("table", "id")
         if k < STAR_ROUNDS:
-            # all members with the first member of the first, then of the last component
-            hub = spread.select("table", F.col("p" if k % 2 == 0 else "q").alias("hub"), F.col("lo" if k % 2 == 0 else "hi").alias("hc"))
-            pairs = tagged.join(hub, "table").where("c <> hc").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            # each member with one of its tables' first members that it wasn't compared with, the one of most of its tables
+            met = tagged.join(spread.select("table", "hub", F.col("lo").alias("hc")), "table").where("c <> hc").groupBy("id", "hub").agg(F.count("*").alias("n"))
+            if tested is not None:
+                met = met.join(tested, ["id", "hub"], "left_anti")
+            met = stored(met.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
+            tested = met if tested is None else tested.union(met)
+            pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
             pairs = pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike)
         else:
-            # all pairs of different components, but for members that have too few shingles in common with any other
-            common = common_shingles(texts.join(tagged.select("id").distinct(), "id", "left_semi"), size)
-            able = stored(brief.join(reps.select("id", "bundles"), "id").join(common, "id").where(f"100 * common >= {threshold} * x.n"))
-            tagged = tagged.join(able.select("id"), "id", "left_semi")
-            spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
-            mixed = tagged.join(spread, "table").join(able, "id").select("table", F.struct("id", "c", "common", "bundles").alias("p"), "x")
-            bound = f"100 * least(p.common, q.common) >= {threshold} * (x.n + y.n - least(p.common, q.common))"
-            pairs = mixed.join(mixed.select("table", F.col("p").alias("q"), F.col("x").alias("y")), "table").where(f"p.id < q.id and p.c <> q.c and {bound} and {_first_table(m)} and {alike}").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+            # all pairs of different components that share a table and a rare shingle; members of the largest component of
+            # a shingle aren't paired with each other
+            left = stored(tagged.select("id", "c").distinct())
+            keys = stored(rare_shingles(texts.join(left, "id", "left_semi"), threshold, size).join(left, "id"))
+            sizes = keys.groupBy("shingle", "c").agg(F.count("*").alias("n"))
+            main = stored(sizes.groupBy("shingle").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("n", "c")).alias("main")).where("cs > 1"))
+            able = reps.select("id", F.struct("id", F.col("n_shingles").alias("n"), "sketch", "bundles").alias("x"))
+            keys = stored(keys.join(main, "shingle").join(able, "id"))
+            p = keys.where("c <> main").select("shingle", F.col("c").alias("pc"), F.col("x"))
+            q = keys.select("shingle", F.col("c").alias("qc"), F.col("x").alias("y"))
+            pairs = p.join(q, "shingle").where(f"pc <> qc and {alike} and {_shares_table('x', 'y', m)}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         pairs = stored(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
             if k >= STAR_ROUNDS or spread.isEmpty():
                 break
             continue
-        found = confirmed(pairs, texts, threshold, size)
-        links = cut(found if links is None else links.union(found).distinct())
-        if links.isEmpty():
+        found = stored(confirmed(pairs, texts, threshold, size))
+        if found.isEmpty():
             continue
+        links = cut(found if links is None else links.union(found).distinct())
         comp = cut(connected_components(links))
-        label = reps.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+        label = reps.select("id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
     out = heads.withColumnRenamed("id", "class_id")
     if label is None:
         out = out.withColumns({"n_links": F.lit(0).cast("bigint"), "component": F.col("class_id")})
