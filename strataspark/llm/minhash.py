@@ -7,12 +7,12 @@ similarity s meets in a table with probability (1 - (1 - s**rows)**m)**2; at 0.8
 2 times in 100,000, above that less. Candidates are confirmed on the full sets.
 
 Only table keys of two bundles that both repeat can repeat, so only those are formed. Documents with equal sets are
-one class from the start. In each of a few rounds every member is compared with one other, the first member of the
-smallest component in the table that it meets in most of its tables; confirmed links are merged into components, and
-tables within one component are done with. A large group of copies thus costs about one comparison a member. What is
-left of a table is divided by the rarest shingles of its members: two sets that are similar enough have one of those in
-common, so only pairs of different components that share a table and a rare shingle are compared. No pair that shares a
-table and could join two components is left out.
+one class from the start. In each of a few rounds every member is compared with one other: first with the most central
+member of its tables, the one that meets most others in its own tables, which is mostly the text that a group was copied
+from. Confirmed links are merged into components, and tables within one component are done with, so a large group of
+copies costs about one comparison a member. Two sets that are similar enough have one of their rarest shingles in
+common; only members that share one with another component are left, and within a table pairs of different components are
+formed, but for pairs within its largest component. No pair that shares a table and could join two components is left out.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, stored
+from .common import small, stored
 from .components import connected_components
 
 #: Rounds of comparisons with one other member, before the remaining pairs are formed.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Up to this many ids of documents to confirm are broadcast, so that only their texts are dealt out; they are counted first.
 SMALL_IDS = 200_000
 #: Of the minhashes of a pair, a share of threshold - SLACK at least must agree before full sets are compared. At 0.85
@@ -124,10 +124,10 @@ def table_members(classes: DataFrame, m: int = 12) -> DataFrame:
     return keys.join(shared, "table")
 
 
-def _shares_table(x: str, y: str, m: int) -> str:
-    """SQL: whether the structs x and y have a bundle of the first and one of the second collection in common."""
-    same = lambda at: " or ".join(f"get({x}.bundles, {k}) = get({y}.bundles, {k})" for k in at)
-    return f"({same(range(m))}) and ({same(range(m, 2 * m))})"
+def _first_table(m: int) -> str:
+    """SQL: whether table is the first that the structs x and y share, so that a pair is formed once."""
+    same = [f"case when get(x.bundles, {k}) = get(y.bundles, {k}) then get(x.bundles, {k}) end" for k in range(2 * m)]
+    return f"table = xxhash64(coalesce({', '.join(same[:m])}), coalesce({', '.join(same[m:])}))"
 
 
 def rare_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
@@ -190,6 +190,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int = 5)
     return p.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """id and c, the smallest id reachable over links(a, b), of each id of reps."""
+    comp = stored(connected_components(links).withColumnRenamed("node", "id"))
+    return reps.select("id").distinct().join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+
+
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, size: int = 5, m: int = 12, rows: int = 3, seed: int = 7) -> DataFrame:
     """Near-duplicate components: one row a document with doc_id, n_shingles, class_id, n_links, component_id, kept.
 
@@ -211,55 +217,57 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = stored(table_members(reps, m))
     texts = base.where("id is not null")
 
-    links = tested = label = None
     alike = _alike("x", "y", m, rows, threshold)
     brief = reps.select("id", F.struct(F.col("id"), F.col("n_shingles").alias("n"), "sketch").alias("x"))
-    for k in range(STAR_ROUNDS + 1):
-        tagged = members.withColumn("c", F.col("id")) if label is None else members.join(label, "id")
-        spread = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.struct("c", "id")).alias("hub")).where("lo < hi")
-        if label is not None:
-            # components only grow, so a table within one of them is done with
-            spread = stored(spread)
-            tagged = stored(tagged.join(spread.select("table"), "table"))
-            members = tagged.select("table", "id")
-        if k < STAR_ROUNDS:
-            # each member with one of its tables' first members that it wasn't compared with, the one of most of its tables
-            met = tagged.join(spread.select("table", "hub", F.col("lo").alias("hc")), "table").where("c <> hc").groupBy("id", "hub").agg(F.count("*").alias("n"))
-            if tested is not None:
-                met = met.join(tested, ["id", "hub"], "left_anti")
-            met = stored(met.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
-            tested = met if tested is None else tested.union(met)
-            pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-            pairs = pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike)
-        else:
-            # all pairs of different components that share a table and a rare shingle; members of the largest component of
-            # a shingle aren't paired with each other
-            left = stored(tagged.select("id", "c").distinct())
-            keys = stored(rare_shingles(texts.join(left, "id", "left_semi"), threshold, size).join(left, "id"))
-            sizes = keys.groupBy("shingle", "c").agg(F.count("*").alias("n"))
-            main = stored(sizes.groupBy("shingle").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("n", "c")).alias("main")).where("cs > 1"))
-            able = reps.select("id", F.struct("id", F.col("n_shingles").alias("n"), "sketch", "bundles").alias("x"))
-            keys = stored(keys.join(main, "shingle").join(able, "id"))
-            p = keys.where("c <> main").select("shingle", F.col("c").alias("pc"), F.col("x"))
-            q = keys.select("shingle", F.col("c").alias("qc"), F.col("x").alias("y"))
-            pairs = p.join(q, "shingle").where(f"pc <> qc and {alike} and {_shares_table('x', 'y', m)}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = stored(pairs.select("a", "b").distinct())
-        if pairs.isEmpty():
-            if k >= STAR_ROUNDS or spread.isEmpty():
-                break
-            continue
-        found = stored(confirmed(pairs, texts, threshold, size))
-        if found.isEmpty():
-            continue
-        links = cut(found if links is None else links.union(found).distinct())
-        comp = cut(connected_components(links))
-        label = reps.select("id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return stored(confirmed(stored(pairs.select("a", "b").distinct()), texts, threshold, size))
+
+    sizes = members.groupBy("table").agg(F.count("*").alias("n"))
+    degree = members.join(sizes, "table").groupBy("id").agg(F.sum("n").alias("degree"))
+    tagged = stored(members.join(degree, "id").withColumn("c", F.col("id")))
+    links = tested = None
+    for k in range(STAR_ROUNDS):
+        # each member with the hub of most of its tables that it wasn't compared with
+        rank = F.struct("degree", -F.col("id")) if k == 0 else F.struct(F.xxhash64("id", F.lit(k)), "id")
+        hub = tagged.groupBy("table").agg(F.max_by(F.struct("id", "c", "degree"), rank).alias("hub"))
+        met = tagged.join(hub, "table").where("c <> hub.c").groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("n"), F.max("hub.degree").alias("degree"))
+        if tested is not None:
+            met = met.join(tested, ["id", "hub"], "left_anti")
+        met = stored(met.groupBy("id").agg(F.max_by("hub", F.struct("n", "degree", -F.col("hub"))).alias("hub")))
+        tested = met if tested is None else tested.union(met)
+        pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        found = links_of(pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike))
+        links = found if links is None else links.union(found)
+        if k + 1 < STAR_ROUNDS:
+            # members count as their hub's where they are linked with it; tables of one hub's members are done with
+            own = met.join(found, (F.least("id", "hub") == F.col("a")) & (F.greatest("id", "hub") == F.col("b")), "left_semi")
+            tagged = tagged.join(own, "id", "left").withColumn("c", F.coalesce("hub", "c")).drop("hub")
+            mixed = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
+            tagged = stored(tagged.join(mixed, "table"))
+    label = _labels(reps, links)
+    tagged = members.join(label, "id")
+    tables = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
+    tagged = stored(tagged.join(tables, "table"))
+    left = stored(tagged.select("id", "c").distinct())
+    keys = stored(rare_shingles(texts.join(left, "id", "left_semi"), threshold, size).join(left, "id"))
+    shared = keys.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
+    able = keys.join(shared, "shingle").select("id").distinct().join(reps, "id").select("id", F.struct("id", F.col("n_shingles").alias("n"), "sketch", "bundles").alias("x"))
+    able = stored(able)
+    tagged = tagged.join(able.select("id").distinct(), "id", "left_semi")
+    main = tagged.groupBy("table", "c").agg(F.count("*").alias("n")).groupBy("table").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("n", "c")).alias("main")).where("cs > 1").select("table", "main")
+    tagged = stored(tagged.join(main, "table").join(able, "id"))
+    p = tagged.where("c <> main").select("table", "main", F.col("c").alias("pc"), "x")
+    q = tagged.select("table", F.col("c").alias("qc"), F.col("x").alias("y"))
+    pairs = p.join(q, "table").where(f"pc <> qc and (qc = main or x.id < y.id) and {alike} and {_first_table(m)}")
+    found = links_of(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    if not found.isEmpty():
+        links = links.union(found)
+        label = _labels(reps, links)
+    links = links.distinct()
     out = heads.withColumnRenamed("id", "class_id")
-    if label is None:
-        out = out.withColumns({"n_links": F.lit(0).cast("bigint"), "component": F.col("class_id")})
-    else:
-        degree = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-        out = out.join(degree, "class_id", "left").join(label.select(F.col("id").alias("class_id"), F.col("c").alias("component")), "class_id", "left")
+    ends = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    out = out.join(ends, "class_id", "left").join(label.select(F.col("id").alias("class_id"), F.col("c").alias("component")), "class_id", "left")
     rest = signed.where("id is null or n_shingles = 0").select("id", "n_shingles")
     out = known.select("id", "n_shingles", "class").join(out, "class").drop("class").unionByName(rest, allowMissingColumns=True)
     return out.select(
