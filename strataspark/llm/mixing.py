@@ -14,11 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, let
 
 DIMS = ("source", "lang", "topic")
-#: Target shares are the shares found to this power, scaled to 1: below 1 raises what is rare.
+#: Target shares of tokens by dimension and value. Values that a table doesn't name share what it leaves of 1.
+TARGETS = {"lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.1}, "topic": {"general": 0.88, "legal": 0.035, "contact": 0.03, "tabular": 0.03, "security": 0.02}}
+#: They share it by their tokens to this power: below 1 raises what is rare.
 ALPHAS = {"source": 0.8, "lang": 0.8, "topic": 1.0}
+#: Topics and their terms; a text's topic is the one with most of its terms in the text, the first of several, or general.
+TOPICS = {
+    "legal": ("licens", "licenc", "copyright", "warrant", "permission", "liab"),
+    "security": ("password", "passwd", "secret", "token", "api_key", "apikey", "akia"),
+    "contact": ("@", "http://", "https://", "www.", "+1 ("),
+    "tabular": (" | ",),
+}
 ROUNDS = 8
 SEED = "mix"
 #: The share of all tokens that the pipeline keeps at least. op2 has none: its SQL scales by the largest rate alone.
@@ -35,9 +44,13 @@ def words_of(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic from a text's form: legal, tabular, short or prose."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(F.lower(t).contains("licen"), "legal").when(t.contains(" | "), "tabular").when(F.char_length(t) < 400, "short").otherwise("prose")
+    """The topic of TOPICS with most terms in a text, or general."""
+
+    def best(t: Column) -> Column:
+        counts = F.array(*(F.struct(sum((t.contains(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(TOPICS.items())))
+        return let(F.array_max(counts), lambda m: F.when(m["n"] > 0, m["name"]).otherwise("general"))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), best)
 
 
 def labelled(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> DataFrame:
@@ -48,24 +61,32 @@ def labelled(docs: DataFrame, text_col: str = "text", topic: Column | None = Non
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alphas=None, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
-    """cells(_source, _lang, _topic, tokens) with weight (adds up to 1) and probability (the largest is 1).
+    """cells(_source, _lang, _topic, tokens) with the targets t_ of each dimension, weight (adds up to 1) and probability (the largest is 1).
 
     With a budget, probabilities keep that share of the tokens at least, or all tokens that have a weight.
 
-    targets has a frame (value, share) by dimension; dimensions without one get alphas. Values without a target or
-    tokens get weight 0. Each round scales the weights to each dimension's shares once.
+    targets has a dict or a frame (value, share) by dimension (none: TARGETS). Values that it doesn't name share what is
+    left of 1 by their tokens to the power alphas; values without tokens get weight 0, and the others' shares are scaled to
+    1. Each round scales the weights to each dimension's shares once.
     """
-    alphas = ALPHAS | (alphas or {})
+    alphas, targets = ALPHAS | (alphas or {}), TARGETS if targets is None else targets
     cells = cut(cells.groupBy(*(f"_{d}" for d in DIMS)).agg(F.sum("tokens").alias("tokens")))
     small = cells.count() <= SMALL_CELLS
     x = cells = cells.coalesce(1) if small else cells
     for d in DIMS:
-        if targets and d in targets:
-            x = x.join(targets[d].select(F.col("value").alias(f"_{d}"), F.col("share").cast("double").alias(f"t_{d}")), f"_{d}", "left").fillna({f"t_{d}": 0.0})
+        n = cells.groupBy(F.col(f"_{d}").alias("v")).agg(F.sum("tokens").cast("double").alias("n"))
+        given = targets.get(d, {})
+        if isinstance(given, DataFrame):
+            n = n.join(given.select(F.col("value").alias("v"), F.col("share").cast("double").alias("share")), "v", "left")
+            rest = 1 - (given.agg(F.sum("share")).first()[0] or 0)
         else:
-            sums = cells.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(alphas[d]))).alias("p"))
-            share = sums.select(F.col(f"_{d}").alias("v"), (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(1)))).alias(f"t_{d}"))
-            x = x.join(share, F.col(f"_{d}") == F.col("v")).drop("v")
+            n = n.withColumn("share", F.coalesce(*(F.when(F.col("v") == v, float(share)) for v, share in given.items()), F.lit(None).cast("double")))
+            rest = 1 - sum(given.values())
+        every = Window.partitionBy(F.lit(1))
+        p = F.pow("n", F.lit(float(alphas[d])))
+        raw = F.when(F.col("n") <= 0, 0.0).when(F.col("share").isNotNull(), F.col("share")).otherwise(F.lit(max(0.0, rest)) * p / F.sum(F.when(F.col("share").isNull(), p)).over(every))
+        n = n.withColumn("raw", raw).select("v", F.when(F.sum("raw").over(every) > 0, F.col("raw") / F.sum("raw").over(every)).otherwise(0.0).alias(f"t_{d}"))
+        x = x.join(n, F.col(f"_{d}") == F.col("v")).drop("v")
     x = cut(x)
     x = (x.coalesce(1) if small else x).withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
@@ -80,7 +101,17 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alphas=
         x, kept = _calibrated(x, float(min(budget * total, able)), rounds)
         plain = F.least(F.greatest(plain, kept / F.col("tokens")), F.lit(1.0))
     # cells without tokens have nothing to weigh; their documents stay
-    return x.withColumn("probability", F.when(F.col("tokens") > 0, plain).otherwise(F.lit(1.0))).select(*(f"_{d}" for d in DIMS), "tokens", "weight", "probability")
+    return x.withColumn("probability", F.when(F.col("tokens") > 0, plain).otherwise(F.lit(1.0))).select(*(f"_{d}" for d in DIMS), *(f"t_{d}" for d in DIMS), "tokens", "weight", "probability")
+
+
+def marginals(cells: DataFrame) -> DataFrame:
+    """dimension, value, target, raked and expected: the shares of each value asked for, after raking, and of the tokens that sampling is expected to keep; cells is what raked gives."""
+    parts = []
+    for d in DIMS:
+        kept = F.sum(F.col("tokens") * F.col("probability"))
+        own = cells.groupBy(F.col(f"_{d}").alias("value")).agg(F.first(f"t_{d}").alias("target"), F.sum("weight").alias("raked"), kept.alias("kept"))
+        parts.append(own.select(F.lit(d).alias("dimension"), "value", "target", "raked", (F.col("kept") / F.sum("kept").over(Window.partitionBy(F.lit(1)))).alias("expected")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def _calibrated(x: DataFrame, budget: float, rounds: int) -> tuple[DataFrame, Column]:
@@ -132,20 +163,28 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    """Sampling decision of each document, for sources and languages at the power 0.8 and topics as found."""
+    """Sampling decision of each document, for the languages and topics of TARGETS and sources at the power 0.8."""
     m = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return m.select("row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def _sql() -> str:
+    t = "lower(coalesce(text, ''))"
+    counts = {k: " + ".join(f"cast(contains({t}, '{w}') as int)" for w in words) for k, words in TOPICS.items()}
+    most = f"greatest({', '.join(f'n_{k}' for k in TOPICS)})"
+    topic = " ".join(f"when n_{k} > 0 and n_{k} = {most} then '{k}'" for k in TOPICS)
     steps = [
-        r"""l as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
-  case when lower(coalesce(text, '')) like '%licen%' then 'legal' when contains(coalesce(text, ''), ' | ') then 'tabular' when length(coalesce(text, '')) < 400 then 'short' else 'prose' end as topic,
+        rf"""l0 as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, {', '.join(f'{c} as n_{k}' for k, c in counts.items())},
   cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from documents)""",
+        f"l as (select doc_id, source, lang, case {topic} else 'general' end as topic, n_tokens from l0)",
         "c as (select source, lang, topic, cast(sum(n_tokens) as bigint) as tokens from l group by all)",
     ]
     for d in DIMS:
-        steps.append(f"t_{d} as (select {d}, p / sum(p) over () as t_{d} from (select {d}, pow(cast(sum(tokens) as double), {float(ALPHAS[d])!r}) as p from c group by {d}))")
+        given = TARGETS.get(d, {})
+        share = f"case {' '.join(f'when {d} = {v!r} then cast({s!r} as double)' for v, s in given.items())} end" if given else "cast(null as double)"
+        steps.append(f"n_{d} as (select {d}, cast(sum(tokens) as double) as n, {share} as share from c group by {d})")
+        steps.append(f"s_{d} as (select {d}, case when n <= 0 then 0.0 when share is not null then share else {max(0.0, 1 - sum(given.values()))!r} * pow(n, {float(ALPHAS[d])!r}) / sum(case when share is null then pow(n, {float(ALPHAS[d])!r}) end) over () end as raw from n_{d})")
+        steps.append(f"t_{d} as (select {d}, case when sum(raw) over () > 0 then raw / sum(raw) over () else 0.0 end as t_{d} from s_{d})")
     steps.append("w0 as (select c.*, t_source, t_lang, t_topic, cast(tokens as double) as weight from c join t_source using (source) join t_lang using (lang) join t_topic using (topic))")
     n = 0
     for _ in range(ROUNDS):

@@ -76,7 +76,11 @@ def test_stages(spark, folder):
     sampled = step("mixing", single)
     c = duckdb.connect()
     documents = single.toPandas()  # noqa: F841 - the SQL reads it by name
-    assert {i for i, _ in corpus_of(sampled)} == {r[0] for r in c.execute(f"select doc_id from ({mixing.OP2_SQL}) where sampled").fetchall()}
+    # what the scaling of the SQL keeps, and more up to the budget
+    kept = {i for i, _ in corpus_of(sampled)}
+    assert {r[0] for r in c.execute(f"select doc_id from ({mixing.OP2_SQL}) where sampled").fetchall()} <= kept
+    tokens = {i: len((t or "").split()) for i, t in corpus_of(single)}
+    assert sum(tokens[i] for i in kept) > (mixing.BUDGET - 0.1) * sum(tokens.values())
 
     packed = step("packing", sampled).collect()
     assert {r["doc_id"] for r in packed} == {i for i, _ in corpus_of(sampled)}
@@ -99,7 +103,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 11))
 
 
 def test_entry_works_without_the_subpackage(tmp_path):
