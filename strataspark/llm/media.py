@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small
@@ -148,8 +148,8 @@ _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.
 ITEMS = "items array<struct<position:int,kind:string,text:string,reference:string,caption:string>>"
 
 
-def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id and items, the ordered texts and media references of each page.
+def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", n_bytes: Column | None = None) -> DataFrame:
+    """id, n_bytes (a number that goes along, null unless given) and items, the ordered texts and media references of each page.
 
     Null and empty pages have no items. Repeated rows repeat, a null id stays null, other columns are ignored, no rows
     give no rows. Broken HTML is read as far as a lenient parser gets.
@@ -157,9 +157,10 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence(t) for t in batch.column(1).to_pylist()], pa.list_(_ITEM))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sequence(t) for t in batch.column(2).to_pylist()], pa.list_(_ITEM))], names=["id", "n_bytes", "items"])
 
-    return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id bigint, {ITEMS}")
+    n = F.lit(None).cast("bigint") if n_bytes is None else n_bytes
+    return pages.select(F.col(id_col).cast("bigint").alias("id"), n.alias("n_bytes"), F.col(html_col).alias("html")).mapInArrow(run, f"id bigint, n_bytes bigint, {ITEMS}")
 
 
 _READ = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -196,35 +197,54 @@ def read_back(store: DataFrame) -> DataFrame:
 
 
 def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
-    """One row a media reference of items(id, items), with the columns of media(digest, ...) where its digest is known.
+    """One row a media reference of items(id, n_bytes, items), with the columns of media(digest, ...) where its digest is known.
 
     References are of the form sha256:<digest>; position and caption are those of the item, before is the text of the
     item in front of it; media columns are null for references that no digest answers.
     """
-    refs = items.select("id", "items", F.explode("items").alias("i")).where("i.kind = 'media'")
+    refs = items.select("id", "n_bytes", "items", F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i"))
     before = F.get("items", F.col("i.position") - 1)["text"]
-    refs = refs.select("id", "i.position", "i.caption", before.alias("before"), F.regexp_extract("i.reference", "^sha256:([0-9a-f]{64})$", 1).alias("digest"))
+    refs = refs.select("id", "n_bytes", "i.position", "i.caption", before.alias("before"), F.regexp_extract("i.reference", "^sha256:([0-9a-f]{64})$", 1).alias("digest"))
     return refs.join(media, "digest", "left")
 
 
-def with_payload(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, payload and digest: each text in UTF-8, filled up with spaces to whole rows of width bytes, one at least."""
+def with_payload(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: tuple = ()) -> DataFrame:
+    """doc_id, n_bytes, payload and digest: each text in UTF-8, filled up with spaces to whole rows of width bytes, one at least; keep are columns of docs that go along."""
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), raw.alias("raw"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), raw.alias("raw"), *keep)
     d = d.withColumn("n_bytes", F.octet_length("raw").cast("bigint"))
     full = f"cast(greatest(1, ceil(n_bytes / {width})) * {width} as int)"
-    d = d.select("doc_id", "n_bytes", F.expr(f"rpad(raw, {full}, X'20')").alias("payload"))
+    d = d.withColumn("payload", F.expr(f"rpad(raw, {full}, X'20')")).drop("raw")
     return d.withColumn("digest", F.sha2("payload", 256))
 
 
+def text_page(text: Column, digest: Column) -> Column:
+    """HTML of a text: its lines as paragraphs, then a figure that refers to the digest, captioned by the number of characters."""
+    t = F.coalesce(text, F.lit(""))
+    escaped = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    paragraphs = F.replace(escaped, F.lit("\n"), F.lit("</p><p>"))
+    figure = F.concat(F.lit("<figure><img src='sha256:"), digest, F.lit("'><figcaption>"), F.char_length(t).cast("string"), F.lit(" characters</figcaption></figure>"))
+    return F.concat(F.lit("<article><p>"), paragraphs, F.lit("</p>"), figure, F.lit("</article>"))
+
+
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Each document's text as the media of a page of its own: parsed, resolved by digest and read back."""
-    docs = with_payload(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    figure = F.format_string("<article><p>%s bytes</p><figure><img src='sha256:%s'><figcaption>document %s</figcaption></figure></article>", "n_bytes", "digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    pages = docs.select("doc_id", figure.alias("html"))
-    found = resolved(interleaved(pages, "doc_id"), read_back(media_store(docs)))
-    n_bytes = F.regexp_extract("before", r"^(\d+) bytes$", 1).cast("bigint").alias("n_bytes")
-    return found.select(F.col("id").alias("doc_id"), n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "digest")
+    """Each document as a page of its own text and a figure of it: parsed to ordered items, resolved by digest and read back.
+
+    position is that of the figure, the number of the text's lines that have a word.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    payloads = with_payload(d)
+    own = with_payload(d, keep=(F.col("text"),)).select("doc_id", "n_bytes", text_page(F.col("text"), F.col("digest")).alias("html"))
+    found = resolved(interleaved(own, "doc_id", n_bytes=F.col("n_bytes")), read_back(media_store(payloads)))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "digest")
+
+
+def page_media_sequences(spark, sf_dir: str) -> DataFrame:
+    """The ordered texts and media references of all raw web pages: how many of each, and a digest of the sequence."""
+    s = interleaved(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    said = F.transform("items", lambda i: F.concat_ws("\x1f", i["kind"], F.coalesce(i["text"], F.lit("")), F.coalesce(i["reference"], F.lit("")), F.coalesce(i["caption"], F.lit(""))))
+    count = lambda k: F.size(F.filter("items", lambda i: i["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return s.select(F.col("id").alias("page_id"), F.size("items").cast("bigint").alias("n_items"), count("text"), count("media"), F.sha2(F.array_join(said, "\n"), 256).alias("sequence_sha256"))
 
 
 def page_html(parts: list[tuple[str, str, str]]) -> str:
