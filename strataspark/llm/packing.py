@@ -10,6 +10,7 @@ ends with a few open sequences, so the loss against one run over all pieces is a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,9 +34,12 @@ class TokenBytes:
     """Token ids of texts as little-endian 32-bit bytes: those of a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary, whose ids follow the order of its merges, is run by tiktoken, which needs a sixth of the time
-    for the same ids; texts that hold a special token are left to tokenizers itself.
+    for the same ids; texts that hold a special token, or a run of white space that is too long for tiktoken's pattern
+    (it fails somewhere beyond 400,000 characters), are left to tokenizers itself.
     """
 
+    LONG_RUN = 100_000
+
     def __init__(self, path: str, pattern: str = PATTERN):
         import tiktoken
         from tokenizers import Tokenizer
@@ -45,18 +49,19 @@ class TokenBytes:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(byte[c] for c in w): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w not in self.special}
+        self.long_space = re.compile(rf"\s{{{self.LONG_RUN}}}")
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= self.LONG_RUN and self.long_space.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and end_id, cut into pieces of capacity.
+    """doc_id, piece, start, length, ids_crc32, place: each document's ids and end_id, cut into pieces of capacity.
 
-    What is over goes into the first piece.
+    What is over goes into the first piece. place is the document's row in its batch, so that rows that repeat can be dealt apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +69,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for doc, text in zip(ids, texts, strict=True):
+            for place, (doc, text) in enumerate(zip(ids, texts, strict=True)):
                 raw = tokens(text) + end
                 n = len(raw) // 4
                 bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), place) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, place int")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -102,18 +107,18 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset; pieces has doc_id, piece, start, length, ids_crc32 and is read twice."""
+    """pieces with sequence_id and offset; pieces is what token_pieces gives, stored, and is read twice."""
     groups = max(1, round(pieces.count() / group))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # pieces of half a sequence or more can't share one: they come first, longest first; the others in no order of length
         small = pdf["length"].to_numpy() < capacity // 2
-        mixed = pd.util.hash_array((pdf["doc_id"].fillna(-1).to_numpy(np.int64) << 16) + pdf["piece"].to_numpy())
+        mixed = pd.util.hash_array((pdf["doc_id"].fillna(-1).to_numpy(np.int64) << 16) + pdf["piece"].to_numpy() + 7 * pdf["place"].to_numpy())
         pdf = pdf.iloc[np.lexsort((mixed, np.where(small, 0, -pdf["length"].to_numpy()), small))].reset_index(drop=True)
         s, at = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.drop(columns="grp").assign(sequence_id=(pdf["grp"].to_numpy().astype(np.int64) << 40) + s, offset=at)
+        return pdf.drop(columns=["grp", "place"]).assign(sequence_id=(pdf["grp"].to_numpy().astype(np.int64) << 40) + s, offset=at)
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.lit(groups)).cast("int"))
     return dealt.groupBy("grp").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
