@@ -24,8 +24,8 @@ MAX_EDITS = 2
 MIN_CHARS = 24
 #: op8 and the pipeline find exact copies of all lines that have a word.
 MIN_EXACT = 1
-#: Up to this many ids of documents that hold candidate lines are broadcast; they are counted first.
-SMALL_IDS = 200_000
+#: Up to this many places of candidate lines are broadcast; they are counted first.
+SMALL_LINES = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -145,21 +145,21 @@ def within(pairs: list[tuple[str, str]], max_edits: int = MAX_EDITS) -> np.ndarr
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, h1, h2, first (in its document) of each line that is compared."""
+    """doc_id, th, pos, h1, h2, first (in its document) of each line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
                 seen: set[str] = set()
                 for k, line in enumerate((text or "").split("\n")):
                     form = normal(line)
                     if len(form) >= min_chars:
-                        rows.append((doc, k, *_digest(form), form not in seen))
+                        rows.append((doc, th, k, *_digest(form), form not in seen))
                         seen.add(form)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "pos", "h1", "h2", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "th", "pos", "h1", "h2", "first"])
 
-    return docs.mapInArrow(run, "doc_id bigint, pos int, h1 bigint, h2 bigint, first boolean")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, pos int, h1 bigint, h2 bigint, first boolean")
 
 
 def _keys(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _keys(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             for part in chunks(texts, limit=500_000):
                 forms = list({f for t in texts[part] if t for f in map(normal, t.split("\n")) if len(f) >= min_chars})
                 own, keys, segments = segment_keys(forms, max_edits, min_chars)
@@ -178,9 +178,9 @@ def _keys(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
 
 
 def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, form, parity of the lines wanted(doc_id, pos, ...)."""
-    places = wanted.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    if wanted.select("doc_id").distinct().count() <= SMALL_IDS:
+    """h1, h2, form, parity of the lines wanted(doc_id, th, pos, ...)."""
+    places = wanted.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("at"))
+    if wanted.count() <= SMALL_LINES:
         places = F.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((*_digest(f), f, parity(f)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["h1", "h2", "form", "parity"])
 
-    return docs.join(places, "doc_id").select("text", "at").mapInArrow(run, "h1 bigint, h2 bigint, form string, parity bigint").dropDuplicates(["h1", "h2"])
+    return docs.join(places, ["doc_id", "th"]).select("text", "at").mapInArrow(run, "h1 bigint, h2 bigint, form string, parity bigint").dropDuplicates(["h1", "h2"])
 
 
 def _linked(pairs: DataFrame, max_edits: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _linked(pairs: DataFrame, max_edits: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2 of the distinct lines(h1, h2, doc_id, pos) that have an earlier line within max_edits.
+    """h1, h2 of the distinct lines(h1, h2, doc_id, th, pos) that have an earlier line within max_edits.
 
     Earlier is the line whose first document has the smaller id, in one document the one above.
     """
@@ -216,7 +216,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS, mi
     members = stored(dealt.join(shared.hint("shuffle_hash"), "key").groupBy("key", "h1").agg(F.max("segment").alias("segment")))
     wanted = stored(lines.join(members.select("h1").distinct(), "h1", "left_semi"))
     forms = _forms(docs, wanted)
-    known = stored(wanted.join(forms, ["h1", "h2"]).select("h1", F.struct("doc_id", "pos", "h1", "h2").alias("at"), "h2", "form", "parity"))
+    known = stored(wanted.join(forms, ["h1", "h2"]).select("h1", F.struct("doc_id", "th", "pos", "h1", "h2").alias("at"), "h2", "form", "parity"))
     brief = known.select("h1", "h2", "at", "parity", F.length("form").alias("n"))
     m = members.join(brief, "h1")
     # the key must be a segment of the shorter line
@@ -238,13 +238,15 @@ def near_lines(docs: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS, mi
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, min_exact: int | None = None) -> DataFrame:
-    """doc_id, exact and near: the places (from 0) of the lines that go from each document that loses any."""
+    """doc_id, th, exact and near: the places (from 0) of the lines that go from each of docs(doc_id, th, text) that loses any."""
     seen = stored(_occurrences(docs, min_chars if min_exact is None else min(min_chars, min_exact)))
-    lines = seen.where("first").groupBy("h1", "h2").agg(F.min_by("pos", "doc_id").alias("pos"), F.min("doc_id").alias("doc_id"))
+    own = F.struct("doc_id", "th")
+    lines = stored(seen.where("first").groupBy("h1", "h2").agg(F.min_by("pos", own).alias("pos"), F.min(own).alias("owner")).select("h1", "h2", "pos", "owner.*"))
     near = near_lines(docs, lines, max_edits, min_chars).withColumn("near", F.lit(True))
-    fate = lines.select("h1", "h2", F.col("doc_id").alias("owner")).join(near, ["h1", "h2"], "left")
-    fate = seen.join(fate, ["h1", "h2"]).select("doc_id", "pos", (~F.col("first") | (F.col("owner") < F.col("doc_id"))).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
-    return fate.where("exact or near").groupBy("doc_id").agg(F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("pos"))).alias("near"))
+    # stored, so that Spark can split the join on a line that very many documents have
+    fate = stored(lines.select("h1", "h2", own.alias("owner")).join(near, ["h1", "h2"], "left"))
+    fate = seen.join(fate, ["h1", "h2"]).select("doc_id", "th", "pos", (~F.col("first") | (F.col("owner") < own)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
+    return fate.where("exact or near").groupBy("doc_id", "th").agg(F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("pos"))).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, min_exact: int | None = None) -> DataFrame:
@@ -253,12 +255,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are split at \\n; those of under min_chars characters in normal form go only as exact copies, and stay if they
     have under min_exact (none: min_chars), or no characters at all. The first line of each form stays
     unless an earlier form is within max_edits edits, whether or not that one stays itself. A null text stays null and
-    has no lines; rows with a null id stay as they are and aren't compared; rows with equal ids count as one document
-    and lose the same lines. Columns of docs, whatever their names, stay inside row. No rows give no rows.
+    has no lines; rows with a null id stay as they are and aren't compared; rows with equal ids and texts count as one
+    document and lose the same lines, of rows with equal ids and different texts the one with the smaller hash is the
+    earlier. Columns of docs, whatever their names, stay inside row. No rows give no rows.
     """
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = removed_lines(own, max_edits, min_chars, min_exact)
-    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(gone, "doc_id", "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = (F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"))
+    gone = removed_lines(docs.where(F.col(id_col).isNotNull()).select(*key, text.alias("text")), max_edits, min_chars, min_exact)
+    kept = docs.select(F.struct("*").alias("row"), *key, F.col(text_col).alias("text")).join(gone, ["doc_id", "th"], "left")
     lines = F.split("text", "\n")
     both = F.concat("exact", "near")
     text = F.when(both.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(both, k)), "\n"))
