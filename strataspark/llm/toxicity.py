@@ -43,8 +43,12 @@ _HIDDEN = re.compile(r"[^\W\d_].*[0-9@$!|+€£(*].*[^\W\d_]|[^\W\d_][0-9@$!|+
 
 #: A beginning of a word of these lengths is a feature beside the whole word.
 PREFIXES = (4, 5, 6)
-#: A feature is kept if it is in this many toxic documents of the sample and its likelihood ratio G2 is as high.
-MIN_TOXIC, MIN_G2, MAX_FEATURES = 5, 30.0, 50_000
+#: A feature is kept if it is in this many toxic documents of the sample at least, or in one in SHARE of them where that
+#: is less (but two), and its likelihood ratio G2 is above what the largest of as many features reaches by chance: twice
+#: the logarithm of their number and MARGIN.
+MIN_TOXIC, SHARE, MARGIN = 5, 40, 4.0
+#: Longer tokens are restored each time, not remembered.
+REMEMBERED = 200
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -82,7 +86,8 @@ def char_model(counts: np.ndarray) -> np.ndarray:
 def decode(token: str, model: np.ndarray) -> str:
     """The letters that token most likely stands for, by Viterbi over its lattice; states are the last two letters."""
     low = token.lower()
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # each state has its cost and its way: (letters, way before)
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     k = 0
     while k < len(low):
         c, n = low[k], 1
@@ -90,24 +95,29 @@ def decode(token: str, model: np.ndarray) -> str:
             n += 1
         k += n
         options: list[tuple[str, float]] = []
-        for letter, cost in [(c, 0.0)] * (c in _AT) + [(x, _COST_DISGUISE) for x in DISGUISES.get(c, "")]:
+        for letter, cost in [(c, 0.0)] * (c in _AT or c.isalpha()) + [(x, _COST_DISGUISE) for x in DISGUISES.get(c, "")]:
             options.append((letter, cost if n != 2 else cost + _COST_ONCE))
             if n > 1:
                 options.append((2 * letter, cost if n == 2 else cost + _COST_ONCE))
         if c in _SEPARATORS or c in DISGUISES and n > 1 or not options:
             options.append(("", _COST_DROP))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, said) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (spent, way) in states.items():
             for letters, cost in options:
                 x, y, total = a, b, spent + cost
                 for letter in letters:
-                    z = _AT[letter]
+                    z = _AT.get(letter, 0)  # a letter outside the model stands for itself
                     total += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, said + letters)
+                    after[x, y] = (total, (letters, way) if letters else way)
         states = after
-    return min((spent + float(model[a, b, 0]), said) for (a, b), (spent, said) in states.items())[1]
+    way = min(((spent + float(model[a, b, 0]), a, b, way) for (a, b), (spent, way) in states.items()), key=lambda s: s[:3])[3]
+    said = []
+    while way is not None:
+        letters, way = way
+        said.append(letters)
+    return "".join(reversed(said))
 
 
 class Restored(dict):
@@ -118,20 +128,22 @@ class Restored(dict):
         self.model = model
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 100_000:
-            self.clear()
-        self[token] = word = self.restore(token)
+        word = self.restore(token)
+        if len(token) <= REMEMBERED:
+            if len(self) > 100_000:
+                self.clear()
+            self[token] = word
         return word
 
     def restore(self, token: str) -> str:
         if token.isalpha():
             word = token.lower()
-            return decode(word, self.model) if len(word) < 64 and _RUN.search(word) else word
+            return decode(word, self.model) if _RUN.search(word) else word
         t = _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
         word = t.lower()
         if t.isalpha() and not _RUN.search(word):
             return word
-        if len(t) < 64 and (_RUN.search(word) or _APART.fullmatch(t) or _HIDDEN.search(t)):
+        if _RUN.search(word) or _APART.fullmatch(t) or _HIDDEN.search(t):
             return decode(t, self.model)
         return word
 
@@ -174,31 +186,34 @@ class _Weights(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = best = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        best = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        if len(word) <= REMEMBERED:
+            if len(self) > 100_000:
+                self.clear()
+            self[word] = best
         return best
 
 
-def _counted(sample: DataFrame, chars: np.ndarray, among: frozenset[str] | None) -> DataFrame:
-    """feature, n: documents of sample(text) that have it; each task sends a feature once."""
+def _counted(sample: DataFrame, chars: np.ndarray) -> DataFrame:
+    """feature, a, b: toxic and clean documents of sample(y, text) that have it; each task sends a feature once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, restored = Counter(), Restored(chars)
+        seen, restored = (Counter(), Counter()), Restored(chars)
         for batch in small(batches):
-            for t in batch.column(0).to_pylist():
-                own = {f for w in set(restored.words(t)) for f in features(w)}
-                seen.update(own if among is None else own & among)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[y].update({f for w in set(restored.words(t)) for f in features(w)})
+        names = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][f] for f in names], pa.int64()) for y in (1, 0))], names=["feature", "a", "b"])
 
-    return sample.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    return sample.select("y", "text").mapInArrow(run, "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _g2(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
-    """Likelihood ratio of a of na against b of nb."""
-    p = (a + b) / (na + nb)
-    part = lambda k, n, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / (n * q)), 0) + np.where(n > k, (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum(n * (1 - q), 1e-9)), 0)
-    return 2 * (part(a, na, p) + part(b, nb, p))
+def _g2(a, b, na: float, nb: float):
+    """Column: likelihood ratio of a of na against b of nb."""
+    p = (a + b) / F.lit(float(na + nb))
+    part = lambda k, n, q: F.when(k > 0, k * F.log(k / (q * n))).otherwise(0.0)
+    sides = lambda k, n: part(k, n, p) + part(F.lit(float(n)) - k, n, 1 - p)
+    return 2 * (sides(a, na) + sides(b, nb))
 
 
 def _lead(text: str | None) -> bytes:
@@ -230,14 +245,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = ToxicModel(chars, {}, (math.log(share / (1 - share)), *(0.0,) * SIGNALS))
     if not na or not nb:
         return model
-    toxic = {r["feature"]: r["n"] for r in _counted(sample.where("y = 1"), chars, None).where(f"n >= {MIN_TOXIC}").orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()}
-    clean = {r["feature"]: r["n"] for r in _counted(sample.where("y = 0"), chars, frozenset(toxic)).collect()}
-    names = sorted(toxic)
-    a, b = np.array([toxic[f] for f in names], float), np.array([clean.get(f, 0) for f in names], float)
-    if len(names):
-        weight = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
-        good = (_g2(a, b, na, nb) >= MIN_G2) & (weight > 1.5)
-        model.weights = {f: float(w) for f, w, g in zip(names, weight, good, strict=True) if g}
+    counts = stored(_counted(sample, chars).where(f"a >= {max(2, min(MIN_TOXIC, na // SHARE))}"))
+    # what is left is bounded by the words of the sample
+    weight = F.log((F.col("a") + 0.5) / (na + 1)) - F.log((F.col("b") + 0.5) / (nb + 1))
+    bound = 2 * math.log(max(2, counts.count())) + MARGIN
+    good = counts.select("feature", weight.alias("w"), _g2(F.col("a").cast("double"), F.col("b").cast("double"), na, nb).alias("g2")).where(f"w > 1.5 and g2 >= {bound!r}")
+    model.weights = {r["feature"]: r["w"] for r in good.collect()}
 
     def signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, known = Restored(chars), _Weights(model.weights)
