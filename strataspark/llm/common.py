@@ -15,16 +15,17 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it, or where the session has set one (setCheckpointDir).
+
+    On a local master without either, a temporary folder; elsewhere executors couldn't read that, so it is an error.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir()
+        if not configured and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-shared-"))
+    return configured or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
