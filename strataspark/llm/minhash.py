@@ -12,7 +12,8 @@ member of its tables, the one that meets most others in its own tables, which is
 from. Confirmed links are merged into components, and tables within one component are done with, so a large group of
 copies costs about one comparison a member. Two sets that are similar enough have one of their rarest shingles in
 common; only members that share one with another component are left, and within a table pairs of different components are
-formed, but for pairs within its largest component. No pair that shares a table and could join two components is left out.
+formed, but for pairs within its largest component, whose similarity may be high enough by the number of shingles that
+each has in common with any other. No pair that shares a table and could join two components is left out.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def _first_table(m: int) -> str:
 
 
 def rare_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
-    """id, shingle: those of the rarest shingles of each of docs(id, text) that another of them has as well.
+    """id, shingle, common: those of the rarest shingles of each of docs(id, text) that another of them has as well, and how many of all its shingles another has.
 
     Two sets of similarity threshold have so many in common that, in any order, one stands among the first
     n - ceil(threshold * n / 100) + 1 of each; the order is by the number of ids, then by the hash.
@@ -149,7 +150,7 @@ def rare_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
     # shingles that no other has come first; of those that are left, n - n_shared fewer are needed
     lists = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     first = F.expr(f"cast(greatest(0, n - ceil({threshold} * n / 100) + 1 - (n - size(s))) as int)")
-    return lists.select("id", F.explode(F.slice("s", F.lit(1), first)).alias("e")).select("id", "e.shingle").distinct()
+    return lists.select("id", F.size("s").alias("common"), F.explode(F.slice("s", F.lit(1), first)).alias("e")).select("id", "e.shingle", "common").distinct()
 
 
 def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
@@ -252,14 +253,17 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = stored(tagged.select("id", "c").distinct())
     keys = stored(rare_shingles(texts.join(left, "id", "left_semi"), threshold, size).join(left, "id"))
     shared = keys.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
-    able = keys.join(shared, "shingle").select("id").distinct().join(reps, "id").select("id", F.struct("id", F.col("n_shingles").alias("n"), "sketch", "bundles").alias("x"))
+    # an intersection is no larger than what a set has in common with any other
+    able = keys.join(shared, "shingle").groupBy("id").agg(F.max("common").alias("common")).join(reps, "id").where(f"100 * common >= {threshold} * n_shingles")
+    able = able.select("id", F.struct("id", F.col("n_shingles").alias("n"), "common", "sketch", "bundles").alias("x"))
+    bound = f"100 * least(x.common, y.common) >= {threshold} * (x.n + y.n - least(x.common, y.common))"
     able = stored(able)
     tagged = tagged.join(able.select("id").distinct(), "id", "left_semi")
     main = tagged.groupBy("table", "c").agg(F.count("*").alias("n")).groupBy("table").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("n", "c")).alias("main")).where("cs > 1").select("table", "main")
     tagged = stored(tagged.join(main, "table").join(able, "id"))
     p = tagged.where("c <> main").select("table", "main", F.col("c").alias("pc"), "x")
     q = tagged.select("table", F.col("c").alias("qc"), F.col("x").alias("y"))
-    pairs = p.join(q, "table").where(f"pc <> qc and (qc = main or x.id < y.id) and {alike} and {_first_table(m)}")
+    pairs = p.join(q, "table").where(f"pc <> qc and (qc = main or x.id < y.id) and {bound} and {alike} and {_first_table(m)}")
     found = links_of(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
     if not found.isEmpty():
         links = links.union(found)
