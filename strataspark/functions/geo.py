@@ -45,6 +45,22 @@ def geocentric(lat: Column) -> Column:
     return F.degrees(F.atan(GEOCENTRIC * F.tan(F.radians(lat))))
 
 
+def cartesian(lon: Column, lat: Column, radius: Column) -> tuple[Column, Column, Column]:
+    """x, y and z of a point at a radius."""
+    a, b = F.radians(lon), F.radians(lat)
+    return radius * F.cos(b) * F.cos(a), radius * F.cos(b) * F.sin(a), radius * F.sin(b)
+
+
+def along(lon1: Column, lat1: Column, lon2: Column, lat2: Column, share: Column) -> tuple[Column, Column]:
+    """Longitude and latitude at a share of the great circle between two points, by spherical interpolation; ends that are the same or opposite give null."""
+    x1, y1, z1 = cartesian(lon1, lat1, F.lit(1.0))
+    x2, y2, z2 = cartesian(lon2, lat2, F.lit(1.0))
+    d = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x1 * x2 + y1 * y2 + z1 * z2)))
+    a, b = F.sin((1 - share) * d) / F.nullif(F.sin(d), F.lit(0.0)), F.sin(share * d) / F.nullif(F.sin(d), F.lit(0.0))
+    x, y, z = a * x1 + b * x2, a * y1 + b * y2, a * z1 + b * z2
+    return F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
+
+
 def next_pow2(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("bigint")
 

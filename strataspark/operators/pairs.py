@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.functions.geo import distance_km
+from strataspark.functions.geo import RADIUS, distance_km
+from strataspark.operators.iteration import cut
 
 
 def station_pairs(stations: DataFrame) -> DataFrame:
@@ -21,13 +22,19 @@ def station_pairs(stations: DataFrame) -> DataFrame:
 def near_join(left: DataFrame, right: DataFrame, radius_deg: float, left_xy=("lon", "lat"), right_xy=("lon_r", "lat_r")) -> DataFrame:
     """Rows of both sides whose coordinates differ by radius_deg at most, by an equi-join on square buckets of that size.
 
-    Each right row is put in its bucket, each left row looks in the nine around its own. Buckets don't wrap at 180 degrees.
+    Each right row is put in its bucket, each left row looks in the nine around its own. Longitudes are the same after a
+    full turn, so buckets wrap: the last one of a circle, which may be narrower, has one more to its side.
     """
-    cell = lambda c: F.floor(F.col(c) / radius_deg).cast("int")
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = left.withColumn("_n", F.explode(near)).withColumns({"_bx": cell(left_xy[0]) + F.col("_n.i"), "_by": cell(left_xy[1]) + F.col("_n.j")}).drop("_n")
-    b = right.withColumns({"_bx": cell(right_xy[0]), "_by": cell(right_xy[1])})
-    close = (F.abs(F.col(left_xy[0]) - F.col(right_xy[0])) <= radius_deg) & (F.abs(F.col(left_xy[1]) - F.col(right_xy[1])) <= radius_deg)
+    columns = int(-(-360.0 // radius_deg))
+    turn = lambda c: F.pmod(F.col(c), F.lit(360.0))
+    x, y = F.floor(turn(left_xy[0]) / radius_deg).cast("int"), F.floor(F.col(left_xy[1]) / radius_deg).cast("int")
+    # two to each side in longitude where the circle's last bucket is narrower than the others
+    reach = (-1, 0, 1) if abs(360.0 / radius_deg - columns) < 1e-9 else (-2, -1, 0, 1, 2)
+    near = F.array_distinct(F.array(*(F.struct(F.pmod(x + i, F.lit(columns)).alias("i"), (y + j).alias("j")) for i in reach for j in (-1, 0, 1))))
+    a = left.withColumn("_n", F.explode(near)).withColumns({"_bx": F.col("_n.i"), "_by": F.col("_n.j")}).drop("_n")
+    b = right.withColumns({"_bx": F.floor(turn(right_xy[0]) / radius_deg).cast("int"), "_by": F.floor(F.col(right_xy[1]) / radius_deg).cast("int")})
+    off = F.abs(turn(left_xy[0]) - turn(right_xy[0]))
+    close = (F.least(off, 360 - off) <= radius_deg) & (F.abs(F.col(left_xy[1]) - F.col(right_xy[1])) <= radius_deg)
     return a.join(b, ["_bx", "_by"]).where(close).drop("_bx", "_by")
 
 
@@ -40,6 +47,29 @@ def nearest_within(points: DataFrame, stations: DataFrame, max_km: float, box_de
     return d.groupBy("pid").agg(F.min_by(F.struct("sid", "d"), F.struct(F.round("d", 6), "sid")).alias("n")).select("pid", "n.sid", "n.d", (F.col("n.d") / max_km).alias("weight"))
 
 
+def nearest_other(points: DataFrame, key: str, apart_deg: float, box_deg: float) -> DataFrame:
+    """key and d, the distance in km to the nearest of points(key, lon, lat) that is over apart_deg away in either direction.
+
+    Boxes of box_deg first; points whose nearest may lie outside are looked up again in boxes of twice the size. Points
+    without any other are left out.
+    """
+    others = points.select(F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r"))
+    left, found, size = points.select(key, "lon", "lat"), None, box_deg
+    while True:
+        off = (F.abs(F.col("lon") - F.col("lon_r")) > apart_deg) | (F.abs(F.col("lat") - F.col("lat_r")) > apart_deg)
+        d = distance_km(F.col("lon"), F.col("lat"), F.col("lon_r"), F.col("lat_r"))
+        near = near_join(left, others, size).where(off).groupBy(key, "lat").agg(F.min(d).alias("d"))
+        # a box holds all within its size, less towards the poles
+        held = F.radians(F.lit(size)) * RADIUS * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(90.0))))
+        last = size >= 180
+        near = cut(near.where(F.lit(last) | (F.col("d") <= 0.99 * held)).select(key, "d"))
+        found = near if found is None else found.union(near)
+        left = cut(left.join(near, key, "left_anti"))
+        if last or left.isEmpty():
+            return found
+        size = min(180.0, 2 * size)
+
+
 def quadrants(points: DataFrame, others: DataFrame, max_km: float, box_deg: float, min_km: float = 1.0) -> DataFrame:
     """For each point the number of quadrants around it that hold another within min_km <= d < 2 * max_km."""
     d = near_join(points, others, box_deg).withColumn("d", distance_km(F.col("lon"), F.col("lat"), F.col("lon_r"), F.col("lat_r")))
@@ -65,26 +95,40 @@ def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return first.withColumn("borrowed", F.lit(0)).unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti").withColumn("borrowed", F.lit(1)))
 
 
-def event_windows(events: DataFrame, stations: DataFrame, vmin: float, vmax: float) -> DataFrame:
+def event_windows(events: DataFrame, stations: DataFrame, vmin: float, vmax: float, bucket: int = 100) -> DataFrame:
     """Request window of each event at each station deployed then: distance over vmax to distance over vmin, in seconds.
 
-    stations are broadcast by Spark if small; the join has no key because every station records every event.
+    An equi-join on buckets of days: a station stands in each that its deployment touches, an event in its own.
     """
-    e = events.withColumn("day", F.datediff(F.col("otime"), F.lit("1992-01-01").cast("date")) % 1000)
-    x = e.join(stations, (F.col("day") >= F.col("start_day")) & (F.col("day") <= F.col("end_day")))
+    e = events.withColumn("day", F.datediff(F.col("otime"), F.lit("1992-01-01").cast("date")) % 1000).withColumn("_b", F.floor(F.col("day") / bucket))
+    s = stations.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_day") / bucket), F.floor(F.col("end_day") / bucket))))
+    x = e.join(s, "_b").where("day >= start_day and day <= end_day").drop("_b")
     d = distance_km(F.col("evlo"), F.col("evla"), F.col("lon"), F.col("lat"))
     return x.withColumn("dist", d).withColumns({"begin_s": F.col("dist") / vmax, "end_s": F.col("dist") / vmin})
 
 
+def nearest_earlier(points: DataFrame, key: str) -> DataFrame:
+    """key, near and d: for each of points(key, lon, lat, at) the nearest of those with a smaller at, the smaller key of two as near; the first has none.
+
+    All pairs are compared, as points are the stations of one field.
+    """
+    b = points.select(F.col(key).alias("near"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("at").alias("_at"))
+    j = points.join(b, (F.col("_at") < F.col("at")) | ((F.col("_at") == F.col("at")) & (F.col("near") < F.col(key))))
+    d = distance_km(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
+    g = j.select(key, "near", d.alias("d")).groupBy(key).agg(F.min_by(F.struct("near", "d"), F.struct(F.round("d", 6), "near")).alias("n"))
+    return g.select(key, "n.near", "n.d")
+
+
 def overlap_counts(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:
-    """Samples that two records have in common at each lag from -max_lag to max_lag.
+    """Samples that two records have in common at each lag from -max_lag to max_lag, where there are any.
 
-    a and b have key, i0 and i1 (last index, inclusive); the sum over pairs of intervals of their overlap, the second shifted.
+    a and b have key, i0 and i1 (last index, inclusive); the sum over pairs of intervals of their overlap, the second
+    shifted. Pairs that don't meet within max_lag are dropped before lags are formed.
     """
     x = a.select("key", F.col("i0").alias("a0"), F.col("i1").alias("a1")).join(b.select("key", F.col("i0").alias("b0"), F.col("i1").alias("b1")), "key")
-    x = x.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    n = F.greatest(F.lit(0), F.least(F.col("a1"), F.col("b1") - F.col("lag")) - F.greatest(F.col("a0"), F.col("b0") - F.col("lag")) + 1)
-    return x.groupBy("key", "lag").agg(F.sum(n).alias("n"))
+    x = x.where((F.col("a0") <= F.col("b1") + max_lag) & (F.col("b0") <= F.col("a1") + max_lag)).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
+    n = F.least(F.col("a1"), F.col("b1") - F.col("lag")) - F.greatest(F.col("a0"), F.col("b0") - F.col("lag")) + 1
+    return x.select("key", "lag", n.alias("n")).where("n > 0").groupBy("key", "lag").agg(F.sum("n").alias("n"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,28 +28,32 @@ def isotropic_stack(cells: DataFrame, keys: list[str], least: int = 50) -> DataF
 
     cells has slow and near (0: not valid). Cells of fewer than least valid rows are dropped.
     """
-    w = Window.partitionBy(*keys)
-    x = cells.where("near > 0").withColumn("n", F.count("*").over(w)).where(F.col("n") >= least).withColumn("w", 1 / F.col("near"))
-    x = x.withColumn("cap", F.avg("w").over(w) + 3 * F.stddev_pop("w").over(w)).withColumn("w", F.least("w", "cap"))
-    x = x.withColumn("w", F.col("w") / F.sum("w").over(w))
-    x = x.withColumn("m", F.sum(F.col("w") * F.col("slow")).over(w))
-    x = x.withColumn("sd", F.sqrt(F.sum(F.col("w") * F.pow(F.col("slow") - F.col("m"), 2)).over(w)))
-    x = x.where(F.abs(F.col("slow") - F.col("m")) <= 2 * F.col("sd"))
+    x = cells.where("near > 0").withColumn("w", 1 / F.col("near"))
+    # a few numbers a cell, joined back: no cell's rows are gathered
+    cap = x.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg("w") + 3 * F.stddev_pop("w")).alias("cap")).where(F.col("n") >= least)
+    x = x.join(cap, keys).withColumn("w", F.least("w", "cap")).select(*keys, "slow", "w", "n")
+    # the weighted spread about the mean, by values less a rough one so that squares don't cancel
+    rough = x.groupBy(*keys).agg(F.avg("slow").alias("r"))
+    y = x.join(rough, keys).withColumn("z", F.col("slow") - F.col("r"))
+    total, first = F.sum("w"), F.sum(F.col("w") * F.col("z"))
+    m = y.groupBy(*keys).agg((first / total).alias("m"), F.sqrt(F.greatest(F.sum(F.col("w") * F.col("z") * F.col("z")) / total - F.pow(first / total, 2), F.lit(0.0))).alias("sd"))
+    x = y.join(m, keys).where(F.abs(F.col("z") - F.col("m")) <= 2 * F.col("sd"))
     g = x.groupBy(*keys).agg(F.max("n").alias("n"), F.count("*").alias("n_kept"), (F.sum(F.col("w") * F.col("slow")) / F.sum("w")).alias("slowness"), F.stddev_pop("slow").alias("std"))
     return g.withColumns({"velocity": 1 / F.col("slowness"), "sem": F.col("std") / F.sqrt("n_kept")})
 
 
-def azimuth_fit(bins: DataFrame, keys: list[str], psi: str = "psi", value: str = "value", weight: str = "weight") -> DataFrame:
+def azimuth_fit(bins: DataFrame, keys: list[str], psi: str = "psi", value: str = "value", weight: str = "weight", least: int = 0, regular: float | None = None) -> DataFrame:
     """Weighted least squares of a0 + a * cos(2 psi) + b * sin(2 psi) by keys: normal equations as sums, solved in columns.
 
     psi is in degrees. Gives a0, amplitude, the fast direction (0 to 180) and the root mean square misfit; keys whose
-    equations are singular are dropped.
+    equations are singular (by a determinant of regular times the cubed weight, where that is given), or that have under
+    least rows, are dropped.
     """
     c, s = F.cos(2 * F.radians(psi)), F.sin(2 * F.radians(psi))
     x = bins.select(*keys, F.col(value).alias("y"), F.col(weight).alias("w"), c.alias("c"), s.alias("s"))
     names = {"sw": "w", "sc": "w * c", "ss": "w * s", "scc": "w * c * c", "scs": "w * c * s", "sss": "w * s * s", "sy": "w * y", "syc": "w * y * c", "sys": "w * y * s", "syy": "w * y * y"}
     g = x.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(k) for k, e in names.items()))
-    g = g.withColumn("det", F.expr("sw * (scc * sss - scs * scs) - sc * (sc * sss - scs * ss) + ss * (sc * scs - scc * ss)")).where("abs(det) > 1e-9")
+    g = g.withColumn("det", F.expr("sw * (scc * sss - scs * scs) - sc * (sc * sss - scs * ss) + ss * (sc * scs - scc * ss)")).where("abs(det) > 1e-9" if regular is None else f"abs(det) > {regular!r} * sw * sw * sw").where(f"n >= {least}")
     g = g.withColumns({
         "a0": F.expr("(sy * (scc * sss - scs * scs) - sc * (syc * sss - scs * sys) + ss * (syc * scs - scc * sys)) / det"),
         "a": F.expr("(sw * (syc * sss - scs * sys) - sy * (sc * sss - scs * ss) + ss * (sc * sys - syc * ss)) / det"),
@@ -53,3 +61,111 @@ def azimuth_fit(bins: DataFrame, keys: list[str], psi: str = "psi", value: str =
     })
     g = g.withColumns({"amplitude": F.hypot("a", "b"), "fast": F.pmod(F.degrees(F.atan2("b", "a")) / 2, F.lit(180.0)), "misfit": F.expr("sqrt(greatest(syy - a0 * sy - a * syc - b * sys, 0) / sw)")})
     return g.select(*keys, "n", "a0", "amplitude", "fast", "misfit")
+
+
+def harmonics(baz: Column, a0: float, one: tuple[float, float] | None = None, two: tuple[float, float] | None = None) -> Column:
+    """a0 + a1 * sin(baz + p1) + a2 * sin(2 * baz + p2), with (a, p) of the terms that there are; baz in degrees."""
+    b = F.radians(baz)
+    out = F.lit(a0)
+    for k, t in ((1, one), (2, two)):
+        if t:
+            out = out + t[0] * F.sin(k * b + t[1])
+    return out
+
+
+def _three_terms(bins: DataFrame, keys: list[str], k: int, kind: str, least: int) -> DataFrame:
+    """Fits of a0 + a * cos(k psi) + b * sin(k psi): normal equations as sums, solved in columns; singular ones are dropped."""
+    r = k * F.radians("psi")
+    x = bins.select(*keys, F.col("value").alias("y"), F.col("weight").alias("w"), F.cos(r).alias("c"), F.sin(r).alias("s"))
+    names = {"sw": "w", "sc": "w * c", "ss": "w * s", "scc": "w * c * c", "scs": "w * c * s", "sss": "w * s * s", "sy": "w * y", "syc": "w * y * c", "sys": "w * y * s"}
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(c) for c, e in names.items()))
+    g = g.withColumn("det", F.expr("sw * (scc * sss - scs * scs) - sc * (sc * sss - scs * ss) + ss * (sc * scs - scc * ss)")).where(f"n >= {least} and abs(det) > 1e-6 * sw * sw * sw")
+    return g.select(
+        *keys, F.lit(kind).alias("kind"), "n",
+        F.expr("(sy * (scc * sss - scs * scs) - sc * (syc * sss - scs * sys) + ss * (syc * scs - scc * sys)) / det as a0"),
+        F.expr("(sw * (syc * sss - scs * sys) - sy * (sc * sss - scs * ss) + ss * (sc * sys - syc * ss)) / det as a"),
+        F.expr("(sw * (scc * sys - syc * scs) - sc * (sc * sys - syc * ss) + sy * (sc * scs - scc * ss)) / det as b"),
+    )
+
+
+def harmonic_fits(bins: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, kind (A0, A0+A1, A0+A2), n, a0, a and b (cosine and sine term) of weighted fits to bins(psi, value, weight) of least values or more."""
+    w = F.sum("weight")
+    a0 = bins.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(F.col("value") * F.col("weight")) / w).alias("a0")).where(F.col("n") >= least)
+    a0 = a0.select(*keys, F.lit("A0").alias("kind"), "n", "a0", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    return a0.unionByName(_three_terms(bins, keys, 1, "A0+A1", least)).unionByName(_three_terms(bins, keys, 2, "A0+A2", least))
+
+
+def five_terms(bins: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, a0, s1, c1, s2 and c2 of fits of a constant, one- and two-lobed terms to bins(psi, value): sums by keys, then 5 by 5 systems in batches."""
+    r = F.radians("psi")
+    terms = [F.lit(1.0), F.sin(r), F.cos(r), F.sin(2 * r), F.cos(2 * r)]
+    x = bins.select(*keys, F.col("value").alias("y"), *(t.alias(f"t{k}") for k, t in enumerate(terms)))
+    sums = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"m{i}{j}") for i in range(5) for j in range(i, 5)] + [F.sum(F.col(f"t{i}") * F.col("y")).alias(f"v{i}") for i in range(5)]
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least).drop("n")
+    names = ["a0", "s1", "c1", "s2", "c2"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                m = np.stack([np.stack([b[f"m{min(i, j)}{max(i, j)}"] for j in range(5)], 1) for i in range(5)], 1)
+                v = np.stack([b[f"v{i}"] for i in range(5)], 1)
+                yield b[keys].assign(**dict(zip(names, np.linalg.solve(m, v[:, :, None])[:, :, 0].T, strict=True)))
+
+    kinds = dict(bins.dtypes)
+    return g.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{n} double" for n in names)]))
+
+
+def two_layer_anisotropy(curves: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, n, and fast direction and amplitude (percent) of two layers by weighted least squares on curves(g1, g2, dc, ds, weight)."""
+    names = {"m11": "g1 * g1", "m12": "g1 * g2", "m22": "g2 * g2", "c1": "g1 * dc", "c2": "g2 * dc", "s1": "g1 * ds", "s2": "g2 * ds"}
+    q = curves.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.expr(f"weight * {e}")).alias(c) for c, e in names.items())).where(F.col("n") >= least)
+    q = q.withColumn("det", F.expr("m11 * m22 - m12 * m12")).where("det > 1e-9")
+    for t in "cs":
+        q = q.withColumns({f"g{t}1": F.expr(f"(m22 * {t}1 - m12 * {t}2) / det"), f"g{t}2": F.expr(f"(m11 * {t}2 - m12 * {t}1) / det")})
+    fast = lambda k: F.pmod(F.degrees(F.atan2(f"gs{k}", f"gc{k}")) / 2, F.lit(180.0)).alias(f"fast{k}")
+    amp = lambda k: (F.sqrt(F.col(f"gc{k}") * F.col(f"gc{k}") + F.col(f"gs{k}") * F.col(f"gs{k}")) / 2 * 100).alias(f"amp{k}")
+    return q.select(*keys, "n", fast(1), amp(1), fast(2), amp(2))
+
+
+def grouped_median(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """key and median of counts(key, value, n), values that stand n times each, by running totals over distinct values.
+
+    The window runs over the distinct values of a key only; its totals are of groups of values first, so that a key of
+    many values is not sorted in one task: the group that holds the middle is found, then only that one is read.
+    """
+    parts = 1000
+    ends = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("_all"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(parts - 1))).otherwise(0).cast("int")
+    c = counts.join(ends, key).withColumn("_p", part)
+    sums = c.groupBy(key, "_p").agg(F.sum("n").alias("_n"), F.first("_all").alias("_all"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_p")) - F.col("_n")
+    # the two middle places, counted from 0
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    hold = sums.withColumn("_b", before).where((F.col("_b") <= high) & (low < F.col("_b") + F.col("_n"))).select(key, "_p", "_b")
+    v = c.join(hold, [key, "_p"])
+    at = F.col("_b") + F.sum("n").over(Window.partitionBy(key, "_p").orderBy(value)) - F.col("n")
+    v = v.withColumn("_at", at)
+    pick = lambda place: F.max(F.when((F.col("_at") <= place) & (place < F.col("_at") + F.col("n")), F.col(value)))
+    return v.groupBy(key).agg(((pick(low) + pick(high)) / 2).alias("median"))
+
+
+def grouped_mad(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key and mad, the median absolute deviation from the median, of a few keys with very many rows each: values are counted first."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    med = grouped_median(counts, key, value)
+    off = counts.join(med, key).groupBy(key, F.abs(F.col(value) - F.col("median")).alias("off")).agg(F.sum("n").alias("n"))
+    return grouped_median(off, key, "off").withColumnRenamed("median", "mad")
+
+
+def trimmed(rows: DataFrame, keys: list[str], value: str, deviations: float) -> DataFrame:
+    """rows whose value is within so many standard deviations of its key's mean; a mean and a spread a key are joined back."""
+    m = rows.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return rows.join(m, keys).where(F.abs(F.col(value) - F.col("_m")) <= deviations * F.col("_s") + 1e-9).drop("_m", "_s")
+
+
+def without_cycles(rows: DataFrame, keys: list[str], value: str, distance: float) -> DataFrame:
+    """rows(period, value) with whole periods taken out of the time over distance that a velocity stands for, towards the key's mean."""
+    m = rows.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    t = distance / F.col(value)
+    return rows.join(m, keys).withColumn(value, distance / (t - F.col("period") * F.round((t - distance / F.col("_m")) / F.col("period")))).drop("_m")

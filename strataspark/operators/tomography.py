@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 def biharmonic(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray, damping: float = 1e-6) -> np.ndarray:
     """z at (gx, gy) by a biharmonic spline through the points (x, y, z); a small damping keeps close points solvable."""
+    # a plane through the points first, so that what is even is kept exactly
+    ones = lambda u, v: np.stack([np.ones_like(u), u - x.mean(), v - y.mean()], 1)
+    plane = np.linalg.lstsq(ones(x, y), z, rcond=None)[0]
+    z = z - ones(x, y) @ plane
     green = lambda d: np.where(d > 0, d * d * (np.log(np.maximum(d, 1e-300)) - 1), 0.0)
     scale = max(np.ptp(x), np.ptp(y), 1e-12)
     a = green(np.hypot(x[:, None] - x, y[:, None] - y) / scale)
-    force = np.linalg.solve(a.T @ a + damping * np.eye(len(x)), a.T @ (z - z.mean()))
-    return green(np.hypot(gx[:, None] - x, gy[:, None] - y) / scale) @ force + z.mean()
+    force = np.linalg.solve(a.T @ a + damping * np.eye(len(x)), a.T @ z)
+    return green(np.hypot(gx[:, None] - x, gy[:, None] - y) / scale) @ force + ones(gx, gy) @ plane
 
 
 def unwrap_cycles(dist: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray, period: float) -> np.ndarray:
@@ -53,7 +57,7 @@ def helmholtz(velocity: np.ndarray, amplitude: np.ndarray, period: float, dx: fl
 def field_velocities(points: DataFrame, grid: tuple[float, float, float, float, float]) -> DataFrame:
     """Eikonal velocities of each field of points(period, event, x, y, t): a surface, its gradient and reasons, a row a cell.
 
-    x and y are km; grid is x0, y0, spacing and the numbers of columns and rows. A field is one source's stations at one
+    points of a field should be thinned first (block_medians), as each field is one dense system. x and y are km; grid is x0, y0, spacing and the numbers of columns and rows. A field is one source's stations at one
     period: its size is that of a network, so a task holds one at a time.
     """
     x0, y0, step, nx, ny = grid
@@ -68,6 +72,83 @@ def field_velocities(points: DataFrame, grid: tuple[float, float, float, float,
     return points.groupBy("period", "event").applyInPandas(run, "period double, event long, x double, y double, velocity double, angle double, reason int")
 
 
+def block_medians(points: DataFrame, size: float) -> DataFrame:
+    """points(period, event, x, y, t) with one row for each square of size km of each field: the means of its positions and times, which keep a plane a plane."""
+    g = points.groupBy("period", "event", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
+    return g.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("t").alias("t")).drop("bx", "by")
+
+
+def anisotropic_segments(rays: DataFrame, samples: int, cell: float) -> DataFrame:
+    """ray_segments with term 0 (length), 1 and 2 (length times cosine and sine of twice the azimuth), the columns of isotropic and 2-psi unknowns; anisotropic ones usually take a coarser cell."""
+    az = 2 * F.atan2(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    s = ray_segments(rays, samples, cell).join(rays.select("ray", az.alias("a")), "ray")
+    terms = F.array(F.struct(F.lit(0).alias("term"), F.lit(1.0).alias("f")), F.struct(F.lit(1).alias("term"), F.cos("a").alias("f")), F.struct(F.lit(2).alias("term"), F.sin("a").alias("f")))
+    return s.select("ray", "cell_x", "cell_y", "length", F.explode(terms).alias("k")).select("ray", "cell_x", "cell_y", "k.term", (F.col("length") * F.col("k.f")).alias("length"))
+
+
+def wide_segments(rays: DataFrame, samples: int, cell: float, sides: tuple[tuple[float, float], ...]) -> DataFrame:
+    """ray_segments of rays of a finite width, as of a Fresnel zone: sides has offsets in km across the ray and their weights, which add up to 1.
+
+    Rays without a length are left out.
+    """
+    d = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    across = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.lit(f).alias("f")) for o, f in sides)))
+    at = rays.where(d > 0).select("ray", "x1", "y1", "x2", "y2", d.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k")).withColumn("w", across)
+    s = (F.col("k") + 0.5) / samples
+    x = F.col("x1") + s * (F.col("x2") - F.col("x1")) - (F.col("y2") - F.col("y1")) / F.col("d") * F.col("w.o")
+    y = F.col("y1") + s * (F.col("y2") - F.col("y1")) + (F.col("x2") - F.col("x1")) / F.col("d") * F.col("w.o")
+    return at.groupBy("ray", F.floor(x / cell).cast("int").alias("cell_x"), F.floor(y / cell).cast("int").alias("cell_y")).agg(F.sum(F.col("d") / samples * F.col("w.f")).alias("length"))
+
+
+def smoothing_rows(segments: DataFrame, weight: float) -> DataFrame:
+    """A row (ray < 0) for each pair of neighbouring cells of segments that asks for their difference to be nothing: weight on one, -weight on the other."""
+    c = segments.select("cell_x", "cell_y").distinct()
+    near = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("cell_x") + a).alias("x"), (F.col("cell_y") + b).alias("y")) for k, (a, b) in enumerate(((1, 0), (0, 1)))))
+    p = c.withColumn("n", F.explode(near)).join(c.select(F.col("cell_x").alias("_x"), F.col("cell_y").alias("_y")), (F.col("n.x") == F.col("_x")) & (F.col("n.y") == F.col("_y")))
+    ray = -(((F.col("cell_x").cast("bigint") + 100_000) * 1_000_000 + F.col("cell_y") + 100_000) * 2 + F.col("n.k") + 1)
+    ends = F.array(F.struct(F.col("cell_x").alias("cell_x"), F.col("cell_y").alias("cell_y"), F.lit(weight).alias("length")), F.struct(F.col("n.x").alias("cell_x"), F.col("n.y").alias("cell_y"), F.lit(-weight).alias("length")))
+    return p.select(ray.alias("ray"), F.explode(ends).alias("e")).select("ray", "e.*")
+
+
+def smoothed(segments: DataFrame, residuals: DataFrame, damping: float, weight: float, rounds: int) -> DataFrame:
+    """invert_rays with differences of neighbouring cells held down by weight."""
+    rows = segments.unionByName(smoothing_rows(segments, weight))
+    every = rows.select("ray").distinct().join(residuals, "ray", "left").fillna({"res": 0.0})
+    return invert_rays(rows, every, damping, rounds)
+
+
+def resolution(segments: DataFrame, cell: float, damping: float, rounds: int = 12) -> DataFrame:
+    """cell_x, cell_y, cone, sigma and response of each cell: how far a change in one cell spreads over the map.
+
+    The columns of the resolution matrix, one for each cell l, are the models that a change of 1 in l gives back. They are
+    found together by conjugate gradients over joins, with steps of their own, so no task and not the driver holds the
+    matrix; its size is the square of the cells' number. From the responses of over a fifth of the largest: cone is the
+    radius of a cone, sigma that of a Gaussian, with the same mean and mean square distance; response is the largest.
+    """
+    from strataspark.operators.iteration import cut
+
+    keys, own = ["cell_x", "cell_y"], ["lx", "ly"]
+    spike = segments.select("ray", F.col("cell_x").alias("lx"), F.col("cell_y").alias("ly"), F.col("length").alias("q"))
+    back = lambda q: segments.join(q, "ray").groupBy(*own, *keys).agg(F.sum(F.col("length") * F.col("q")).alias("g"))
+    x = cut(back(spike).select(*own, *keys, F.lit(0.0).alias("m"), F.col("g").alias("r"), F.col("g").alias("p")))
+    for _ in range(rounds):
+        ap = back(segments.join(x.select(*own, *keys, "p"), keys).groupBy(*own, "ray").agg(F.sum(F.col("length") * F.col("p")).alias("q")))
+        # a column grows to cells that its direction reaches for the first time
+        x = cut(ap.join(x, [*own, *keys], "left").fillna(0.0, ["m", "r", "p"]).withColumn("ap", F.col("g") + damping * F.col("p")).drop("g"))
+        step = x.groupBy(*own).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
+        x = x.join(step, own).withColumn("alpha", F.when(F.col("pap") > 0, F.col("rr") / F.col("pap")).otherwise(0.0))
+        x = cut(x.withColumns({"m": F.col("m") + F.col("alpha") * F.col("p"), "r": F.col("r") - F.col("alpha") * F.col("ap")}))
+        now = x.groupBy(*own).agg(F.sum(F.col("r") * F.col("r")).alias("now"))
+        x = cut(x.join(now, own).withColumn("p", F.col("r") + F.when(F.col("rr") > 0, F.col("now") / F.col("rr")).otherwise(0.0) * F.col("p")).select(*own, *keys, "m", "r", "p"))
+    top = x.groupBy(*own).agg(F.max(F.abs("m")).alias("response"))
+    d = cell * F.hypot(F.col("cell_x") - F.col("lx"), F.col("cell_y") - F.col("ly"))
+    w = x.join(top, own).withColumn("w", F.abs("m")).where("w > 0.2 * response").withColumn("d", d)
+    total = F.sum("w")
+    clipped = lambda c, low: F.least(F.greatest(c, F.lit(low)), F.lit(2000.0))
+    g = w.groupBy(*own).agg(clipped(2 * F.sum(F.col("w") * F.col("d")) / total, 0.0).alias("cone"), clipped(F.sqrt(F.sum(F.col("w") * F.col("d") * F.col("d")) / (2 * total)), cell / 2).alias("sigma"), F.max("response").alias("response"))
+    return g.select(F.col("lx").alias("cell_x"), F.col("ly").alias("cell_y"), "cone", "sigma", "response")
+
+
 def ray_segments(rays: DataFrame, samples: int, cell: float) -> DataFrame:
     """ray, cell_x, cell_y and length in each cell of rays(ray, x1, y1, x2, y2): points along each ray, counted by cell."""
     d = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
@@ -77,13 +158,13 @@ def ray_segments(rays: DataFrame, samples: int, cell: float) -> DataFrame:
     return at.groupBy("ray", F.floor(x / cell).cast("int").alias("cell_x"), F.floor(y / cell).cast("int").alias("cell_y")).agg(F.sum("step").alias("length"))
 
 
-def invert_rays(segments: DataFrame, residuals: DataFrame, damping: float, rounds: int = 15) -> DataFrame:
-    """cell_x, cell_y, m: the damped least-squares slowness change for residuals(ray, res), by conjugate gradients on DataFrames.
+def invert_rays(segments: DataFrame, residuals: DataFrame, damping: float, rounds: int = 15, keys: list[str] | None = None) -> DataFrame:
+    """keys (cell_x, cell_y), m: the damped least-squares slowness change for residuals(ray, res), by conjugate gradients on DataFrames.
 
     Every product with the path matrix is a join and a sum, so neither the matrix nor the model is held by one task; what
     reaches the driver is two scalars a round. Rounds end when the gradient is a millionth of the first.
     """
-    keys = ["cell_x", "cell_y"]
+    keys = keys or ["cell_x", "cell_y"]
     from strataspark.operators.iteration import cut
 
     back = lambda r: segments.join(r, "ray").groupBy(*keys).agg(F.sum(F.col("length") * F.col("res")).alias("g"))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataspark.operators import arrays, stacks
 from strataspark.sources.fixtures import table
 
 from .registry import query
 
 
 @query("trimmed_curve_statistics", """with a as (select sta1, period, c, avg(c) over w as m, stddev_pop(c) over w as s from curves window w as (partition by sta1, period)),
-  b as (select sta1, period, c from a where abs(c - m) <= 3 * s + 1e-9), d as (select sta1, period, c, avg(c) over w as m, stddev_pop(c) over w as s from b window w as (partition by sta1, period)),
+  b as (select sta1, period, c from a where abs(c - m) <= 3 * s + 1e-9), y as (select sta1, period, c, avg(c) over (partition by sta1, period) as m from b),
+  t as (select sta1, period, 100 / (100 / c - period * round((100 / c - 100 / m) / period)) as c from y), d as (select sta1, period, c, avg(c) over w as m, stddev_pop(c) over w as s from t window w as (partition by sta1, period)),
   e as (select sta1, period, c from d where abs(c - m) <= 2 * s + 1e-9)
   select sta1, period, count(*) as n, round(avg(c), 6) as mean, round(stddev_pop(c) * sqrt(count(*)) / count(*), 6) as uncertainty from e group by sta1, period having count(*) >= 3""")
 def trimmed_curve_statistics(spark, sf_dir):
-    """Means after values beyond three, then two standard deviations are dropped; the uncertainty is the root of the squares' sum over n."""
-    w = Window.partitionBy("sta1", "period")
+    """Means after values beyond three deviations are dropped, whole cycles over 100 km taken out, and values beyond two dropped; the uncertainty is the root of the squares' sum over n."""
     x = table(spark, sf_dir, "curves").select("sta1", "period", "c")
-    for k in (3, 2):
-        x = x.withColumns({"m": F.avg("c").over(w), "s": F.stddev_pop("c").over(w)}).where(F.abs(F.col("c") - F.col("m")) <= k * F.col("s") + 1e-9).select("sta1", "period", "c")
+    x = stacks.trimmed(stacks.without_cycles(stacks.trimmed(x, ["sta1", "period"], "c", 3), ["sta1", "period"], "c", 100.0), ["sta1", "period"], "c", 2)
     n = F.count("*")
     return x.groupBy("sta1", "period").agg(n.alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c") * F.sqrt(n) / n, 6).alias("uncertainty")).where("n >= 3")
 
@@ -33,13 +33,16 @@ def smoothed_profile(spark, sf_dir):
     return k.select("sta1", "sta2", "period", F.round(F.avg("c").over(w), 5).alias("c"))
 
 
-@query("timing_asymmetry", """with t as (select sta_key, day, data[32:63] as p, list_reverse(data[1:32]) as n from traces)
-  select sta_key, day, cast(list_position(p, list_max(p)) - 1 as int) as positive, cast(list_position(n, list_max(n)) - 1 as int) as negative, round(cast(list_max(p) as double) / list_max(n), 5) as ratio from t""")
+@query("timing_asymmetry", """with t as (select sta_key, day, list_transform(data[32:63], lambda x: cast(x as double)) as p, list_reverse(list_transform(data[1:32], lambda x: cast(x as double))) as n from traces),
+  s as (select *, list_max(p) / sqrt(list_sum(list_transform(p, lambda x: x * x)) / 32) as sp, list_max(n) / sqrt(list_sum(list_transform(n, lambda x: x * x)) / 32) as sn from t)
+  select sta_key, day, cast(list_position(p, list_max(p)) - 1 as int) as positive, cast(list_position(n, list_max(n)) - 1 as int) as negative, round(list_max(p) / list_max(n), 5) as ratio from s where least(sp, sn) >= 1.8""")
 def timing_asymmetry(spark, sf_dir):
-    """Lags of the largest values on both sides of a two-sided trace of 63 samples."""
+    """Lags of the largest values on both sides of a two-sided trace of 63 samples, where both stand out of their side's mean square."""
     d = F.col("data").cast("array<double>")
     t = table(spark, sf_dir, "traces").select("sta_key", "day", F.slice(d, 32, 32).alias("p"), F.reverse(F.slice(d, 1, 32)).alias("n"))
+    clear = lambda c: F.array_max(c) / arrays.rms(F.col(c))
     at = lambda c: (F.array_position(F.col(c), F.array_max(c)) - 1).cast("int")
+    t = t.where(F.least(clear("p"), clear("n")) >= 1.8)
     return t.select("sta_key", "day", at("p").alias("positive"), at("n").alias("negative"), F.round(F.array_max("p") / F.array_max("n"), 5).alias("ratio"))
 
 

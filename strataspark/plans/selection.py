@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataspark.operators import stacks
 from strataspark.operators.pairs import first_by, prefer
 from strataspark.sources.fixtures import table
 
@@ -48,8 +49,7 @@ def spectrum_qc(spark, sf_dir):
 def residual_mad_qc(spark, sf_dir):
     """Residuals within three median absolute deviations of the period, or small against it."""
     r = table(spark, sf_dir, "residuals")
-    d = r.join(r.groupBy("period_idx").agg(F.median("res").alias("med")), "period_idx")
-    mad = d.groupBy("period_idx").agg(F.median(F.abs(F.col("res") - F.col("med"))).alias("mad"))
+    mad = stacks.grouped_mad(r, "period_idx", "res")
     return r.join(mad, "period_idx").where("abs(res) < 3 * mad or abs(res) < least(0.5D * (6 + 2 * period_idx), 10.0D) * 0.1D").select("rec", "period_idx")
 
 

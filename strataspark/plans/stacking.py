@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataspark.operators import arrays, stacks
+from strataspark.operators import arrays, blocks, stacks
 from strataspark.sources.fixtures import table
 
 from .registry import query
@@ -15,11 +15,11 @@ from .registry import query
   l as (select sta1, sta2, day, lag, list_sum(list_transform(range(1, 65), lambda i: case when i + lag between 1 and 64 then cast(x[i] as double) * y[i + lag] else 0 end)) as v from p cross join (select unnest(range(-2, 3)) as lag) k)
   select sta1, sta2, cast(lag as int) as lag, round(sum(v), 6) as value, count(*) as n from l group by sta1, sta2, lag""")
 def pair_stack(spark, sf_dir):
-    """Short-lag correlations of all station pairs, day by day, summed over days with their number."""
+    """Short-lag correlations of all station pairs, summed over days with their number: a product of matrices a lag and block of stations."""
     t = table(spark, sf_dir, "traces").select("sta_key", "day", F.col("data").cast("array<double>").alias("data"))
-    a, b = t.select(F.col("sta_key").alias("sta1"), "day", F.col("data").alias("x")), t.select(F.col("sta_key").alias("sta2"), "day", F.col("data").alias("y"))
-    x = a.join(b, "day").where("sta1 < sta2").select("sta1", "sta2", F.posexplode(arrays.lagged_products(F.col("x"), F.col("y"), 2)).alias("k", "v"))
-    return x.groupBy("sta1", "sta2", (F.col("k") - 2).alias("lag")).agg(F.round(F.sum("v"), 6).alias("value"), F.count("*").alias("n"))
+    x = blocks.lag_sums(t, 2)
+    lags = F.array(*(F.struct(F.lit(k - 2).alias("lag"), F.round(f"v{k}", 6).alias("value")) for k in range(5)))
+    return x.select("sta1", "sta2", F.explode(lags).alias("l"), "n").select("sta1", "sta2", "l.lag", "l.value", "n")
 
 
 @query("station_stack", """with e as (select sta_key, label, unnest(data) as x, generate_subscripts(data, 1) as i from traces), s as (select sta_key, i, sum(cast(x as double)) as x, count(*) as n from e group by sta_key, i)
@@ -98,7 +98,9 @@ def isotropic_stack(spark, sf_dir):
   select ilat, ilon, bin, count(*) as n, round(avg(d), 6) as slow, round(stddev_samp(d) / sqrt(count(*)), 6) as sem from e where ilat between 0 and 9 and ilon between 0 and 9 group by ilat, ilon, bin having count(*) >= 2""")
 def azimuth_bins(spark, sf_dir):
     """Mean slowness deviation by azimuth over each cell and its eight neighbours; bins of one value are left out."""
-    c = table(spark, sf_dir, "cells").where("reason_n = 0").withColumn("d", 1 / F.col("vel") - F.avg(1 / F.col("vel")).over(Window.partitionBy("ilat", "ilon")))
+    c = table(spark, sf_dir, "cells").where("reason_n = 0")
+    m = c.groupBy("ilat", "ilon").agg(F.avg(1 / F.col("vel")).alias("m"))
+    c = c.join(m, ["ilat", "ilon"]).withColumn("d", 1 / F.col("vel") - F.col("m"))
     near = F.array(*(F.struct((F.col("ilat") + i).alias("ilat"), (F.col("ilon") + j).alias("ilon")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     e = c.select(F.explode(near).alias("k"), F.floor((F.col("az") + 180) / 20).alias("bin"), "d").select("k.*", "bin", "d").where("ilat between 0 and 9 and ilon between 0 and 9")
     g = e.groupBy("ilat", "ilon", "bin").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("slow"), F.round(F.stddev_samp("d") / F.sqrt(F.count("*")), 6).alias("sem"))
@@ -137,11 +139,17 @@ def bin_weighted_mean(spark, sf_dir):
     return _baz_bins(spark, sf_dir).groupBy("sta_key", "it").agg(F.round(F.sum(F.col("amp") / F.col("unc")) / F.sum(1 / F.col("unc")), 6).alias("amp"), F.count("*").alias("bins"))
 
 
-@query("harmonic_strip")
+@query("harmonic_strip", f"""with {_BAZ}, x as (select sta_key, it, cos(2 * radians(bin * 30 + 15)) as c, sin(2 * radians(bin * 30 + 15)) as s, amp as y, 1 / (unc * unc) as w from b),
+  g as (select sta_key, it, count(*) as n, sum(w) as sw, sum(w * c) as sc, sum(w * s) as ss, sum(w * c * c) as scc, sum(w * c * s) as scs, sum(w * s * s) as sss, sum(w * y) as sy, sum(w * y * c) as syc, sum(w * y * s) as sys, sum(w * y * y) as syy from x group by sta_key, it),
+  d as (select *, sw * (scc * sss - scs * scs) - sc * (sc * sss - scs * ss) + ss * (sc * scs - scc * ss) as det from g),
+  f as (select *, (sy * (scc * sss - scs * scs) - sc * (syc * sss - scs * sys) + ss * (syc * scs - scc * sys)) / det as a0, (sw * (syc * sss - scs * sys) - sy * (sc * sss - scs * ss) + ss * (sc * sys - syc * ss)) / det as a,
+   (sw * (scc * sys - syc * scs) - sc * (sc * sys - syc * ss) + sy * (sc * scs - scc * ss)) / det as b from d where n >= 6 and abs(det) > 1e-6 * sw * sw * sw)
+  select sta_key, it, n, round(a0, 5) as a0, round(sqrt(a * a + b * b), 5) as amplitude, round(sqrt(greatest(syy - a0 * sy - a * syc - b * sys, 0) / sw), 4) as misfit from f""")
 def harmonic_strip(spark, sf_dir):
     """Constant and two-lobed parts of receiver functions by station and sample, with weights 1 / unc ** 2."""
     b = _baz_bins(spark, sf_dir).select("sta_key", "it", (F.col("bin") * 30.0 + 15).alias("psi"), F.col("amp").alias("value"), (1 / (F.col("unc") * F.col("unc"))).alias("weight"))
-    return stacks.azimuth_fit(b, ["sta_key", "it"])
+    x = stacks.azimuth_fit(b, ["sta_key", "it"], least=6, regular=1e-6)
+    return x.select("sta_key", "it", "n", F.round("a0", 5).alias("a0"), F.round("amplitude", 5).alias("amplitude"), F.round("misfit", 4).alias("misfit"))
 
 
 @query("ensemble_statistics", """select grid, count(*) as n, round(min(misfit), 6) as least, min_by(isample, misfit * 1e9 + isample) as best, round(avg(p0), 6) as mean0, round(median(p1), 6) as median1, round(stddev_pop(p0), 6) as sd0,

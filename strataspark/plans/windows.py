@@ -53,16 +53,24 @@ def longest_smooth_segment(spark, sf_dir):
     return best.select("sta1", "sta2", "b.*")
 
 
-@query("record_runs", """with e as (select distinct user_id, date_diff('hour', timestamp '2024-01-01', ts) as h from events), i as (select user_id, h, h - row_number() over (partition by user_id order by h) as g from e)
-  select user_id, cast(min(h) as bigint) as h0, cast(max(h) as bigint) as h1, count(*) as n from i group by user_id, g""")
-def record_runs(spark, sf_dir):
-    """Runs of hours in which a station has records, ends included."""
+#: Runs of hours in which a station has records, in SQL.
+RUNS = """hr as (select distinct user_id, date_diff('hour', timestamp '2024-01-01', ts) as h from events), hi as (select user_id, h, h - row_number() over (partition by user_id order by h) as g from hr),
+  runs as (select user_id, cast(min(h) as bigint) as h0, cast(max(h) as bigint) as h1, count(*) as n from hi group by user_id, g)"""
+
+
+def hour_runs(spark, sf_dir):
     h = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600)
     e = table(spark, sf_dir, "events").select("user_id", h.cast("bigint").alias("h")).distinct()
     g = e.withColumn("g", F.col("h") - F.row_number().over(Window.partitionBy("user_id").orderBy("h")))
     return g.groupBy("user_id", "g").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.count("*").alias("n")).drop("g")
 
 
+@query("record_runs", f"with {RUNS} select user_id, h0, h1, n from runs")
+def record_runs(spark, sf_dir):
+    """Runs of hours in which a station has records, ends included."""
+    return hour_runs(spark, sf_dir)
+
+
 @query("local_extrema", f"""with {_CURVE}, n as (select *, lag(c) over w as c0, lead(c) over w as c1 from k window w as (partition by sta1, sta2 order by period))
   select sta1, sta2, period, case when c > c0 and c > c1 then 1 else -1 end as kind from n where c > c0 and c > c1 or c < c0 and c < c1""")
 def local_extrema(spark, sf_dir):
