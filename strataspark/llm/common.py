@@ -34,11 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that go to a Python worker at a time while a table is stored: whole texts and sets of shingles are large rows.
+ARROW_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder, for frames that are read more than once."""
+    """The rows of df as a Parquet table in the shared folder, for frames that are read more than once.
+
+    Tables stay as long as the folder does: a frame that was built on one may be computed at any later time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

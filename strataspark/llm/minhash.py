@@ -43,7 +43,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; emptied when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

@@ -130,7 +130,7 @@ class Restored(dict):
     def __missing__(self, token: str) -> str:
         word = self.restore(token)
         if len(token) <= REMEMBERED:
-            if len(self) > 100_000:
+            if len(self) > 50_000:
                 self.clear()
             self[token] = word
         return word
@@ -188,24 +188,28 @@ class _Weights(dict):
     def __missing__(self, word: str) -> float:
         best = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
         if len(word) <= REMEMBERED:
-            if len(self) > 100_000:
+            if len(self) > 50_000:
                 self.clear()
             self[word] = best
         return best
 
 
-def _counted(sample: DataFrame, chars: np.ndarray) -> DataFrame:
-    """feature, a, b: toxic and clean documents of sample(y, text) that have it; each task sends a feature once."""
+def _counted(sample: DataFrame, chars: np.ndarray, among: frozenset[str] | None) -> DataFrame:
+    """feature, n: documents of sample(text) that have it, of among where that is given; tasks count in parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, restored = (Counter(), Counter()), Restored(chars)
+        seen, restored = Counter(), Restored(chars)
+        part = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
         for batch in small(batches):
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({f for w in set(restored.words(t)) for f in features(w)})
-        names = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][f] for f in names], pa.int64()) for y in (1, 0))], names=["feature", "a", "b"])
+            for t in batch.column(0).to_pylist():
+                own = {f for w in set(restored.words(t)) for f in features(w)}
+                seen.update(own if among is None else own & among)
+                if len(seen) > 100_000:
+                    yield part()
+                    seen.clear()
+        yield part()
 
-    return sample.select("y", "text").mapInArrow(run, "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return sample.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _g2(a, b, na: float, nb: float):
@@ -245,10 +249,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = ToxicModel(chars, {}, (math.log(share / (1 - share)), *(0.0,) * SIGNALS))
     if not na or not nb:
         return model
-    counts = stored(_counted(sample, chars).where(f"a >= {max(2, min(MIN_TOXIC, na // SHARE))}"))
-    # what is left is bounded by the words of the sample
+    # those of toxic documents first; they are bounded by the words of the sample
+    toxic = stored(_counted(sample.where("y = 1"), chars, None).where(f"n >= {max(2, min(MIN_TOXIC, na // SHARE))}").withColumnRenamed("n", "a"))
+    names = frozenset(r["feature"] for r in toxic.select("feature").collect())
+    clean = _counted(sample.where("y = 0"), chars, names).withColumnRenamed("n", "b")
+    counts = toxic.join(clean, "feature", "left").fillna(0, ["b"])
     weight = F.log((F.col("a") + 0.5) / (na + 1)) - F.log((F.col("b") + 0.5) / (nb + 1))
-    bound = 2 * math.log(max(2, counts.count())) + MARGIN
+    bound = 2 * math.log(max(2, len(names))) + MARGIN
     good = counts.select("feature", weight.alias("w"), _g2(F.col("a").cast("double"), F.col("b").cast("double"), na, nb).alias("g2")).where(f"w > 1.5 and g2 >= {bound!r}")
     model.weights = {r["feature"]: r["w"] for r in good.collect()}
 
