@@ -56,40 +56,117 @@ def likelihood(predicted: np.ndarray, observed: np.ndarray, sigma: np.ndarray) -
     return float(np.sqrt(s / len(observed))), float(np.exp(-0.5 * (s if s <= 50 else np.sqrt(50 * s))))
 
 
-def sample_chain(seed: int, steps: int, start: np.ndarray, sigma: np.ndarray, low: np.ndarray, high: np.ndarray, forward, observed: np.ndarray, spread: np.ndarray, valid) -> pd.DataFrame:
-    """A Metropolis chain: Gaussian steps within bounds, redrawn until valid; better models are taken, worse ones by the ratio of likelihoods."""
-    rng = np.random.default_rng(seed)
-    now = start.copy()
-    misfit, like = likelihood(forward(now), observed, spread)
-    rows = [(0, 1, misfit, like, *now)]
+def love_velocities(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.ndarray, steps: int = 96) -> np.ndarray:
+    """love_velocity for the models in the rows of h and vs at once (models by periods): roots are bracketed on steps of each model's own range of velocities."""
+    mu = rho * vs**2
+    w = 2 * np.pi / periods
+
+    def traction(c: np.ndarray) -> np.ndarray:
+        """Of velocities c (models, periods, places)."""
+        k = w[:, None] / c
+        at = lambda x, n: x[:, n, None, None]
+        g = np.sqrt(np.maximum(k**2 - (w[:, None] / at(vs, -1)) ** 2, 1e-18))
+        u, t = np.ones_like(c), -at(mu, -1) * g
+        for n in range(vs.shape[1] - 2, -1, -1):
+            q2 = (w[:, None] / at(vs, n)) ** 2 - k**2
+            real = q2 >= 0
+            q = np.sqrt(np.abs(q2)) + 1e-12
+            qh = q * at(h, n)
+            grow = np.exp(np.minimum(qh, 50))
+            cos, sin = np.where(real, np.cos(qh), (grow + 1 / grow) / 2), np.where(real, np.sin(qh), (grow - 1 / grow) / 2)
+            m = at(mu, n) * q
+            u, t = cos * u - sin / m * t, np.where(real, 1, -1) * m * sin * u + cos * t
+            big = np.maximum(np.abs(u), np.abs(t))
+            u, t = u / big, t / big
+        return t
+
+    def first(c: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place before the first change of sign of each model and period, and whether there is one."""
+        change = f[..., :-1] * f[..., 1:] <= 0
+        return change.argmax(axis=-1)[..., None], change.any(axis=-1)
+
+    low, high = vs[:, :-1].min(axis=1) + 1e-6, vs[:, -1] - 1e-9
+    share = np.linspace(0, 1, steps)
+    c = np.broadcast_to((low[:, None] + (high - low)[:, None] * share)[:, None, :], (len(vs), len(periods), steps))
+    k, any_ = first(c, traction(c))
+    a, b = np.take_along_axis(c, k, -1), np.take_along_axis(c, k + 1, -1)
+    fine = a + (b - a) * np.linspace(0, 1, 17)
+    f = traction(fine)
+    k, _ = first(fine, f)
+    a, b, fa, fb = (np.take_along_axis(x, i, -1)[..., 0] for x, i in ((fine, k), (fine, k + 1), (f, k), (f, k + 1)))
+    step = np.where(fb != fa, fb - fa, 1)
+    return np.where(any_ & (high > low)[:, None], a - fa * (b - a) / step, np.nan)
+
+
+def sample_chains(seeds: list[int], steps: int, start: np.ndarray, sigma: np.ndarray, low: np.ndarray, high: np.ndarray, forward, observed: np.ndarray, spread: np.ndarray, valid) -> np.ndarray:
+    """Metropolis chains that go in step, one for each seed: an array of chains by steps of accepted (1 or -1), misfit, likelihood and parameters.
+
+    Gaussian steps within bounds are redrawn until valid, 5000 times at most, then drawn evenly within the bounds; better
+    models are taken, worse ones by the ratio of likelihoods. start and observed have a row a chain; forward takes the models
+    of all chains. A chain's numbers come from its own seed, so they don't depend on which chains go with it.
+    """
+    rngs = [np.random.default_rng(s) for s in seeds]
+    now, out = start.copy(), np.empty((len(seeds), steps, 3 + start.shape[1]))
+
+    def judged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(invalid="ignore"):
+            s = (((observed - forward(x)) / spread) ** 2).sum(axis=1)
+        bad = np.isnan(s)
+        s = np.where(bad, 0, s)
+        return np.where(bad, 9999.0, np.sqrt(s / observed.shape[1])), np.where(bad, 0.0, np.exp(-0.5 * np.where(s <= 50, s, np.sqrt(50 * s))))
+
+    misfit, like = judged(now)
+    out[:, 0] = np.column_stack([np.ones(len(seeds)), misfit, like, now])
     for k in range(1, steps):
-        for _ in range(5000):
-            new = now + rng.normal(0, sigma)
-            if ((new >= low) & (new <= high)).all() and valid(new):
-                break
-        else:
-            new = rng.uniform(low, high)
-        m, lk = likelihood(forward(new), observed, spread)
-        taken = lk >= like or rng.random() < (lk / like if like > 0 else 1.0)
-        rows.append((k, 1 if taken else -1, m, lk, *new))
-        if taken:
-            now, like = new, lk
-    return pd.DataFrame(rows, columns=["step", "accepted", "misfit", "likelihood", *(f"p{i}" for i in range(len(start)))])
+        new = np.empty_like(now)
+        for i, rng in enumerate(rngs):
+            for _ in range(5000):
+                x = now[i] + rng.normal(0, sigma)
+                if (x >= low).all() and (x <= high).all() and valid(x):
+                    break
+            else:
+                x = rng.uniform(low, high)
+            new[i] = x
+        m, lk = judged(new)
+        # a number is drawn for every step, taken or not, so that each step uses up alike
+        chance = np.array([rng.random() for rng in rngs])
+        taken = (lk >= like) | (chance < lk / np.where(like > 0, like, 1)) | (like <= 0)
+        out[:, k] = np.column_stack([np.where(taken, 1, -1), m, lk, new])
+        now, like = np.where(taken[:, None], new, now), np.where(taken, lk, like)
+    return out
+
+
+#: Chains that go in step; more make the work on arrays no faster.
+TOGETHER = 64
 
 
 def run_chains(tasks: DataFrame, steps: int, periods: tuple[float, ...]) -> DataFrame:
     """Chains of tasks(grid, chain, curve array<double>): Love-wave inversion for two layers over a half-space.
 
-    A chain is a row and a task's work; its seed is its key, so a task that runs again gives the same samples.
+    Chain 0 begins at a standard model, the others at one drawn within the bounds. A chain's seed is its key, so a task that
+    runs again gives the same samples.
     """
     t = np.array(periods)
     base, sigma, low, high = np.array([15.0, 3.0, 3.6, 4.4]), np.array([0.8, 0.05, 0.05, 0.05]), np.array([5.0, 2.2, 3.0, 4.0]), np.array([30.0, 3.6, 4.2, 4.6])
-    forward = lambda p: love_velocity(np.array([p[0], 20.0, 0.0]), p[1:], np.array([2.6, 2.8, 3.3]), t, 0.02)
+    rho = np.array([2.6, 2.8, 3.3])
+    forward = lambda p: love_velocities(np.column_stack([p[:, 0], np.full(len(p), 20.0), np.zeros(len(p))]), p[:, 1:], rho, t)
+    valid = lambda p: prior_ok(p[1:], 2)
+
+    def begin(seed: int, chain: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, 1])
+        x = base
+        while chain and not valid(x := rng.uniform(low, high)):
+            pass
+        return x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples():
-                c = sample_chain(r.grid * 1000 + r.chain, steps, base, sigma, low, high, forward, np.array(r.curve), np.full(len(t), 0.05), lambda p: prior_ok(p[1:], 2))
-                yield c.assign(grid=r.grid, chain=r.chain)[["grid", "chain", "step", "accepted", "misfit", "likelihood", "p0", "p1", "p2", "p3"]]
+            for at in range(0, len(b), TOGETHER):
+                part = b.iloc[at : at + TOGETHER]
+                seeds = [int(g) * 1000 + int(c) for g, c in zip(part["grid"], part["chain"], strict=True)]
+                start = np.stack([begin(s, int(c)) for s, c in zip(seeds, part["chain"], strict=True)])
+                out = sample_chains(seeds, steps, start, sigma, low, high, forward, np.stack(part["curve"].to_list()), np.full(len(t), 0.05), valid)
+                flat = out.reshape(-1, out.shape[2])
+                yield pd.DataFrame({"grid": np.repeat(part["grid"].to_numpy(), steps), "chain": np.repeat(part["chain"].to_numpy(), steps), "step": np.tile(np.arange(steps), len(part)), "accepted": flat[:, 0].astype(int), "misfit": flat[:, 1], "likelihood": flat[:, 2], **{f"p{k}": flat[:, 3 + k] for k in range(4)}})
 
     return tasks.mapInPandas(run, "grid long, chain long, step long, accepted int, misfit double, likelihood double, p0 double, p1 double, p2 double, p3 double")

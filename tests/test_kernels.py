@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import geo
 from strataspark.operators import blocks, interferometry, layers, lookup, pairs, stacks, tomography
-from strataspark.operators.inversion import love_velocity
+from strataspark.operators.inversion import love_velocities, love_velocity, prior_ok, sample_chains
 from strataspark.sources import files
 
 #: Upper layers of the AK135 model, flat: thickness, vp, vs, density (fixed values).
@@ -20,6 +20,25 @@ def test_dispersion_of_a_published_model():
     assert np.allclose(love, [3.6103, 3.7302, 3.8572, 3.9771, 4.0801, 4.1632, 4.2279], rtol=0.003)
 
 
+def test_chains_in_step():
+    rng, n = np.random.default_rng(0), 30
+    h, vs = np.column_stack([rng.uniform(5, 30, n), np.full(n, 20.0), np.zeros(n)]), np.sort(rng.uniform(2.4, 4.6, (n, 3)), axis=1)
+    rho, t = np.array([2.6, 2.8, 3.3]), np.array([8.0, 15, 25, 40])
+    assert np.allclose(love_velocities(h, vs, rho, t), [love_velocity(h[i], vs[i], rho, t, 0.005) for i in range(n)], atol=1e-5)
+    forward = lambda p: love_velocities(np.column_stack([p[:, 0], np.full(len(p), 20.0), np.zeros(len(p))]), p[:, 1:], rho, t)
+    start = np.tile([15.0, 3, 3.6, 4.4], (6, 1))
+    curves = forward(start) + 0.02 * np.arange(6)[:, None]
+    run = lambda k: sample_chains(k, 40, start[k], np.array([0.8, 0.05, 0.05, 0.05]), np.array([5, 2.2, 3, 4.0]), np.array([30, 3.6, 4.2, 4.6]), forward, curves[k], np.full(4, 0.05), lambda p: prior_ok(p[1:], 2))
+    together, alone = run(list(range(6))), run([3])
+    assert np.array_equal(together[3], alone[0]) and (together[:, :, 0] > 0).any() and (together[:, :, 0] < 0).any()
+    taken = together[:, :, 0] > 0
+    for c in range(6):  # a step that isn't taken is one with a smaller likelihood than the last that was
+        like = together[c, 0, 2]
+        for k in range(1, 40):
+            assert taken[c, k] or together[c, k, 2] < like
+            like = together[c, k, 2] if taken[c, k] else like
+
+
 def test_rayleigh_limits():
     for vs in (2.5, 3.5):
         c = layers.rayleigh_velocity(np.array([10.0, 20, 0]), np.full(3, vs * 3**0.5), np.full(3, vs), np.full(3, 2.7), np.array([5.0, 20, 80]))
