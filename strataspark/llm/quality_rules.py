@@ -168,3 +168,17 @@ s as (
 f as (select *, cast(FAILURES as bigint) as failures from s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures, failures & BASE <> 0 as base_failed, failures & POLICY = 0 as kept from f
 """.replace("FAILURES", " + ".join(f"case when {r.fails} then {1 << k} else 0 end" for k, r in enumerate(RULES))).replace("BASE", str(mask(POLICIES["v1"]))).replace("POLICY", str(mask(POLICIES[POLICY])))
+
+
+def quality_rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does over all documents, and what would be kept without it."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+_EACH = ", ".join(f"('{v}', '{name}', {mask(names)}, {mask([name])})" for v, names in POLICIES.items() for name in names)
+_COUNT = "cast(count(*) filter (where {}) as bigint)"
+ABLATIONS_SQL = f"""
+with o as ({OP5_SQL}), k(policy, rule, p, r) as (values {_EACH})
+select policy, rule, {_COUNT.format('(failures & p) <> 0')} as n_removed, {_COUNT.format('(failures & r) <> 0')} as n_failing, {_COUNT.format('(failures & p) = r')} as n_alone,
+  {_COUNT.format('(failures & (p & ~r)) = 0')} as n_kept_without from o cross join k group by policy, rule
+"""
