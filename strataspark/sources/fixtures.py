@@ -46,4 +46,7 @@ def with_tables(sql: str) -> str:
     body = sql.strip()
     if not own:
         return body
-    return f"with {own}, {body[5:]}" if body.lower().startswith("with ") else f"with {own} {body}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{own}, {body[len(start):]}"
+    return f"with {own} {body}"
