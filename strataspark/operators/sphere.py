@@ -162,6 +162,21 @@ def regularised(segments: DataFrame, residuals: DataFrame, cell: dict[int, float
     return x.select(*keys, "m", "rays")
 
 
+def two_passes(segments: DataFrame, residuals: DataFrame, cell: dict[int, float], smooth_km: dict[int, float], fine_km: dict[int, float], smoothing: tuple[float, float], damping: float, most: float = 2.0, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """The model of a second pass, as regularised gives it, and the rays (ray, left, used) that it was made of.
+
+    A first, smooth pass predicts all rays; those whose residual is left over by more than `most` standard deviations from the mean aren't used again.
+    """
+    first = regularised(segments, residuals, cell, smooth_km, smoothing[0], damping, tolerance)
+    predicted = segments.join(first, ["term", "cx", "cy"]).groupBy("ray").agg(F.sum(F.col("g") * F.col("m")).alias("p"))
+    left = residuals.join(predicted, "ray").withColumn("left", F.col("res") - F.col("p"))
+    spread = left.agg(F.avg("left").alias("mean"), F.stddev_pop("left").alias("std"))  # one row
+    left = cut(left.join(F.broadcast(spread)).withColumn("used", F.abs(F.col("left") - F.col("mean")) <= most * F.col("std")).select("ray", "res", "weight", "left", "used"))
+    good = left.where("used")
+    second = regularised(segments.join(good.select("ray"), "ray", "left_semi"), good.select("ray", "res", "weight"), cell, fine_km, smoothing[1], damping, tolerance)
+    return second, left.select("ray", "left", "used")
+
+
 def response_fits(responses: DataFrame, keys: list[str], least: float = 0.05, longest: float = 2000.0) -> DataFrame:
     """keys, cone and sigma of responses(keys, d km, m): a cone and a Gaussian fitted in two steps to how each falls with distance.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import correlations, geometry, inverse, joins, kernels, lookups, models, noise, parameters, paths, posterior, selection, sphere, stacking, surface, travel, windows  # noqa: F401
+from . import correlations, geometry, inverse, joins, kernels, lookups, maps, models, noise, parameters, paths, posterior, selection, sphere, stacking, surface, travel, windows  # noqa: F401
 from .registry import QUERIES, SQL
 from .stacking import pair_stack as flagship
 

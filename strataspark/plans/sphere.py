@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.operators import sphere
+from strataspark.operators import fields, sphere
 from strataspark.sources.fixtures import table
 
 from .registry import query
@@ -94,3 +94,21 @@ def response_widths(spark, sf_dir):
     off = F.col("n.i") * F.col("n.i") + F.col("n.j") * F.col("n.j")
     p = p.select(F.col("ilat").cast("bigint").alias("ilat"), F.col("ilon").cast("bigint").alias("ilon"), (100 * F.sqrt(off.cast("double"))).alias("d"), (F.col("v") * F.exp(-off / 8.0)).alias("m"))
     return sphere.response_fits(p, ["ilat", "ilon"]).select("ilat", "ilon", F.round("cone", 4).alias("cone"), F.round("sigma", 4).alias("sigma"))
+
+
+@query("checkerboard", f"""with {_SQL_RAYS}, p as (select *, sin((1 - share) * w) / sin(w) as a, sin(share * w) / sin(w) as b from f), q as (select ray, part, degrees(atan2(a * y1 + b * y2, a * x1 + b * x2)) as lon, degrees(atan2(a * z1 + b * z2, sqrt(power(a * x1 + b * x2, 2) + power(a * y1 + b * y2, 2)))) as lat from p)
+  select ray, round(sum(part), 4) as d, round(sum(part / (3.25 + 0.25 * sin(pi() * (lon + 165) / 5) * sin(pi() * (lat - 55) / 2.5))), 4) as t from q group by ray""")
+def checkerboard(spark, sf_dir):
+    """Travel times of all pairs with a curve through a checkerboard of velocities."""
+    p = sphere._place(sphere._points(_rays(pair_residuals(spark, sf_dir, 10.0)), 25.0))
+    v = fields.checkerboard(p, 3.25, 0.25, 5.0, 2.5, -165.0, 55.0)
+    return v.groupBy("ray").agg(F.round(F.sum("part"), 4).alias("d"), F.round(F.sum(F.col("part") / F.col("v")), 4).alias("t"))
+
+
+@query("two_pass_tomography")
+def two_pass_tomography(spark, sf_dir):
+    """Velocities at 14 s in two passes: a smooth one, without the rays that it leaves beyond two deviations a finer one; rays counts those used."""
+    r = pair_residuals(spark, sf_dir, 14.0)
+    g = sphere.ray_cells(_rays(r), CELL).withColumn("term", F.lit(0))
+    x, _ = sphere.two_passes(g, r.select("ray", "res", "weight"), {0: CELL}, {0: 400.0}, {0: 150.0}, (2.0, 0.5), 0.2)
+    return x.select("cx", "cy", (1 / (1 / C0 + F.col("m"))).alias("velocity"), "rays")
