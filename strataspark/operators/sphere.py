@@ -44,7 +44,8 @@ def _place(p: DataFrame, aside: Column | None = None) -> DataFrame:
 
 
 def _cells(p: DataFrame, cell: float) -> DataFrame:
-    return p.withColumns({"cx": F.floor(F.col("lon") / cell).cast("int"), "cy": F.floor(F.col("lat") / cell).cast("int")})
+    # points on an edge belong to the cell beyond it, whatever the last digit is
+    return p.withColumns({"cx": F.floor(F.col("lon") / cell + 1e-9).cast("int"), "cy": F.floor(F.col("lat") / cell + 1e-9).cast("int")})
 
 
 def ray_cells(rays: DataFrame, cell: float, step_km: float = 25.0) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iteration import cut
+
 
 def azimuth_weights(cells: DataFrame, keys: list[str], width: float = 20.0) -> DataFrame:
     """cells with near, the number of rows of the cell, valid or not, within width degrees of azimuth around the circle; 0 if not valid.
@@ -28,17 +30,18 @@ def isotropic_stack(cells: DataFrame, keys: list[str], least: int = 50) -> DataF
 
     cells has slow and near (0: not valid). Cells of fewer than least valid rows are dropped.
     """
-    x = cells.where("near > 0").withColumn("w", 1 / F.col("near"))
-    # a few numbers a cell, joined back: no cell's rows are gathered
-    cap = x.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg("w") + 3 * F.stddev_pop("w")).alias("cap")).where(F.col("n") >= least)
-    x = x.join(cap, keys).withColumn("w", F.least("w", "cap")).select(*keys, "slow", "w", "n")
+    # equal values are counted and kept once; what follows is a few numbers a cell, joined back: no cell's rows are gathered
+    x = cut(cells.where("near > 0").groupBy(*keys, "slow", "near").agg(F.count("*").alias("k"))).withColumn("w", 1 / F.col("near"))
+    all_, mean = F.sum("k"), F.sum(F.col("k") * F.col("w")) / F.sum("k")
+    cap = x.groupBy(*keys).agg(all_.alias("n"), (mean + 3 * F.sqrt(F.greatest(F.sum(F.col("k") * F.col("w") * F.col("w")) / all_ - mean * mean, F.lit(0.0)))).alias("cap"), (F.sum(F.col("k") * F.col("slow")) / all_).alias("r")).where(F.col("n") >= least)
     # the weighted spread about the mean, by values less a rough one so that squares don't cancel
-    rough = x.groupBy(*keys).agg(F.avg("slow").alias("r"))
-    y = x.join(rough, keys).withColumn("z", F.col("slow") - F.col("r"))
+    y = x.join(cap, keys).select(*keys, "slow", "k", (F.col("k") * F.least("w", "cap")).alias("w"), "n", (F.col("slow") - F.col("r")).alias("z"))
     total, first = F.sum("w"), F.sum(F.col("w") * F.col("z"))
     m = y.groupBy(*keys).agg((first / total).alias("m"), F.sqrt(F.greatest(F.sum(F.col("w") * F.col("z") * F.col("z")) / total - F.pow(first / total, 2), F.lit(0.0))).alias("sd"))
     x = y.join(m, keys).where(F.abs(F.col("z") - F.col("m")) <= 2 * F.col("sd"))
-    g = x.groupBy(*keys).agg(F.max("n").alias("n"), F.count("*").alias("n_kept"), (F.sum(F.col("w") * F.col("slow")) / F.sum("w")).alias("slowness"), F.stddev_pop("slow").alias("std"))
+    kept, middle = F.sum("k"), F.sum(F.col("k") * F.col("z")) / F.sum("k")
+    std = F.sqrt(F.greatest(F.sum(F.col("k") * F.col("z") * F.col("z")) / kept - middle * middle, F.lit(0.0)))
+    g = x.groupBy(*keys).agg(F.max("n").alias("n"), kept.alias("n_kept"), (F.sum(F.col("w") * F.col("slow")) / F.sum("w")).alias("slowness"), std.alias("std"))
     return g.withColumns({"velocity": 1 / F.col("slowness"), "sem": F.col("std") / F.sqrt("n_kept")})
 
 

@@ -40,7 +40,7 @@ _SQL_RAYS = """r as (select sta1 * 10000000 + sta2 as ray, radians(a.lon) as o1,
 @query("fresnel_density", f"""with {_SQL_RAYS}, h as (select *, 3.0 / 8 * 35 as e from f), g as (select *, cast(floor(sqrt((d + e) * (d + e) - d * d) / 2 * sqrt(greatest(0.0, 1 - power((2 * share - 1) * d / (d + e), 2))) / (6371.0 * pi() / 180 / 2)) as int) as m from h),
   o as (select *, unnest(range(-m, m + 1)) * (6371.0 * pi() / 180 / 2) / 6371.0 as o, sin((1 - share) * w) / sin(w) as a, sin(share * w) / sin(w) as b from g),
   p as (select ray, part / (2 * m + 1) as g, (a * x1 + b * x2) * cos(o) + (y1 * z2 - z1 * y2) / sin(w) * sin(o) as x, (a * y1 + b * y2) * cos(o) + (z1 * x2 - x1 * z2) / sin(w) * sin(o) as y, (a * z1 + b * z2) * cos(o) + (x1 * y2 - y1 * x2) / sin(w) * sin(o) as z from o),
-  c as (select ray, cast(floor(degrees(atan2(y, x)) / 1.0) as int) as cx, cast(floor(degrees(atan2(z, sqrt(x * x + y * y))) / 1.0) as int) as cy, g from p)
+  c as (select ray, cast(floor(degrees(atan2(y, x)) / 1.0 + 1e-9) as int) as cx, cast(floor(degrees(atan2(z, sqrt(x * x + y * y))) / 1.0 + 1e-9) as int) as cy, g from p)
   select cx, cy, count(distinct ray) as rays, round(sum(g), 4) as length from c group by cx, cy""")
 def fresnel_density(spark, sf_dir):
     """Rays and km of them in each cell, each ray as wide as its Fresnel zone at a period of 10 s."""
@@ -50,7 +50,7 @@ def fresnel_density(spark, sf_dir):
 
 @query("azimuth_terms", f"""with {_SQL_RAYS}, p as (select *, sin((1 - share) * w) / sin(w) as a, sin(share * w) / sin(w) as b from f), q as (select ray, part, degrees(atan2(a * y1 + b * y2, a * x1 + b * x2)) as lon, degrees(atan2(a * z1 + b * z2, sqrt(power(a * x1 + b * x2, 2) + power(a * y1 + b * y2, 2)))) as lat, x2, y2, z2 from p),
   e as (select *, radians(lon) as o, radians(lat) as t, atan2(y2, x2) as o2, asin(z2) as t2 from q), z as (select *, atan2(sin(o2 - o) * cos(t2), cos(t) * sin(t2) - sin(t) * cos(t2) * cos(o2 - o)) as az from e),
-  u as (select ray, part, cast(floor(lon / 2.5) as int) as cx, cast(floor(lat / 2.5) as int) as cy, unnest([4, 5, 8, 9]) as term, unnest([cos(2 * az), sin(2 * az), cos(4 * az), sin(4 * az)]) as f from z)
+  u as (select ray, part, cast(floor(lon / 2.5 + 1e-9) as int) as cx, cast(floor(lat / 2.5 + 1e-9) as int) as cy, unnest([4, 5, 8, 9]) as term, unnest([cos(2 * az), sin(2 * az), cos(4 * az), sin(4 * az)]) as f from z)
   select cast(term as int) as term, cx, cy, round(sum(part * f), 3) as g from u group by all""")
 def azimuth_terms(spark, sf_dir):
     """The sums over all rays of their km in coarse cells times cosine and sine of twice and four times the azimuth."""

@@ -101,10 +101,13 @@ def azimuth_bins(spark, sf_dir):
     c = table(spark, sf_dir, "cells").where("reason_n = 0")
     m = c.groupBy("ilat", "ilon").agg(F.avg(1 / F.col("vel")).alias("m"))
     c = c.join(m, ["ilat", "ilon"]).withColumn("d", 1 / F.col("vel") - F.col("m"))
+    # three sums a cell and bin go to the neighbours, not the rows
+    own = c.groupBy("ilat", "ilon", F.floor((F.col("az") + 180) / 20).alias("bin")).agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
     near = F.array(*(F.struct((F.col("ilat") + i).alias("ilat"), (F.col("ilon") + j).alias("ilon")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    e = c.select(F.explode(near).alias("k"), F.floor((F.col("az") + 180) / 20).alias("bin"), "d").select("k.*", "bin", "d").where("ilat between 0 and 9 and ilon between 0 and 9")
-    g = e.groupBy("ilat", "ilon", "bin").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("slow"), F.round(F.stddev_samp("d") / F.sqrt(F.count("*")), 6).alias("sem"))
-    return g.where("n >= 2")
+    e = own.select(F.explode(near).alias("k"), "bin", "n", "s", "ss").select("k.*", "bin", "n", "s", "ss").where("ilat between 0 and 9 and ilon between 0 and 9")
+    g = e.groupBy("ilat", "ilon", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).where("n >= 2")
+    spread = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+    return g.select("ilat", "ilon", "bin", "n", F.round(F.col("s") / F.col("n"), 6).alias("slow"), F.round(spread / F.sqrt("n"), 6).alias("sem"))
 
 
 @query("azimuth_fit", """with x as (select ilat, ilon, cos(2 * radians(az)) as c, sin(2 * radians(az)) as s, vel as y from cells where reason_n = 0),
