@@ -47,7 +47,8 @@ def folders(spark, tmp_path_factory):
     for a, d, lab, pages in ((at[0], full, labels, [(1, "<p>a<img src=b alt=c>d", "u"), (2, None, None), (None, "", "u")]), (at[1], [], [], [])):
         spark.createDataFrame(d, f"{COLUMNS}, {CLASHING}").write.parquet(f"{a}/documents.parquet")
         spark.createDataFrame(lab, "doc_id bigint, quality int, toxic int").write.parquet(f"{a}/labels.parquet")
-        spark.createDataFrame(pages, "page_id bigint, html string, id string").write.parquet(f"{a}/pages.parquet")
+        spark.createDataFrame([(*p, "http://h/a") for p in pages], "page_id bigint, html string, id string, url string").write.parquet(f"{a}/pages.parquet")
+        spark.createDataFrame([(100, [0.5], 1, "i")] if d else [], "vec_id bigint, embedding array<float>, label int, id string").write.parquet(f"{a}/embeddings.parquet")
     return at
 
 
