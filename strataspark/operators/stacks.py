@@ -172,3 +172,30 @@ def without_cycles(rows: DataFrame, keys: list[str], value: str, distance: float
     m = rows.groupBy(*keys).agg(F.avg(value).alias("_m"))
     t = distance / F.col(value)
     return rows.join(m, keys).withColumn(value, distance / (t - F.col("period") * F.round((t - distance / F.col("_m")) / F.col("period")))).drop("_m")
+
+
+def cosine_terms(amplitude: Column, psi: Column, amplitude_error: Column, psi_error: Column) -> tuple[Column, Column, Column, Column]:
+    """Cosine and sine terms of a 2-psi curve of an amplitude and fast direction (degrees), and their errors by propagation."""
+    r, e = F.radians(psi) * 2, F.radians(psi_error) * 2
+    spread = lambda f, g: F.sqrt(F.pow(f * amplitude_error, 2) + F.pow(amplitude * g * e, 2))
+    return amplitude * F.cos(r), amplitude * F.sin(r), spread(F.cos(r), F.sin(r)), spread(F.sin(r), F.cos(r))
+
+
+def layered_anisotropy(curves: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, n, and for two layers amplitude (per cent, peak to peak over two), fast direction and their errors, of curves(g1, g2, dc, ds, dc_error, ds_error).
+
+    The cosine and the sine terms are two least-squares problems with weights of their own that share the layers' kernels g1 and g2; errors come from
+    the inverses of their normal equations. Keys with fewer than least rows or kernels that don't tell the layers apart are dropped.
+    """
+    sums = {f"{a}{t}": f"{e} / (d{t}_error * d{t}_error)" for t in "cs" for a, e in (("m11", "g1 * g1"), ("m12", "g1 * g2"), ("m22", "g2 * g2"), ("y1", f"g1 * d{t}"), ("y2", f"g2 * d{t}"))}
+    q = curves.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(a) for a, e in sums.items())).where(F.col("n") >= least)
+    for t in "cs":
+        q = q.withColumn(f"det{t}", F.expr(f"m11{t} * m22{t} - m12{t} * m12{t}")).where(f"det{t} > 1e-9 * m11{t} * m22{t}")
+        q = q.withColumns({f"g{t}1": F.expr(f"(m22{t} * y1{t} - m12{t} * y2{t}) / det{t}"), f"g{t}2": F.expr(f"(m11{t} * y2{t} - m12{t} * y1{t}) / det{t}"), f"v{t}1": F.expr(f"m22{t} / det{t}"), f"v{t}2": F.expr(f"m11{t} / det{t}")})
+    out = []
+    for k in "12":
+        c, s, vc, vs = (F.col(f"{a}{k}") for a in ("gc", "gs", "vc", "vs"))
+        a = F.hypot(c, s)
+        out += [(50 * a).alias(f"amp{k}"), F.pmod(F.degrees(F.atan2(s, c)) / 2, F.lit(180.0)).alias(f"fast{k}")]
+        out += [(50 * F.sqrt(F.try_divide(c * c * vc + s * s * vs, a * a))).alias(f"amp_error{k}"), F.least(F.lit(90.0), F.degrees(F.sqrt(F.try_divide(s * s * vc + c * c * vs, F.pow(a, 4)))) / 2).alias(f"fast_error{k}")]
+    return q.select(*keys, "n", *out)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.operators import modes
+from strataspark.operators import modes, stacks
 from strataspark.sources.fixtures import table
 
 from .registry import query
@@ -153,3 +153,20 @@ def rayleigh_sensitivities(spark, sf_dir):
 def spherical_dispersion(spark, sf_dir):
     """Phase and group velocities of Rayleigh waves on a sphere, for the best model of each grid point, its crust in four layers."""
     return model_modes(best_models(spark, sf_dir), "rayleigh", ("c", "u"), False, spherical=True, layers=4)
+
+
+@query("hti_profile")
+def hti_profile(spark, sf_dir):
+    """Azimuthal anisotropy of crust and mantle at each grid point: 2-psi terms of its cells' velocities, by the kernels of its best model's Rayleigh waves.
+
+    Amplitudes and directions, with errors of the means, are turned to cosine and sine terms with errors; cells are of three periods by their row.
+    """
+    k = model_modes(best_models(spark, sf_dir), "rayleigh", ("share",), True, layers=4).where("share = share")
+    g = k.groupBy("grid", "period").agg(F.sum(F.when(F.col("layer") < 4, F.col("share"))).alias("g1"), F.sum(F.when(F.col("layer") == 4, F.col("share"))).alias("g2"))
+    c = table(spark, sf_dir, "cells").where("reason_n = 0").select(F.col("ev").cast("bigint").alias("grid"), F.array(*map(F.lit, (10, 20, 40)))[F.col("ilat") % 3].alias("period"), F.radians(F.col("az") * 2).alias("r"), (F.col("vel") - 3.5).cast("double").alias("v"))
+    t = c.groupBy("grid", "period").agg(F.count("*").alias("m"), (2 * F.avg(F.col("v") * F.cos("r"))).alias("a"), (2 * F.avg(F.col("v") * F.sin("r"))).alias("b"), F.stddev_pop("v").alias("sd")).where("m >= 10 and sd > 0")
+    amp, error = F.hypot("a", "b"), F.col("sd") * F.sqrt(2 / F.col("m"))
+    psi, psi_error = F.degrees(F.atan2("b", "a")) / 2, F.least(F.lit(90.0), F.degrees(error / F.greatest(amp, F.lit(1e-12))) / 2)
+    terms = stacks.cosine_terms(amp, psi, error, psi_error)
+    d = t.select("grid", "period", *(x.alias(n) for x, n in zip(terms, ("dc", "ds", "dc_error", "ds_error"), strict=True)))
+    return stacks.layered_anisotropy(g.join(d, ["grid", "period"]), ["grid"], 3)
