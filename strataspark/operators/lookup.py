@@ -73,3 +73,19 @@ def smoothed_mask(cells: DataFrame, mask: str = "mask", every: bool = False) ->
     x = cells.select(F.explode(near).alias("k"), F.col(mask).cast("boolean").alias("m")).select("k.*", "m")
     g = x.groupBy("ilat", "ilon").agg((F.bool_and if every else F.bool_or)("m").alias(mask), F.count("*").alias("n"), F.bool_or("own").alias("own"), F.max("want").alias("want"))
     return g.where("own or n = want").select("ilat", "ilon", F.col(mask).cast("int").alias(mask))
+
+
+def blend_depths(grid: DataFrame, stations: DataFrame, max_km: float, box_deg: float) -> DataFrame:
+    """pid, sid, sed and crust (thicknesses in km) of grid(pid, lon, lat, topo, sed, crust) with the nearest of stations(sid, lon_r, lat_r, topo_s, sed_s, crust_s) within max_km mixed in.
+
+    What is mixed are the depths of the sediments' base and of the crust's below sea level, thicknesses less the height of the surface (km), since
+    grid point and station lie at different heights. Where the mixed base would lie above the point's surface the sediments' thicknesses are mixed.
+    """
+    near = nearest_within(grid.select("pid", "lon", "lat"), stations.select("sid", "lon_r", "lat_r"), max_km, box_deg).join(stations.drop("lon_r", "lat_r"), "sid")
+    mix = lambda a, b: F.col("weight") * a + (1 - F.col("weight")) * b
+    c = {n: F.col(n) for n in ("topo", "sed", "crust", "topo_s", "sed_s", "crust_s")}
+    base = mix(c["sed"] - c["topo"], c["sed_s"] - c["topo_s"])
+    moho = mix(c["sed"] + c["crust"] - c["topo"], c["sed_s"] + c["crust_s"] - c["topo_s"])
+    x = grid.select("pid", "topo", "sed", "crust").join(near, "pid", "left").withColumns({"_base": base, "_moho": moho})
+    sed = F.when(F.col("_base") + F.col("topo") > 0, F.col("_base") + F.col("topo")).otherwise(mix(c["sed"], c["sed_s"]))
+    return x.select("pid", "sid", F.coalesce(sed, "sed").alias("sed"), F.coalesce(F.col("_moho") - F.col("_base"), "crust").alias("crust"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strataspark.functions import tables
-from strataspark.operators import arrays, masks, signal, sphere
+from strataspark.operators import arrays, lookup, masks, signal, sphere
 from strataspark.streaming import gaps
 
 
@@ -95,3 +95,15 @@ def test_gaps_go_on_after_a_restart(spark, tmp_path):
         until(k)
     zero = int(pd.Timestamp("2024-01-01").timestamp())
     assert sorted((u, e, a - zero, b - zero, s) for u, e, a, b, s in rows) == [(1, "a", 5, 30, 25.0), (1, "b", 4, 50, 46.0), (2, "a", 1, 100, 99.0)]
+
+
+def test_depths_are_mixed_below_sea_level(spark):
+    g = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 2.0, 30.0), (2, 0.0, 50.0, 1.0, 2.0, 30.0), (3, 10.0, 0.0, -3.0, 0.1, 10.0)], "pid int, lon double, lat double, topo double, sed double, crust double")
+    s = spark.createDataFrame([(7, 0.0, 0.3, 2.0, 1.0, 40.0), (8, 10.0, 0.3, 3.0, 0.5, 20.0)], "sid int, lon_r double, lat_r double, topo_s double, sed_s double, crust_s double")
+    got = {r["pid"]: r for r in lookup.blend_depths(g, s, 75.0, 2.5).collect()}
+    w = 0.3 * 6371 * np.pi / 180 / 75
+    base, moho = w * 1 + (1 - w) * -1, w * 31 + (1 - w) * 39
+    assert np.isclose(got[1]["sed"], base + 1) and np.isclose(got[1]["crust"], moho - base) and got[1]["sid"] == 7
+    assert (got[2]["sid"], got[2]["sed"], got[2]["crust"]) == (None, 2.0, 30.0)
+    # the mixed base would be above the sea floor
+    assert np.isclose(got[3]["sed"], w * 0.1 + (1 - w) * 0.5)
