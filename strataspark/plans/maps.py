@@ -95,13 +95,13 @@ def station_ray_samples(spark, sf_dir):
     return spark.sql("select s.sta_key, r.k, round(r.lon, 6) as lon, round(r.lat, 6) as lat from {s} s, lateral ray_samples(s.lon, s.lat, -150D, 60D, 4) r", s=s)
 
 
-@query("blended_depths", f"""with g as (select ilat * 10 + ilon as pid, cast(-165 as double) + 2.5 * ilon as lon, cast(55 as double) + ilat as lat, avg(az) / 50 as topo, 1 + avg(vel) / 10 as sed, 30 + avg(vel) as crust from cells group by ilat, ilon), s as (select sta_key, lon, lat, elev_m / 3000 as topo, 0.5 + sta_key % 5 * 0.4 as sed, 28 + sta_key % 9 as crust from stations),
+@query("blended_depths", f"""with g as (select ilat * 10 + ilon as pid, cast(-165 as double) + 2.5 * ilon as lon, cast(55 as double) + ilat as lat, avg(az) / 50 as topo, 1 + avg(vel) / pi() / 3 as sed, 30 + avg(vel) / pi() as crust from cells group by ilat, ilon), s as (select sta_key, lon, lat, elev_m / 3000 as topo, 0.5 + sta_key % 5 * 0.4 as sed, 28 + sta_key % 9 as crust from stations),
   d as (select g.*, s.topo as ts, s.sed as ss, s.crust as cs, sta_key, {geo.sql_distance('g.lon', 'g.lat', 's.lon', 's.lat')} as d from g join s on abs(g.lon - s.lon) <= 2.5 and abs(g.lat - s.lat) <= 2.5),
   n as (select *, d / 75 as w, row_number() over (partition by pid order by round(d, 6), sta_key) as k from d where d <= 75), m as (select *, w * (sed - topo) + (1 - w) * (ss - ts) as base, w * (sed + crust - topo) + (1 - w) * (ss + cs - ts) as moho from n where k = 1)
   select g.pid, coalesce(sta_key, -1) as sta_key, round(case when m.pid is null then g.sed when base + m.topo > 0 then base + m.topo else w * m.sed + (1 - w) * ss end, 5) as sed, round(case when m.pid is null then g.crust else moho - base end, 5) as crust from g left join m on g.pid = m.pid""")
 def blended_depths(spark, sf_dir):
     """Thicknesses of sediments and crust of a grid with those of the nearest station mixed in, as depths below sea level."""
-    g = table(spark, sf_dir, "cells").groupBy("ilat", "ilon").agg((F.avg("az") / 50).alias("topo"), (1 + F.avg("vel") / 10).alias("sed"), (30 + F.avg("vel")).alias("crust"))
+    g = table(spark, sf_dir, "cells").groupBy("ilat", "ilon").agg((F.avg("az") / 50).alias("topo"), (1 + F.avg("vel") / F.pi() / 3).alias("sed"), (30 + F.avg("vel") / F.pi()).alias("crust"))
     g = g.select((F.col("ilat") * 10 + F.col("ilon")).alias("pid"), (F.lit(-165.0) + 2.5 * F.col("ilon")).alias("lon"), (F.lit(55.0) + F.col("ilat")).alias("lat"), *(F.col(c).cast("double").alias(c) for c in ("topo", "sed", "crust")))
     s = table(spark, sf_dir, "stations").select(F.col("sta_key").alias("sid"), F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r"), (F.col("elev_m") / 3000).cast("double").alias("topo_s"), (0.5 + F.col("sta_key") % 5 * 0.4).cast("double").alias("sed_s"), (28 + F.col("sta_key") % 9).cast("double").alias("crust_s"))
     x = lookup.blend_depths(g, s, 75.0, 2.5)
