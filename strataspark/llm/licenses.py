@@ -232,7 +232,8 @@ def licences(ids: list[tuple[str, str]]) -> list[str]:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licences (array, in order of appearance), sentences (array of known identifiers), n_unmatched.
 
-    n_unmatched counts known sentences that no rule used. Null, empty and blank texts have none of these. Rows are scanned
+    n_unmatched counts known sentences that no rule used. Null, empty and blank texts have none of these. Texts of any length are
+    scanned whole, and of rules that fit at one place the first counts. Rows are scanned
     one by one: repeated rows repeat, a null id stays null; other columns are ignored; no rows give no rows.
     """
 

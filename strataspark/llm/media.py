@@ -230,7 +230,8 @@ def text_page(text: Column, digest: Column) -> Column:
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
     """Each document as a page of its own text and a figure of it: parsed to ordered items, resolved by digest and read back.
 
-    position is that of the figure, the number of the text's lines that have a word.
+    position is that of the figure, the number of the text's lines that have a word. Texts of any length are stored whole, and equal
+    texts share one stored form.
     """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     payloads = with_payload(d)

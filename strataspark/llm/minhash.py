@@ -201,7 +201,7 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, size: int = 5, m: int = 12, rows: int = 3, seed: int = 7) -> DataFrame:
     """Near-duplicate components: one row a document with doc_id, n_shingles, class_id, n_links, component_id, kept.
 
-    Words are the runs of characters other than ASCII white space of the text, A-Z lower-cased. Null, empty and blank
+    Words are the runs of characters other than ASCII white space of the text, A-Z lower-cased; texts of any length count whole. Null, empty and blank
     texts have no shingles and are linked with nothing. A text of fewer than `size` words is one shingle, so it is
     linked with texts of the same words. class_id is the smallest id with the same set, n_links the number of links
     of that class with other classes that were confirmed, component_id the smallest id reachable over links,

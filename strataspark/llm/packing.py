@@ -125,7 +125,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, group: int = GROUP) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Only documents of more than capacity ids are cut. Repeated rows are packed
+    A null or empty text is the end id alone. Texts of any length are packed whole; only documents of more than capacity ids are
+    cut. Of bins that are as good a place the one with the smaller gap is taken, and pieces of one length may stand in any order. Repeated rows are packed
     each on its own; a null id stays null; other columns are ignored; an empty table gives an empty result.
     """
     if tokenizer_path is None:

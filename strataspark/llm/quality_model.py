@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and the statistics of each row of docs.
 
-    Null and empty texts have statistics of zero and a score like any other. Rows are scored one by one: repeated rows
+    Null and empty texts have statistics of zero and a score like any other; texts of any length are measured whole, and equal
+    texts have equal scores. Rows are scored one by one: repeated rows
     repeat, a null id stays null; other columns are ignored; no rows give no rows.
     """
     s = docs.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("s"))
