@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -79,69 +79,163 @@ def feature(rows: np.ndarray) -> str:
     return f"{rows.shape[1]}x{rows.shape[0]}:{mean}:{spread}:{int.from_bytes(np.packbits(bits).tobytes()):016x}"
 
 
-class _Page(HTMLParser):
-    """items: [kind, text, reference, caption], in order."""
+#: A tag with its attributes; quotes count after an equals sign only. Nothing in it is tried twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_RAW = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in ("script", "style")}
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+def _plain(text: str) -> str:
+    """text with its character references resolved; numbers beyond any character become U+FFFD."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), _plain(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page's parts; kinds are text, start and end. Time is linear in the page.
+
+    Comments, declarations and the insides of scripts and styles are left out, the rest of the page where a script
+    or style has no end. A comment without an end is over at the next >, as declarations are. From a tag whose quotes hide its end on,
+    tags end at the next >; where none follows, what is left is text.
+    """
+    at, said, quoted, comments = 0, 0, True, True
+    while (at := page.find("<", at)) >= 0:
+        mark = page[at + 1 : at + 3]
+        if not mark or not (mark[0] in "!?" or mark[0] == "/" or (mark[0].isascii() and mark[0].isalpha())):
+            at += 1
+            continue
+        m = None
+        if mark[0].isalpha() or mark[0] == "/" and mark[1:].isascii() and mark[1:].isalpha():
+            m = _TAG.match(page, at) if quoted else None
+            quoted = m is not None
+        end = -1
+        if m is None and comments and page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            comments, end = end >= 0, end + 2 if end >= 0 else -1
+        if m is None and end < 0:
+            end = page.find(">", at)
+            if end < 0:
+                break
+        if said < at:
+            yield "text", page[said:at], ""
+        closing, name, attributes = (m[1], m[2], m[3]) if m else ("", "", "")
+        if m is None and (mark[0].isalpha() or mark[0] == "/"):
+            closing = mark[0] if mark[0] == "/" else ""
+            name, _, attributes = page[at + 1 + len(closing) : end].replace("/", " ").partition(" ")
+        said = at = m.end() if m else end + 1
+        name = name.lower()
+        if name:
+            yield "end" if closing else "start", name, attributes
+        if name in _RAW and not closing:
+            raw = _RAW[name].search(page, at)
+            if raw is None:
+                return
+            said = at = raw.start()
+    if said < len(page):
+        yield "text", page[said:], ""
+
+
+class _Page:
+    """items: [kind, text, reference, caption], in order; kind is None for captions that media took."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.items: list[list[str | None]] = []
         self.words: list[str] = []
-        self.skipped = 0
-        self.figure: list[list[str | None]] | None = None
+        self.figures: list[list] = []  # of each open one: where its media begin in waiting, and its captions as items
+        self.waiting: list[list[str | None]] = []  # media in open figures without a figure's caption
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
-        text = " ".join("".join(self.words).split())
+        if self.caption is not None:
+            self.caption.append(" ")
+            return
+        text = " ".join(_plain("".join(self.words)).split())
         self.words = []
         if text:
             self.items.append(["text", text, None, None])
 
-    def handle_starttag(self, tag, attrs):
-        got = dict(attrs)
-        if tag in ("script", "style"):
-            self.skipped += 1
-        elif tag in ("img", "video", "audio", "source") and (got.get("src") or got.get("data-src")):
-            self.flush()
-            item = ["media", None, got.get("src") or got.get("data-src"), got.get("alt") or None]
-            self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            said, self.caption = " ".join(_plain("".join(self.caption)).split()), None
+            if said:
+                self.items.append(["text", said, None, None])
+                if self.figures:
+                    self.figures[-1][1].append(self.items[-1])
+
+    def end_figure(self) -> None:
+        begin, captions = self.figures.pop()
+        if captions and begin < len(self.waiting):
+            said = " ".join(c[1] for c in captions)
+            for item in self.waiting[begin:]:
+                item[3] = said
+            for c in captions:
+                c[0] = None
+            del self.waiting[begin:]
+        if not self.figures:
+            self.waiting.clear()
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in ("img", "video", "audio", "source"):
+            got = _attributes(attributes)
+            source = got.get("src") or got.get("data-src") or (next(iter(got.get("srcset", "").split()), "").rstrip(",") if tag == "img" else "")
+            if source:
+                self.flush()
+                self.items.append(["media", None, source, got.get("alt") or None])
+                if self.figures:
+                    self.waiting.append(self.items[-1])
         elif tag == "figure":
+            self.end_caption()
             self.flush()
-            self.figure = []
+            self.figures.append([len(self.waiting), []])
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in _BLOCKS:
             self.flush()
 
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.figure or []:
-                item[3] = said or item[3]
-            if not self.figure and said:
-                self.items.append(["text", said, None, None])
-        elif tag == "figure":
+    def end(self, tag: str) -> None:
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_caption()
             self.flush()
-            self.figure = None
+            self.end_figure()
         elif tag in _BLOCKS:
             self.flush()
 
-    def handle_data(self, data):
-        if not self.skipped:
-            (self.words if self.caption is None else self.caption).append(data)
+    def close(self) -> None:
+        self.end_caption()
+        self.flush()
+        while self.figures:
+            self.end_figure()
 
 
 def sequence(page: str | None) -> list[dict]:
-    """The ordered texts and media references of a page: dicts of position, kind, text, reference, caption."""
+    """The ordered texts and media references of a page: dicts of position, kind, text, reference, caption.
+
+    A caption goes to the media of its figure and of figures within that have none of their own, before or after it;
+    without any it is a text. A caption without an end is over with its figure, at the next caption or figure, or with the page.
+    """
     p = _Page()
-    p.feed(page or "")
+    for kind, name, attributes in _tokens(page or ""):
+        if kind == "text":
+            (p.words if p.caption is None else p.caption).append(name)
+        elif kind == "start":
+            p.start(name, attributes)
+        else:
+            p.end(name)
     p.close()
-    p.flush()
-    return [dict(zip(("position", "kind", "text", "reference", "caption"), (k, *x), strict=True)) for k, x in enumerate(p.items)]
+    items = [x for x in p.items if x[0] is not None]
+    return [dict(zip(("position", "kind", "text", "reference", "caption"), (k, *x), strict=True)) for k, x in enumerate(items)]
 
 
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("reference", pa.string()), ("caption", pa.string())])
@@ -152,7 +246,7 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """id, n_bytes (a number that goes along, null unless given) and items, the ordered texts and media references of each page.
 
     Null and empty pages have no items. Repeated rows repeat, a null id stays null, other columns are ignored, no rows
-    give no rows. Broken HTML is read as far as a lenient parser gets.
+    give no rows. Pages of any length and broken HTML take time linear in their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
