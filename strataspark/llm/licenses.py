@@ -128,17 +128,45 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("WTFPL", ("wtfpl",)),
     ("{x}", ("spdx",)),
+    ("{x}", ("notice",)),
 )
 _PATTERNS = tuple((k, re.compile(p)) for k, p in SENTENCES)
 _BY_FIRST: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
 for _name, _rule in RULES:
     _BY_FIRST.setdefault(_rule[0], []).append((_name, _rule))
+_V = r"(?:,? ?(?:version |v\.? ?|-)?(?P<v>\d(?:\.\d)?)(?![\w.]*\w))?"
+_LICENCE = r"(?: (?:public )?licen[sc]es?)?"
+#: Names of licences in notices, after "the" and such words: SPDX prefix and pattern; v is a version, o: or later.
+_NAMED = tuple((k, re.compile(p + r"(?![\w-])")) for k, p in (
+    ("MIT", rf"(?:mit|expat)(?:/x11)?{_LICENCE}(?: \(mit\))?"),
+    ("Apache", rf"(?:apache|asl)(?: software)?{_LICENCE}{_V}{_LICENCE}"),
+    ("GPL", rf"(?:gnu )?(?P<x>[al]?gpl)(?:[- ]?(?:version |v\.? ?)?(?P<v>\d(?:\.\d)?))?(?:-only)?(?P<o>\+|,? or (?:\(at your option\) )?(?:any )?later(?: version)?|-or-later)?{_LICENCE}"),
+    ("GPL", rf"gnu (?P<x>(?:lesser |library |affero )?general public) licen[sc]e{_V}(?:-only)?(?P<o>\+|,? or (?:\(at your option\) )?(?:any )?later(?: version)?|-or-later)?"),
+    ("BSD", rf"(?:(?:the )?(?P<v>[0234])[- ]clause )?bsd{_LICENCE}"),
+    ("BSD", rf"bsd[- ](?P<v>[0234])(?:[- ]clause)?{_LICENCE}"),
+    ("ISC", rf"isc{_LICENCE}"),
+    ("Zlib", rf"zlib(?:/libpng)?{_LICENCE}"),
+    ("BSL-1.0", rf"(?:boost software licen[sc]e|bsl){_V}{_LICENCE}"),
+    ("MPL", rf"(?:mozilla public licen[sc]e|mpl){_V}{_LICENCE}"),
+    ("EPL", rf"(?:eclipse public licen[sc]e|epl){_V}{_LICENCE}"),
+    ("EUPL", rf"(?:european union public licen[sc]e|eupl){_V}{_LICENCE}"),
+    ("Unlicense", r"unlicen[sc]e(?: licen[sc]e)?"),
+    ("WTFPL", rf"wtfpl{_LICENCE}"),
+    ("CC0-1.0", rf"(?:creative commons (?:cc0|zero)|cc0|cc zero)(?:[ -]1\.0)?(?: universal)?{_LICENCE}"),
+    ("CC", rf"(?:creative commons|cc)[ -](?P<x>(?:attribution|by)(?:[ -](?:noncommercial|nc))?(?:[ -](?:sharealike|share alike|sa|noderivatives|noderivs|nd))?){_V}(?: international| unported)?{_LICENCE}"),
+))
+_CC_PARTS = {"attribution": "BY", "by": "BY", "noncommercial": "NC", "nc": "NC", "share": "SA", "sharealike": "SA", "sa": "SA", "noderivatives": "ND", "noderivs": "ND", "nd": "ND"}
+#: What leads to names in a notice, and what may stand between two of them.
+_LEADS = re.compile(r"\b(?:licen[sc]ed|released|distributed|available|provided|published) (?:to you )?under (?:(?:either|both|any)(?: of)? )?(?:the terms (?:and conditions )?of (?:either )?)?|\blicen[sc]e(?: is)?: ?|\b(?:uses?|carries|has|is|are|both|under) (?=.{1,80}[- ]licen[sc]e)")
+_AND = re.compile(r",? (?:and|or|and/or) (?:under )?|, ?(?:and/or )?| ?/ ?")
+_THE = re.compile(r"(?:(?:a|an|the|version|terms|of) )*")
+_DENIED = re.compile(r"\b(?:not|never|isnt|arent|wasnt|longer|formerly|previously|unless|if)\b[^,;]*$")
 #: A text without any of these, or cc or a gpl as a word, has no known sentence: each pattern has one. They are single words or
 #: parts of one, so that a line break can't stand within.
-_HINTS = ("licen", "permission", "redistribut", "warrant", "liab", "mpl", "public", "advertising", "endorse", "commons", "gpl", "eupl", "misrepresented", "acknowledg", "altered", "waived", "free")
+_HINTS = ("licen", "permission", "redistribut", "warrant", "liab", "mpl", "public", "advertising", "endorse", "commons", "gpl", "eupl", "misrepresented", "acknowledg", "altered", "waived", "free", "wtfpl", "cc0", "epl")
 _CC = re.compile(r"\bcc\b")
 _LEADERS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|\(\*)?[ \t]*")
-_ENDS = re.compile(r"(?<=[.!?;])\s+(?=[A-Z(\d*-])|(?<=:)\s+(?=[(\d*-])|(?<=:)(?<![Ii]dentifier:)(?<!IDENTIFIER:)[ \t]*\n\s*(?=[A-Z])|\n\s*\n")
+_ENDS = re.compile(r"(?<=[.!?;])\s+(?=[A-Z(\d*-])|(?<=:)(?<![Ii]dentifier:)(?<!IDENTIFIER:)\s+(?=[(\d*-])|(?<=:)(?<![Ii]dentifier:)(?<!IDENTIFIER:)[ \t]*\n\s*(?=[A-Z])|\n\s*\n")
 #: The number, letter or sign of a list item.
 _ITEM = re.compile(r"\(?(?:\d{1,2}|[a-z])[.)]|[-*•]")
 
@@ -149,7 +177,7 @@ def normalised(sentence: str) -> str:
 
 
 def sentence_ids(text: str | None) -> list[tuple[str, str]]:
-    """(identifier, variable part) of each known sentence of text, in order; other sentences are (\"\", \"\") ."""
+    """(identifier, variable part) of each known sentence of text, in order; other sentences are (\"\", \"\"), notices have one for each name."""
     if not _hinted((text or "").lower()):
         return []
     out = []
@@ -161,9 +189,9 @@ def sentence_ids(text: str | None) -> list[tuple[str, str]]:
             found = _known(run)
             if found is None and "\n" in run:
                 for line in run.split("\n"):
-                    out.append(_known(line) or ("", ""))
+                    out += _known(line) or [("", "")]
             else:
-                out.append(found or ("", ""))
+                out += found or [("", "")]
     return out
 
 
@@ -171,17 +199,69 @@ def _hinted(low: str) -> bool:
     return any(h in low for h in _HINTS) or "cc" in low and _CC.search(low) is not None
 
 
-def _known(sentence: str) -> tuple[str, str] | None:
+def _known(sentence: str) -> list[tuple[str, str]] | None:
     s = normalised(sentence)
     if not _hinted(s):
         return None
     first, _, rest = s.partition(" ")
     if rest and first != "-" and _ITEM.fullmatch(first):
         s = rest
-    for k, p in _PATTERNS:
-        if m := p.fullmatch(s):
-            return k, _part(k, m.groupdict(), sentence)
-    return None
+    names = notices(s)
+    if len(names) < 2:
+        for k, p in _PATTERNS:
+            if m := p.fullmatch(s):
+                return [(k, _part(k, m.groupdict(), sentence))]
+    return [("notice", name) for name in names] or None
+
+
+def _name_at(s: str, at: int) -> tuple[str, int] | None:
+    """SPDX name and end of the longest name of a licence at a place of a normalised sentence."""
+    found = max(((m.end(), k, m) for k, p in _NAMED if (m := p.match(s, at))), key=lambda f: f[0], default=None)
+    if found is None:
+        return None
+    end, kind, m = found
+    g = m.groupdict()
+    v = g.get("v")
+    dotted = v if v is None or "." in v else f"{v}.0"
+    if kind == "GPL":
+        family = _GNU[g["x"]]
+        return (f"{family}-{dotted}-{'or-later' if g['o'] else 'only'}" if v else f"LicenseRef-{family}"), end
+    if kind == "BSD":
+        return ("LicenseRef-BSD" if v is None else "0BSD" if v == "0" else f"BSD-{v}-Clause"), end
+    if kind == "CC":
+        kind = "-".join(["CC", *(_CC_PARTS[w] for w in re.split(r"[ -]", g["x"]) if w in _CC_PARTS)])
+    if "v" in g and kind != "BSL-1.0":
+        return (f"{kind}-{dotted}" if v else f"LicenseRef-{kind}"), end
+    return kind, end
+
+
+def notices(s: str) -> list[str]:
+    """The SPDX names of all licences that a normalised sentence puts something under, in order.
+
+    They stand after words such as 'licensed under', 'license:' or 'uses the', or before 'licensed', as a list with commas, and, or. A
+    short name alone counts with 'licence', a version or the end of the sentence or clause after it; denied ones don't count.
+    """
+    out, at = [], 0
+    for lead in _LEADS.finditer(s):
+        if lead.start() < at or _DENIED.search(s, max(0, lead.start() - 60), lead.start()):
+            continue
+        names, k = [], lead.end()
+        while (named := _name_at(s, k := _THE.match(s, k).end())) is not None:
+            names.append(named[0])
+            end = named[1]
+            joint = _AND.match(s, end)
+            if joint is None:
+                break
+            k = joint.end()
+        if not names:
+            continue
+        said, rest = s[lead.end() : end], s[end : end + 12]
+        under = "under" in lead[0] or ":" in lead[0]
+        adjective = re.match(r"[- ]licen[sc]e(?:d|s)?\b", rest)
+        if adjective or "licen" in said or under and (re.search(r"\d", said) or not rest or rest[0] in ",;:("):
+            out += names
+            at = end
+    return out
 
 
 _FAMILIES = {"apache-ref": "Apache", "mpl-ref": "MPL", "epl-ref": "EPL", "epl-made": "EPL", "cddl-ref": "CDDL", "artistic-ref": "Artistic", "eupl-ref": "EUPL", "ofl-ref": "OFL"}
