@@ -24,8 +24,18 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer|login)["']?\x20*(?:[:=]|\bis\b|\bbearer\b)\x20*["']?([^\s"'<>,;]{6,})""", re.I | re.A)
-_WORDS_OF_CONTEXT = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
+#: Names of credentials in English, German, French and Spanish; those that prose has as well count before a colon or equals sign alone.
+_NAMES = (
+    r"pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?|bearer|login"
+    r"|kennwort|zugangsdaten|zugangscode|mot[ _-]de[ _-]passe|mdp|identifiants?|contrase(?:n|ñ|Ñ)a|credenciales"
+)
+_KEYS = r"(?:api|geheim|zugangs|zugriffs)[ _-]?schl(?:ü|Ü|ue)ssel|geheimnis|jeton|cl(?:e|é|É)[ _-](?:api|priv(?:e|é|É)e|secr(?:e|è|È)te|d['’]acc(?:e|è|È)s)|clave(?:[ _-](?:api|secreta|privada|de[ _-]acceso))?|secreto"
+#: A value follows its name, or Bearer where it has a digit; a scheme in between isn't part of it. Shorter values can't cost COSTLY.
+_CONTEXT = re.compile(
+    rf"""(?:(?:(?:{_NAMES})["']?\x20*(?:=>|:=|[:=]|\b(?:is|ist|lautet|est|es)\b|\bbearer\b)|(?:{_KEYS})["']?\x20*(?:=>|:=|[:=]))\x20*["']?(?:(?:bearer|basic|token)\x20+["']?)?|\bbearer\x20+(?=[^\s"'<>,;\d]*\d))([^\s"'<>,;]{{6,}})""",
+    re.I | re.A,
+)
+_WORDS_OF_CONTEXT = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "kennwort", "zugang", "mdp", "identifiant", "contrase", "credencial", "schl", "geheim", "jeton", "cle", "clé", "clave")
 #: A value that takes this many guesses or more, as a power of ten, is a secret.
 COSTLY = 10.0
 
@@ -148,7 +158,7 @@ def guess_cost(value: str, rank: dict[str, float] = _RANK, enough: float = math.
 
 
 def _in_context(low: str) -> bool:
-    return (":" in low or "=" in low or " is " in low or "bearer" in low) and any(w in low for w in _WORDS_OF_CONTEXT)
+    return (":" in low or "=" in low or "bearer" in low or any(v in low for v in (" is ", " ist ", " lautet ", " est ", " es "))) and any(w in low for w in _WORDS_OF_CONTEXT)
 
 
 def secret_spans(text: str | None, rank: dict[str, float] = _RANK) -> list[tuple[int, int, str]]:
