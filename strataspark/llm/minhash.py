@@ -10,10 +10,10 @@ Only table keys of two bundles that both repeat can repeat, so only those are fo
 one class from the start. In a first round every member is compared with one other, the most central
 member of its tables, the one that meets most others in its own tables, which is mostly the text that a group was copied
 from. Confirmed links are merged into components, and tables within one component are done with, so a large group of
-copies costs about one comparison a member. Two sets that are similar enough have one of their rarest shingles in
-common; only members that share one with another component are left, and within a table pairs of different components are
-formed, but for pairs within its largest component, whose similarity may be high enough by the number of shingles that
-each has in common with any other. No pair that shares a table and could join two components is left out.
+copies costs about one comparison a member. Of the others that share a table with another component, pairs are formed by a
+positional prefix of their rarest shingles and ruled out by the heads of these lists, so that texts of one template
+aren't all compared with each other. Pairs within the largest component of a shingle aren't formed. No pair that shares
+a table and could join two components is left out.
 """
 
 from __future__ import annotations
@@ -29,9 +29,6 @@ from pyspark.sql import functions as F
 from .common import small, stored
 from .components import connected_components
 
-#: Rounds of comparisons with one other member, before the remaining pairs are formed. More find links along chains of copies
-#: sooner, at the cost of their own jobs; the result is the same.
-STAR_ROUNDS = 1
 #: Up to this many ids of documents to confirm are broadcast, so that only their texts are dealt out; they are counted first.
 SMALL_IDS = 200_000
 #: Of the minhashes of a pair, a share of threshold - SLACK at least must agree before full sets are compared. At 0.85
@@ -126,17 +123,18 @@ def table_members(classes: DataFrame, m: int = 12) -> DataFrame:
     return keys.join(shared, "table")
 
 
-def _first_table(m: int) -> str:
-    """SQL: whether table is the first that the structs x and y share, so that a pair is formed once."""
-    same = [f"case when get(x.bundles, {k}) = get(y.bundles, {k}) then get(x.bundles, {k}) end" for k in range(2 * m)]
-    return f"table = xxhash64(coalesce({', '.join(same[:m])}), coalesce({', '.join(same[m:])}))"
+def _tables_meet(m: int) -> str:
+    """SQL: whether the structs x and y share a table key, a bundle of each of the two collections."""
+    return " and ".join(f"arrays_overlap(slice(x.bundles, {k}, {m}), slice(y.bundles, {k}, {m}))" for k in (1, m + 1))
 
 
-def rare_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
-    """id, shingle, common: those of the rarest shingles of each of docs(id, text) that another of them has as well, and how many of all its shingles another has.
+def ranked_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
+    """id, n, common, first, head: of each of docs(id, text) the shingles that another of them has as well, rarest first.
 
-    Two sets of similarity threshold have so many in common that, in any order, one stands among the first
-    n - ceil(threshold * n / 100) + 1 of each; the order is by the number of ids, then by the hash.
+    They are numbers that order shingles by how many ids have them, then by hash. common is how many there are, n how many
+    shingles in all. Two sets of similarity threshold have so many in common that one stands among the first
+    n - ceil(threshold * n / 100) + 1 shingles of each; those that no other has stand before all others, so first is
+    what they leave of that. head has twice as many, where there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +145,31 @@ def rare_shingles(docs: DataFrame, threshold: int, size: int = 5) -> DataFrame:
 
     own = stored(docs.select("id", "text").mapInArrow(run, "id bigint, shingle bigint, n bigint"))
     df = stored(own.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = own.join(df, "shingle")
-    # shingles that no other has come first; of those that are left, n - n_shared fewer are needed
-    lists = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    first = F.expr(f"cast(greatest(0, n - ceil({threshold} * n / 100) + 1 - (n - size(s))) as int)")
-    return lists.select("id", F.size("s").alias("common"), F.explode(F.slice("s", F.lit(1), first)).alias("e")).select("id", "e.shingle", "common").distinct()
+    code = "shiftleft(least(df, 1048575), 43) | shiftrightunsigned(shingle, 21)"
+    lists = own.join(df, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.expr(code))).alias("s")).withColumn("common", F.size("s"))
+    lists = lists.withColumn("first", F.expr(f"cast(greatest(0, common - ceil({threshold} * n / 100) + 1) as int)"))
+    return lists.select("id", "n", "common", "first", F.slice("s", F.lit(1), F.col("first") * 2).alias("head"))
+
+
+def _heads_allow(pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of pairs(a, b, x, y) whose heads leave room for the threshold; x and y have n, common and head.
+
+    Up to where the shorter head ends, what both have in common is counted; beyond, it is at most what the smaller rest has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            able = []
+            sizes = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            for (n, c, v, d), x, y in zip(sizes, batch.column(6), batch.column(7), strict=True):
+                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                ends = [h[-1] for h, all_of in ((x, c), (y, d)) if len(h) < all_of]
+                i, j = (int(np.searchsorted(h, min(ends), "right")) if ends else len(h) for h in (x, y))
+                both = len(np.intersect1d(x[:i], y[:j], assume_unique=True)) + min(c - i, d - j)
+                able.append((100 + threshold) * both >= threshold * (n + v))
+            yield pa.RecordBatch.from_arrays([col.filter(pa.array(able, pa.bool_())) for col in batch.columns[:2]], names=["a", "b"])
+
+    return pairs.select("a", "b", "x.n", "x.common", F.col("y.n").alias("v"), F.col("y.common").alias("d"), "x.head", F.col("y.head").alias("other")).mapInArrow(run, "a bigint, b bigint")
 
 
 def _alike(x: str, y: str, m: int, rows: int, threshold: int) -> str:
@@ -198,6 +216,31 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     return reps.select("id").distinct().join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
 
 
+def remaining_pairs(reps: DataFrame, members: DataFrame, texts: DataFrame, label: DataFrame, threshold: int, size: int, m: int, rows: int) -> DataFrame:
+    """The pairs (a, b) of ids of different components that share a table and may reach the threshold, but for one with the largest component's own.
+
+    reps has id, n_shingles, bundles and sketch, members (table, id), label id and its component c. Pairs are formed by
+    a shingle that both have near the front of their rarest ones: so far in front that what follows is enough. So texts of
+    one template are paired by the rare parts that they share and not by the frequent ones, and what is left after the heads are compared
+    is about as many as there are links.
+    """
+    tagged = members.join(label, "id")
+    tables = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
+    left = stored(tagged.join(tables, "table").select("id", "c").distinct())
+    # an intersection is no larger than what a set has in common with any other
+    ranked = stored(ranked_shingles(texts.join(left, "id", "left_semi"), threshold, size).join(left, "id").where(f"100 * common >= {threshold} * n"))
+    keys = ranked.select("id", "c", "n", "common", F.posexplode(F.expr("slice(head, 1, first)")).alias("at", "code"))
+    main = keys.groupBy("code", "c").agg(F.count("*").alias("k")).groupBy("code").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("k", "c")).alias("main")).where("cs > 1").select("code", "main")
+    keys = stored(keys.select("id", "c", "n", "code", F.expr("common - at").alias("rest")).join(main, "code"))
+    p, q = (t.select("code", "main", F.struct("id", "c", "n", "rest").alias(k)) for k, t in (("p", keys.where("c <> main")), ("q", keys)))
+    enough = f"{100 + threshold} * least(p.rest, q.rest) >= {threshold} * (p.n + q.n) and 100 * least(p.n, q.n) >= {threshold} * greatest(p.n, q.n)"
+    pairs = p.join(q.drop("main"), "code").where(f"p.c <> q.c and (q.c = main or p.id < q.id) and {enough}")
+    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    own = ranked.join(reps.select("id", "bundles", "sketch"), "id").select("id", F.struct("n", "common", "head", "bundles", "sketch").alias("x"))
+    pairs = pairs.join(own.withColumnRenamed("id", "a"), "a").join(own.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+    return _heads_allow(pairs.where(f"{_tables_meet(m)} and {_alike('x', 'y', m, rows, threshold)}"), threshold)
+
+
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, size: int = 5, m: int = 12, rows: int = 3, seed: int = 7) -> DataFrame:
     """Near-duplicate components: one row a document with doc_id, n_shingles, class_id, n_links, component_id, kept.
 
@@ -227,45 +270,16 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sizes = members.groupBy("table").agg(F.count("*").alias("n"))
     degree = members.join(sizes, "table").groupBy("id").agg(F.sum("n").alias("degree"))
-    tagged = stored(members.join(degree, "id").withColumn("c", F.col("id")))
-    links = tested = None
-    for k in range(STAR_ROUNDS):
-        # each member with the hub of most of its tables that it wasn't compared with
-        rank = F.struct("degree", -F.col("id")) if k == 0 else F.struct(F.xxhash64("id", F.lit(k)), "id")
-        hub = tagged.groupBy("table").agg(F.max_by(F.struct("id", "c", "degree"), rank).alias("hub"))
-        met = tagged.join(hub, "table").where("c <> hub.c").groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("n"), F.max("hub.degree").alias("degree"))
-        if tested is not None:
-            met = met.join(tested, ["id", "hub"], "left_anti")
-        met = stored(met.groupBy("id").agg(F.max_by("hub", F.struct("n", "degree", -F.col("hub"))).alias("hub")))
-        tested = met if tested is None else tested.union(met)
-        pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = links_of(pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike))
-        links = found if links is None else links.union(found)
-        if k + 1 < STAR_ROUNDS:
-            # members count as their hub's where they are linked with it; tables of one hub's members are done with
-            own = met.join(found, (F.least("id", "hub") == F.col("a")) & (F.greatest("id", "hub") == F.col("b")), "left_semi")
-            tagged = tagged.join(own, "id", "left").withColumn("c", F.coalesce("hub", "c")).drop("hub")
-            mixed = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
-            tagged = stored(tagged.join(mixed, "table"))
+    tagged = stored(members.join(degree, "id"))
+    # each member with the hub of most of its tables
+    hub = tagged.groupBy("table").agg(F.max_by(F.struct("id", "degree"), F.struct("degree", -F.col("id"))).alias("hub"))
+    met = tagged.join(hub, "table").where("id <> hub.id").groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("n"), F.max("hub.degree").alias("degree"))
+    met = met.groupBy("id").agg(F.max_by("hub", F.struct("n", "degree", -F.col("hub"))).alias("hub"))
+    pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = links_of(pairs.join(brief.withColumnRenamed("id", "a"), "a").join(brief.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").where(alike))
     label = _labels(reps, links)
-    tagged = members.join(label, "id")
-    tables = tagged.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
-    tagged = stored(tagged.join(tables, "table"))
-    left = stored(tagged.select("id", "c").distinct())
-    keys = stored(rare_shingles(texts.join(left, "id", "left_semi"), threshold, size).join(left, "id"))
-    shared = keys.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
-    # an intersection is no larger than what a set has in common with any other
-    able = keys.join(shared, "shingle").groupBy("id").agg(F.max("common").alias("common")).join(reps, "id").where(f"100 * common >= {threshold} * n_shingles")
-    able = able.select("id", F.struct("id", F.col("n_shingles").alias("n"), "common", "sketch", "bundles").alias("x"))
-    bound = f"100 * least(x.common, y.common) >= {threshold} * (x.n + y.n - least(x.common, y.common))"
-    able = stored(able)
-    tagged = tagged.join(able.select("id").distinct(), "id", "left_semi")
-    main = tagged.groupBy("table", "c").agg(F.count("*").alias("n")).groupBy("table").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("n", "c")).alias("main")).where("cs > 1").select("table", "main")
-    tagged = stored(tagged.join(main, "table").join(able, "id"))
-    p = tagged.where("c <> main").select("table", "main", F.col("c").alias("pc"), "x")
-    q = tagged.select("table", F.col("c").alias("qc"), F.col("x").alias("y"))
-    pairs = p.join(q, "table").where(f"pc <> qc and (qc = main or x.id < y.id) and {bound} and {alike} and {_first_table(m)}")
-    found = links_of(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    left = stored(remaining_pairs(reps, members, texts, label, threshold, size, m, rows))
+    found = links_of(left)
     if not found.isEmpty():
         links = links.union(found)
         label = _labels(reps, links)
