@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions import geo
+from strataspark.operators.tomography import path_sums
 
 
 def grid(spark: SparkSession, lat0: float, lon0: float, step: float, rows: int, columns: int) -> DataFrame:
@@ -41,18 +42,15 @@ def path_average(points: DataFrame, cells: DataFrame, keys: list[str], step: flo
 
 
 def azimuth_coverage(rays: DataFrame, samples: int, cell: float, bins: int = 10) -> DataFrame:
-    """cell_x, cell_y, hits, bins, spread and evenness of straight rays(ray, x1, y1, x2, y2) by azimuth.
+    """cell_x, cell_y, hits, bins, spread and evenness of straight rays(x1, y1, x2, y2, n) by azimuth; n counts the rays of a row.
 
     spread is the sum of hits over the fullest bin's, in degrees of its width; evenness the squared sum over the sum of
     squares, 0 for under five hits.
     """
     width = 180.0 / bins
     az = F.pmod(F.degrees(F.atan2(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), F.lit(180.0))
-    at = rays.select("ray", "x1", "y1", "x2", "y2", (F.floor(az / width + 1e-9) % bins).cast("int").alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-    s = (F.col("k") + 0.5) / samples
-    x, y = F.col("x1") + s * (F.col("x2") - F.col("x1")), F.col("y1") + s * (F.col("y2") - F.col("y1"))
-    once = at.groupBy("ray", "bin", F.floor(x / cell).cast("int").alias("cell_x"), F.floor(y / cell).cast("int").alias("cell_y")).agg(F.lit(1).alias("one"))
-    h = once.groupBy("cell_x", "cell_y", "bin").agg(F.count("*").alias("n"))
+    binned = rays.withColumn("bin", (F.floor(az / width + 1e-9) % bins).cast("int"))
+    h = path_sums(binned, samples, cell, by=("bin",)).withColumnRenamed("rays", "n")
     total = F.sum("n")
     return h.groupBy("cell_x", "cell_y").agg(total.alias("hits"), F.count("*").alias("bins"), (total / F.max("n") * width).alias("spread"), F.when(total > 4.5, F.pow(total, 2) / F.sum(F.col("n") * F.col("n"))).otherwise(0.0).alias("evenness"))
 

@@ -65,5 +65,5 @@ def weighted_ray_density(spark, sf_dir):
 
     from .kernels import rays
 
-    g = tomography.wide_segments(rays(spark, sf_dir), 32, 100.0, ((-60.0, 0.25), (0.0, 0.5), (60.0, 0.25)))
-    return g.groupBy("cell_x", "cell_y").agg(F.count("*").alias("rays"), F.round(F.sum("length"), 3).alias("length"))
+    g = tomography.path_sums(rays(spark, sf_dir), 32, 100.0, ((-60.0, 0.25), (0.0, 0.5), (60.0, 0.25)))
+    return g.withColumn("length", F.round("length", 3))
