@@ -36,9 +36,14 @@ def search_ranges(spark, sf_dir):
   select evid, count(*) as n, round(min(p) - 20, 4) as first, round(max(p) + 30, 4) as last from t group by evid""")
 def p_windows(spark, sf_dir):
     """Windows around the P wave of each event at stations from 30 to 90 degrees away, by a travel-time curve: their number, first begin and last end."""
-    x = pairs.event_windows(table(spark, sf_dir, "catalog"), table(spark, sf_dir, "stations"), 2.0, 5.0).withColumn("delta", F.col("dist") / 111.12).where("delta between 30 and 90")
-    p = 60 + 12.4 * F.col("delta") - 0.045 * F.col("delta") * F.col("delta") - F.col("evdp") / 9
-    return x.groupBy("evid").agg(F.count("*").alias("n"), F.round(F.min(p) - 20, 4).alias("first"), F.round(F.max(p) + 30, 4).alias("last"))
+    x = pairs.event_distances(table(spark, sf_dir, "catalog"), table(spark, sf_dir, "stations"), 111.12, (30.0, 90.0), ("evdp",))
+
+    def p(d):
+        delta = F.col(d) / 111.12
+        return 60 + 12.4 * delta - 0.045 * delta * delta - F.col("evdp") / 9
+
+    # the curve grows up to 137 degrees, so the first wave is that of the nearest station
+    return x.groupBy("evid").agg(F.sum("n").alias("n"), F.round(F.min(p("near")) - 20, 4).alias("first"), F.round(F.max(p("far")) + 30, 4).alias("last"))
 
 
 @query("interferogram_distances", f"""with s as (select sta_key, lon, lat from stations), p as (select a.sta_key as sta1, a.sta_key + 1 as sta2, a.sta_key + 2 as source, {sql_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} as d0, {sql_distance('a.lon', 'a.lat', 'c.lon', 'c.lat')} as d1, {sql_distance('b.lon', 'b.lat', 'c.lon', 'c.lat')} as d2
