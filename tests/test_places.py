@@ -3,10 +3,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from strataspark.operators import places, tomography
+from strataspark.functions import geo
+from strataspark.operators import pairs, places, tomography
 from strataspark.plans import kernels
 from strataspark.plans.catalog import QUERIES
+from strataspark.sources.fixtures import table
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +63,51 @@ def test_queries_on_crowded_places(spark, crowded, name):
         assert len({r["ray"] for r in rows}) == len(rows) == 60 * 59 // 2
     else:
         assert {r["term"]: r["m"] for r in rows} == {0: 0.01, 1: 0.004, 2: -0.002}
+
+
+def test_pairs_are_worked_on_by_place(spark, crowded):
+    seen = []
+
+    def values(p):
+        seen.append(p.count())
+        return p.select("place1", "place2")
+
+    s = table(spark, crowded, "stations")
+    x = places.by_pair(s, "sta_key", ("lon", "lat"), ("staid",), values, F.col("s1.staid") < F.col("s2.staid"))
+    assert x.count() == 60 * 59 // 2 and seen == [100]
+
+
+def test_distance_classes_without_pairs_of_one_id(spark, crowded, tmp_path):
+    s = pd.read_parquet(f"{crowded}/supplier.parquet")
+    # ids of more than five digits are cut, so these two have one
+    s = pd.concat([s, s.iloc[:2].assign(s_suppkey=[1_000_001, 1_000_002], s_nationkey=3)])
+    s.to_parquet(tmp_path / "supplier.parquet")
+    pairs = QUERIES["station_pairs"](spark, str(tmp_path)).selectExpr("floor(dist / 100) as hundred_km").groupBy("hundred_km").count().collect()
+    got = QUERIES["station_distance_classes"](spark, str(tmp_path)).collect()
+    assert {(r["hundred_km"], r["n"]) for r in got} == {(r["hundred_km"], r["count"]) for r in pairs}
+
+
+def test_earlier_neighbour_with_shared_places(spark):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"k": rng.permutation(40), "lon": rng.integers(0, 4, 40).astype(float), "lat": rng.integers(0, 2, 40).astype(float)}).assign(at=lambda d: d["lon"] + d["lat"])
+    got = {r["k"]: r["near"] for r in pairs.nearest_earlier(spark.createDataFrame(p), "k").collect()}
+    d = pairs._distances(p["lon"].to_numpy(), p["lat"].to_numpy(), p[["lon", "lat"]].to_numpy())
+    before = (p["at"].to_numpy() < p["at"].to_numpy()[:, None]) | ((p["at"].to_numpy() == p["at"].to_numpy()[:, None]) & (p["k"].to_numpy() < p["k"].to_numpy()[:, None]))
+    want = {p["k"][i]: min((round(d[i, j], 6), p["k"][j]) for j in np.nonzero(before[i])[0])[1] for i in range(40) if before[i].any()}
+    assert got == want
+
+
+def test_event_distances_against_windows(spark, crowded, sf_dir):
+    e, s = table(spark, sf_dir, "catalog").where("evid % 10 = 0"), table(spark, crowded, "stations")
+    x = pairs.event_windows(e, s, 2.0, 5.0).where("dist / 111.12 between 30 and 90").groupBy("evid").agg({"*": "count", "dist": "sum"}).collect()
+    got = {r["evid"]: (r["n"], round(r["total"], 3)) for r in pairs.event_distances(e, s, 111.12, (30.0, 90.0)).collect()}
+    assert got == {r["evid"]: (r["count(1)"], round(r["sum(dist)"], 3)) for r in x}
+
+
+def test_three_places_against_joins(spark, crowded):
+    s = table(spark, crowded, "stations").select("sta_key", "lon", "lat").where("sta_key < 4010")
+    a, b = s.toDF("sta1", "lon1", "lat1"), s.toDF("sta2", "lon2", "lat2")
+    legs = a.join(b, a["sta1"] < b["sta2"]).select("sta1", "sta2", geo.distance_km("lon1", "lat1", "lon2", "lat2").alias("d"))
+    want = pairs.three_station(legs.withColumnRenamed("d", "d0"), legs, 0.05, 1.0)
+    key = lambda d: sorted((r["sta1"], r["sta2"], r["source"], r["zone"], round(r["difference"], 6) + 0.0) for r in d.collect())
+    assert key(places.three_places(s, "sta_key", ("lon", "lat"), 0.05, 1.0)) == key(want)
