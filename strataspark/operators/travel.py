@@ -6,12 +6,15 @@ Positions are km in a plane.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tomography import helmholtz
 
@@ -63,15 +66,70 @@ def tension_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray,
     ones = lambda u, v: np.stack([np.ones_like(u), (u - x.mean()) / spacing, (v - y.mean()) / spacing], -1)
     plane = np.linalg.lstsq(ones(x, y), z, rcond=None)[0]
     rest = z - ones(x, y) @ plane
-    g = green(np.hypot(x[:, None] - x, y[:, None] - y) / spacing, tension)
+    g = _apart(x, y, x, y, tension, spacing)
     force = np.linalg.lstsq(g, rest, rcond=1e-13)[0] if len(x) < 3 else _solved(g, rest)
     out = ones(gx, gy) @ plane
     for k in range(0, len(x), 256):
         part = slice(k, k + 256)
-        out = out + green(np.hypot(gx[..., None] - x[part], gy[..., None] - y[part]) / spacing, tension) @ force[part]
+        out = out + _apart(gx, gy, x[part], y[part], tension, spacing) @ force[part]
     return out
 
 
+def _apart(gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray, tension: float, spacing: float) -> np.ndarray:
+    """green of all of (gx, gy) to all of (x, y); of a free plate from squares of distances in place, as most of a field's time goes here."""
+    if tension > 0:
+        return green(np.hypot(gx[..., None] - x, gy[..., None] - y) / spacing, tension)
+    r, v = np.subtract.outer(gx / spacing, x / spacing), np.subtract.outer(gy / spacing, y / spacing)
+    r *= r
+    v *= v
+    r += v
+    np.maximum(r, 1e-300, out=v)
+    np.log(v, out=v)
+    v *= 0.5
+    v -= 1
+    r *= v
+    return r
+
+
+def inverted(gx: np.ndarray, gy: np.ndarray, tension: float, spacing: float) -> np.ndarray:
+    """The inverse of green of all points of a grid to each other."""
+    x, y = gx.ravel(), gy.ravel()
+    return np.linalg.inv(green(np.hypot(x[:, None] - x, y[:, None] - y) / spacing, tension))
+
+
+def filled(t: np.ndarray, known: np.ndarray, source: tuple[float, float], gx: np.ndarray, gy: np.ndarray, tension: float, spacing: float, inverse: Callable[[float], np.ndarray]) -> np.ndarray:
+    """tension_surface through the known points of a grid and 0 at the source, at the grid's other points.
+
+    Of the surface through all points the forces at the others are nothing. So with the inverse of the responses of a grid's points to each other, which
+    its fields share, only a system of the other points is left.
+    """
+    rest = ~known.ravel()
+    x, y, z, q = gx.ravel(), gy.ravel(), t.ravel(), inverse(tension)
+    same = (x == source[0]) & (y == source[1])
+    own = green(np.hypot(x - source[0], y - source[1]) / spacing, tension)
+    u = q @ own
+    left = float(green(np.zeros(1), tension)[0] - own @ u)
+    if abs(left) < 1e-7 and not same.any():
+        px, py, pz = (np.append(v[~rest], c) for v, c in ((x, source[0]), (y, source[1]), (z, 0.0)))
+        return tension_surface(px, py, pz, x[rest], y[rest], tension, spacing)
+    # at a grid point the source's 0 counts with what is known there
+    z = np.where(same, np.where(rest, 0.0, z / 2), z)
+    r = np.flatnonzero(rest & ~same)
+    k = ~rest | same
+    px, py, pz = (x[k], y[k], z[k]) if same.any() else (np.append(v[k], c) for v, c in ((x, source[0]), (y, source[1]), (z, 0.0)))
+    ones = lambda v, w: np.stack([np.ones_like(v), (v - px.mean()) / spacing, (w - py.mean()) / spacing], -1)
+    plane = np.linalg.lstsq(ones(px, py), pz, rcond=None)[0]
+    even = ones(x, y) @ plane
+    z = np.where(k, z - even, 0.0)
+    force, among = q[r] @ z, q[np.ix_(r, r)]
+    if not same.any():
+        # the inverse with the source as one more point
+        among = among + np.outer(u[r], u[r]) / left
+        force = force + u[r] * (u @ z + (ones(*np.array([[source[0]], [source[1]]])) @ plane)[0]) / left
+    z[r] = -_solved(among, force) if len(r) else 0.0
+    return (z + even)[rest]
+
+
 def _solved(g: np.ndarray, z: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(g, z)
@@ -92,20 +150,32 @@ def grown(x: np.ndarray, y: np.ndarray, distance: np.ndarray, t: np.ndarray, per
     are added or taken (if correct) until a time is within half a period of that; a point that is then off by over threshold doesn't fit.
     """
     order = np.argsort(np.hypot(x - start[0], y - start[1]), kind="stable")
-    px, py, pd_, pt = x[order], y[order], distance[order], t[order].astype(float).copy()
-    fits = np.ones(len(t), bool)
-    for i in range(1, len(t)):
-        near = np.hypot(px[:i] - px[i], py[:i] - py[i]).argmin()
-        expected = pd_[i] * pt[near] / pd_[near] if pd_[near] > 0 else pt[i]
-        if correct:
-            off = (pt[i] - expected) / period
-            pt[i] -= period * np.sign(off) * np.ceil(np.maximum(np.abs(off) - 0.5, 0))
+    near = nearest_before(x[order], y[order]).tolist()
+    far, pt = distance[order].tolist(), t[order].astype(float).tolist()
+    fits = [True] * len(pt)
+    for i in range(1, len(pt)):
+        k = near[i]
+        expected = far[i] * pt[k] / far[k] if far[k] > 0 else pt[i]
+        off = (pt[i] - expected) / period
+        if correct and 0.5 < abs(off) < math.inf:
+            pt[i] -= math.copysign(period * math.ceil(abs(off) - 0.5), off)
         fits[i] = abs(pt[i] - expected) <= threshold
     times, kept = np.empty(len(t)), np.empty(len(t), bool)
     times[order], kept[order] = pt, fits
     return times, kept
 
 
+def nearest_before(x: np.ndarray, y: np.ndarray, rows: int = 64) -> np.ndarray:
+    """Which of the points before each one is nearest, the first of equal ones (0 for the first point); so many rows of distances are held at a time."""
+    near = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), rows):
+        end = min(at + rows, len(x))
+        d = np.hypot(x[at:end, None] - x[:end], y[at:end, None] - y[:end])
+        d[np.arange(end) >= np.arange(at, end)[:, None]] = np.inf
+        near[at:end] = d.argmin(axis=1)
+    return near
+
+
 def without_skips(x: np.ndarray, y: np.ndarray, distance: np.ndarray, t: np.ndarray, period: float, threshold: float = 6.0, longest: float = 20.0, starts: int = 5, apart: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The times and fitting points of that growth which keeps most points, the first of equal ones.
 
@@ -122,6 +192,8 @@ def without_skips(x: np.ndarray, y: np.ndarray, distance: np.ndarray, t: np.ndar
         got = grown(x, y, distance, t, period, at, threshold, period <= longest)
         if best is None or got[1].sum() > best[1].sum():
             best = got
+        if best[1].all():
+            break
     return best
 
 
@@ -158,19 +230,22 @@ def lonely(gx: np.ndarray, gy: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.n
     if not 1 <= rules.quadrants <= 4:
         raise ValueError("quadrants are one to four")
     dx, dy = x - gx[..., None], y - gy[..., None]
-    d = np.hypot(dx, dy)
+    d = dx * dx + dy * dy
 
-    def surrounded(size: float) -> np.ndarray:
-        box = (np.abs(dx) < size) & (np.abs(dy) < size) & (d >= 1)
-        return sum((box & (east == (dx >= 0)) & (north == (dy >= 0))).any(-1).astype(int) for east in (True, False) for north in (True, False)) >= rules.quadrants
+    def surrounded(size: float, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        u, v = dx[at], dy[at]
+        box = (np.abs(u) < size) & (np.abs(v) < size) & (d[at] >= 1)
+        return sum((box & (east == (u >= 0)) & (north == (v >= 0))).any(-1).astype(int) for east in (True, False) for north in (True, False)) >= rules.quadrants
 
-    close = (d < rules.near).any(-1)
+    close = (d < rules.near**2).any(-1)
     if rules.mode == 1:
         return ~close
     if rules.mode == 2:
         return ~surrounded(rules.near)
     if rules.mode == 3:
-        return ~(close | surrounded(rules.far))
+        alone = ~close
+        alone[alone] = ~surrounded(rules.far, alone)
+        return alone
     off = np.abs(t - tension_surface(*thinned(x, y, z, step), gx, gy, 0.5, step))
     if rules.mode == 4:
         return off > np.minimum(np.abs(min(rules.near, 0.5) * t), min(rules.far, 50.0))
@@ -185,22 +260,23 @@ def beside(reason: np.ndarray, mark: np.ndarray, code: int) -> np.ndarray:
     return np.where((reason == 0) & (p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]), code, reason)
 
 
-def field(x: np.ndarray, y: np.ndarray, z: np.ndarray, source: tuple[float, float], period: float, gx: np.ndarray, gy: np.ndarray, step: float, rules: Rules) -> dict[str, np.ndarray]:
+def field(x: np.ndarray, y: np.ndarray, z: np.ndarray, source: tuple[float, float], period: float, gx: np.ndarray, gy: np.ndarray, step: float, rules: Rules, inverse: Callable[[float], np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """t, velocity, angle, deflection, reason and curvature on a grid, of times z at (x, y) from a source.
 
     Reasons, the first that holds: 1 surfaces of tension 0 and 0.2 through the points whose curvature is under `smooth` differ by over `difference`; 2 lonely; 4 beside a point
     without time; 3 slowness out of bounds; 5 nearer to the source than `wavelengths` of 3.5 km/s; and before all 6, curvature. angle is that of
-    propagation from north, deflection its difference from the direction away from the source (0 where 5 holds).
+    propagation from north, deflection its difference from the direction away from the source (0 where 5 holds). inverse gives inverted()
+    at a tension, where a grid has many fields.
     """
+    inverse = inverse or (lambda tension: inverted(gx, gy, tension, step))
     t = tension_surface(x, y, z, gx, gy, 0.0, step)
     curved = laplacian(t, step)
     even = np.abs(curved) < rules.smooth
-    if even.any():
-        px, py, pz = (np.append(v[even], s) for v, s in ((gx, source[0]), (gy, source[1]), (t, 0.0)))
-        one, two = (tension_surface(px, py, pz, gx, gy, k, step) for k in (0.0, 0.2))
-        reason = np.where(np.abs(one - two) > rules.difference, 1, 0)
-    else:
-        reason = np.ones(t.shape, int)
+    reason = np.zeros(t.shape, int) if even.any() else np.ones(t.shape, int)
+    if even.any() and not even.all():
+        # both surfaces go through the even points, so they can only differ at the others
+        one, two = (filled(t, even, source, gx, gy, k, step, inverse) for k in (0.0, 0.2))
+        reason[~even] = np.abs(one - two) > rules.difference
     reason = np.where((reason == 0) & lonely(gx, gy, t, x, y, z, step, rules), 2, reason)
     north, east = np.gradient(t, step)
     reason = beside(reason, t == 0, 4)
@@ -219,55 +295,82 @@ def field(x: np.ndarray, y: np.ndarray, z: np.ndarray, source: tuple[float, floa
 _FIELD = "period double, event long, x double, y double, t double, velocity double, angle double, deflection double, reason int, kept int, corrected int"
 
 
-def _by_field(points: DataFrame, run, schema: str) -> DataFrame:
-    """run on each field, in a number of parts of its own, since small tables of heavy fields would end up in one."""
-    return points.repartition(max(1, -(-points.count() // TASK_POINTS)), "period", "event").groupBy("period", "event").applyInPandas(run, schema)
+def _by_field(points: DataFrame, run, schema: str, parts: int | None) -> DataFrame:
+    """What run gives of each field, a dict of its columns or None; fields are dealt to `parts` groups of about TASK_POINTS points, whose rows are made together.
+
+    A partition has 50 groups, or fewer where there are few, since small tables of heavy fields would end up in one; a task takes a tenth of a second to begin.
+    """
+    parts = max(1, parts or -(-points.count() // TASK_POINTS))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def group(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["period", "event", "x", "y", "t"], ignore_index=True)
+        new = np.flatnonzero(np.append(True, (p["period"].to_numpy()[1:] != p["period"].to_numpy()[:-1]) | (p["event"].to_numpy()[1:] != p["event"].to_numpy()[:-1])))
+        columns = {c: p[c].to_numpy() for c in p.columns if c != "_part"}
+        found = [run({c: v[a:b] for c, v in columns.items()}) for a, b in zip(new, np.append(new[1:], len(p)), strict=True)]
+        found = [f for f in found if f is not None]
+        if not found:
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame({c: np.concatenate([np.broadcast_to(f[c], f["x"].shape) for f in found]) for c in names})
+
+    part = F.pmod(F.xxhash64("period", "event"), F.lit(parts)).alias("_part")
+    return points.select("*", part).repartition(min(parts, max(96, parts // 50)), "_part").groupBy("_part").applyInPandas(group, schema)
+
+
+def _grid(grid: tuple[float, float, float, int, int]) -> tuple[np.ndarray, np.ndarray, Callable[[float], np.ndarray]]:
+    """Positions of a grid's points, and the inverse of their responses to each other, kept by the task."""
+    x0, y0, step, nx, ny = grid
+    gx, gy = np.meshgrid(x0 + step * np.arange(nx), y0 + step * np.arange(ny))
+    return gx, gy, lambda tension: _inverse(grid, tension)
+
+
+@lru_cache(maxsize=4)
+def _inverse(grid: tuple[float, float, float, int, int], tension: float) -> np.ndarray:
+    return inverted(*_grid(grid)[:2], tension, grid[2])
 
 
-def travel_fields(points: DataFrame, grid: tuple[float, float, float, int, int], rules: Rules = Rules(), least: int = 5) -> DataFrame:
+def travel_fields(points: DataFrame, grid: tuple[float, float, float, int, int], rules: Rules = Rules(), least: int = 5, parts: int | None = None) -> DataFrame:
     """A row a grid point of each field of points(period, event, ex, ey, x, y, t) with `least` points or more after its cycle skips are out.
 
     ex, ey is the source's place; grid is x0, y0, spacing, columns, rows. kept and corrected count a field's points that fit and that were moved.
+    parts is the number of groups that fields are dealt to; without it points are counted first.
     """
-    x0, y0, step, nx, ny = grid
-    gx, gy = np.meshgrid(x0 + step * np.arange(nx), y0 + step * np.arange(ny))
+    gx, gy, inverse = _grid(grid)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["x", "y", "t"])
-        x, y, t = (p[c].to_numpy(float) for c in ("x", "y", "t"))
-        source, period = (float(p["ex"].iloc[0]), float(p["ey"].iloc[0])), float(p["period"].iloc[0])
+    def run(p: dict[str, np.ndarray]) -> dict | None:
+        x, y, t = (p[c].astype(float) for c in ("x", "y", "t"))
+        source, period = (float(p["ex"][0]), float(p["ey"][0])), float(p["period"][0])
         times, kept = without_skips(x, y, np.hypot(x - source[0], y - source[1]), t, period)
         if kept.sum() < least:
-            return pd.DataFrame(columns=[c.split()[0] for c in _FIELD.split(", ")])
-        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, step, rules)
+            return None
+        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, grid[2], rules, inverse)
         own = {c: f[c].ravel() for c in ("t", "velocity", "angle", "deflection", "reason")}
-        return pd.DataFrame({"period": period, "event": p["event"].iloc[0], "x": gx.ravel(), "y": gy.ravel(), **own, "kept": int(kept.sum()), "corrected": int((kept & (np.abs(times - t) > 1e-9)).sum())})
+        return {"period": period, "event": p["event"][0], "x": gx.ravel(), "y": gy.ravel(), **own, "kept": int(kept.sum()), "corrected": int((kept & (np.abs(times - t) > 1e-9)).sum())}
 
-    return _by_field(points, run, _FIELD)
+    return _by_field(points, run, _FIELD, parts)
 
 
 _AMPLITUDE = "period double, event long, x double, y double, apparent double, velocity double, reason int"
 
 
-def corrected_fields(points: DataFrame, grid: tuple[float, float, float, int, int], rules: Rules = Rules(), least: int = 5) -> DataFrame:
+def corrected_fields(points: DataFrame, grid: tuple[float, float, float, int, int], rules: Rules = Rules(), least: int = 5, parts: int | None = None) -> DataFrame:
     """Eikonal velocities (apparent) of points(period, event, ex, ey, x, y, t, amplitude) corrected by the amplitudes' curvature.
 
     reason is the eikonal one, else 7 where the amplitude's surface isn't above 0 and 8 where the corrected slowness would have a negative square.
     """
-    x0, y0, step, nx, ny = grid
-    gx, gy = np.meshgrid(x0 + step * np.arange(nx), y0 + step * np.arange(ny))
+    gx, gy, inverse = _grid(grid)
+    step = grid[2]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["x", "y", "t"])
-        x, y, t, a = (p[c].to_numpy(float) for c in ("x", "y", "t", "amplitude"))
-        source, period = (float(p["ex"].iloc[0]), float(p["ey"].iloc[0])), float(p["period"].iloc[0])
+    def run(p: dict[str, np.ndarray]) -> dict | None:
+        x, y, t, a = (p[c].astype(float) for c in ("x", "y", "t", "amplitude"))
+        source, period = (float(p["ex"][0]), float(p["ey"][0])), float(p["period"][0])
         times, kept = without_skips(x, y, np.hypot(x - source[0], y - source[1]), t, period)
         if kept.sum() < least:
-            return pd.DataFrame(columns=[c.split()[0] for c in _AMPLITUDE.split(", ")])
-        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, step, rules)
+            return None
+        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, step, rules, inverse)
         amplitude = tension_surface(x[kept], y[kept], a[kept], gx, gy, 0.2, step)
         v, bad = helmholtz(np.where(f["velocity"] > 0, f["velocity"], 3.0), amplitude, period, step, step)
         reason = np.where(f["reason"] == 0, bad, f["reason"])
-        return pd.DataFrame({"period": period, "event": p["event"].iloc[0], "x": gx.ravel(), "y": gy.ravel(), "apparent": f["velocity"].ravel(), "velocity": v.ravel(), "reason": reason.ravel()})
+        return {"period": period, "event": p["event"][0], "x": gx.ravel(), "y": gy.ravel(), "apparent": f["velocity"].ravel(), "velocity": v.ravel(), "reason": reason.ravel()}
 
-    return _by_field(points, run, _AMPLITUDE)
+    return _by_field(points, run, _AMPLITUDE, parts)

@@ -29,13 +29,18 @@ def field_points(spark, sf_dir: str) -> DataFrame:
     return p.where("x <> ex or y <> ey").select("period", F.col("event").cast("bigint").alias("event"), "ex", "ey", "x", "y", (t + late).alias("t"), "amplitude")
 
 
+def _parts(spark, sf_dir: str) -> int:
+    """Groups for the fields: a measurement gives two points at most, and tables know how many rows they have."""
+    return max(1, 2 * table(spark, sf_dir, "lineitem").count() // travel.TASK_POINTS)
+
+
 @query("travel_time_fields")
 def travel_time_fields(spark, sf_dir):
     """A row a grid point of each station's field at each period: time, velocity, direction, its deflection, and the reason why it doesn't count."""
-    return travel.travel_fields(field_points(spark, sf_dir).drop("amplitude"), GRID, RULES)
+    return travel.travel_fields(field_points(spark, sf_dir).drop("amplitude"), GRID, RULES, parts=_parts(spark, sf_dir))
 
 
 @query("amplitude_corrected_fields")
 def amplitude_corrected_fields(spark, sf_dir):
     """Velocities of the same fields corrected by the curvature of amplitudes (the curves' signal to noise), with reasons 7 and 8."""
-    return travel.corrected_fields(field_points(spark, sf_dir), GRID, RULES)
+    return travel.corrected_fields(field_points(spark, sf_dir), GRID, RULES, parts=_parts(spark, sf_dir))

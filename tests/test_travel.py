@@ -176,3 +176,34 @@ def test_fields_as_jobs(spark):
     assert set(c["reason"]) <= {0, 1, 2, 3, 4, 5, 6, 7, 8} and np.median(np.abs(c[c["reason"] == 0]["velocity"] - 3.1)) < 0.05
     low = travel.corrected_fields(p.withColumn("amplitude", p["amplitude"] * -1), grid, Rules(near=200.0)).toPandas()
     assert (low[c["reason"].to_numpy() == 0]["reason"] == 7).all()
+
+
+@pytest.mark.parametrize("source", [(-80.0, 130.0), (210.0, 333.0), (150.0, 225.0)])
+@pytest.mark.parametrize("tension", [0.0, 0.2])
+def test_points_filled_by_the_shared_inverse_are_those_of_the_surface(source, tension):
+    gx, gy = np.meshgrid(75.0 * np.arange(9), 75.0 * np.arange(8))
+    t = np.hypot(gx - source[0], gy - source[1]) / 3.2 + np.sin(gx / 90) * np.cos(gy / 70)
+    for known in (np.random.default_rng(4).random(t.shape) < 0.7, np.hypot(gx - 150, gy - 225) > 200):
+        px, py, pz = (np.append(v[known], c) for v, c in ((gx, source[0]), (gy, source[1]), (t, 0.0)))
+        want = tension_surface(px, py, pz, gx, gy, tension, 75.0)
+        got = travel.filled(t, known, source, gx, gy, tension, 75.0, lambda k: travel.inverted(gx, gy, k, 75.0))
+        assert np.allclose(got, want[~known], atol=1e-7)
+
+
+def test_nearest_point_before():
+    x, y = stations(150, 5)
+    x[40:60] = x[0:20]
+    y[40:60] = y[0:20]
+    want = [0] + [int(np.hypot(x[:i] - x[i], y[:i] - y[i]).argmin()) for i in range(1, 150)]
+    assert travel.nearest_before(x, y).tolist() == want
+
+
+def test_fields_share_a_task(spark):
+    x, y = stations(60, 7)
+    rows = [(period, e, 100.0 * e, 50.0, float(u), float(v), float(np.hypot(u - 100 * e, v - 50) / 3.3)) for period in (8.0, 12.0) for e in range(12) for u, v in zip(x, y, strict=True)]
+    p = spark.createDataFrame(pd.DataFrame(rows, columns=["period", "event", "ex", "ey", "x", "y", "t"]))
+    grid, rules = (0.0, 0.0, 100.0, 10, 10), Rules(smooth=0.001)
+    f = travel.travel_fields(p, grid, rules, parts=3)
+    one = travel.travel_fields(p, grid, rules, parts=500)
+    assert f.count() == 24 * 100 and f.rdd.getNumPartitions() == 3
+    assert f.exceptAll(one).count() == 0
