@@ -207,3 +207,12 @@ def test_fields_share_a_task(spark):
     one = travel.travel_fields(p, grid, rules, parts=500)
     assert f.count() == 24 * 100 and f.rdd.getNumPartitions() == 3
     assert f.exceptAll(one).count() == 0
+
+
+def test_corrected_fields_share_a_task(spark):
+    x, y = stations(60, 9)
+    rows = [(10.0, e, 100.0 * e, 50.0, float(u), float(v), float(np.hypot(u - 100 * e, v - 50) / 3.3), 5.0 + float(u) / 900) for e in range(12) for u, v in zip(x, y, strict=True)]
+    p = spark.createDataFrame(pd.DataFrame(rows, columns=["period", "event", "ex", "ey", "x", "y", "t", "amplitude"]))
+    grid = (0.0, 0.0, 100.0, 10, 10)
+    f, one = (travel.corrected_fields(p, grid, Rules(smooth=0.001), parts=n) for n in (2, 500))
+    assert f.count() == 1200 and f.rdd.getNumPartitions() == 2 and f.exceptAll(one).count() == 0
