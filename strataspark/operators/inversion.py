@@ -45,7 +45,8 @@ def love_velocity(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.nd
 
 def prior_ok(vs: np.ndarray, crust: int, most: float = 4.9, crust_most: float = 4.3, mantle: tuple[float, float] = (4.0, 4.6)) -> bool:
     """Velocity rises through the crust and at its base, nothing is above most, the last crustal layer and the mantle's top are in bounds."""
-    return bool((np.diff(vs[: crust + 1]) > 0).all() and (vs <= most).all() and vs[crust - 1] <= crust_most and mantle[0] <= vs[crust] <= mantle[1])
+    v = vs if isinstance(vs, list) else np.asarray(vs).tolist()  # plain numbers are faster than arrays of a few
+    return all(a < b for a, b in zip(v[:crust], v[1 : crust + 1], strict=True)) and all(a <= most for a in v) and v[crust - 1] <= crust_most and mantle[0] <= v[crust] <= mantle[1]
 
 
 def likelihood(predicted: np.ndarray, observed: np.ndarray, sigma: np.ndarray) -> tuple[float, float]:
@@ -57,28 +58,96 @@ def likelihood(predicted: np.ndarray, observed: np.ndarray, sigma: np.ndarray) -
 
 
 def love_velocities(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.ndarray, steps: int = 96) -> np.ndarray:
-    """love_velocity for the models in the rows of h and vs at once (models by periods): roots are bracketed on steps of each model's own range of velocities."""
-    mu = rho * vs**2
-    w = 2 * np.pi / periods
+    """love_velocity for the models in the rows of h and vs at once (models by periods): roots are bracketed on steps of each model's own range of velocities.
 
-    def traction(c: np.ndarray) -> np.ndarray:
-        """Of velocities c (models, periods, places)."""
-        k = w[:, None] / c
-        at = lambda x, n: x[:, n, None, None]
-        g = np.sqrt(np.maximum(k**2 - (w[:, None] / at(vs, -1)) ** 2, 1e-18))
-        u, t = np.ones_like(c), -at(mu, -1) * g
-        for n in range(vs.shape[1] - 2, -1, -1):
-            q2 = (w[:, None] / at(vs, n)) ** 2 - k**2
-            real = q2 >= 0
-            q = np.sqrt(np.abs(q2)) + 1e-12
-            qh = q * at(h, n)
+    Where velocities rise with depth, brackets are found by halves (see reached), else by looking at all steps.
+    """
+    rising = (np.diff(vs, axis=1) > 0).all(axis=1)
+    if not rising.all():
+        out = np.empty((len(vs), len(periods)))
+        if rising.any():
+            out[rising] = love_velocities(h[rising], vs[rising], rho, periods, steps)
+        out[~rising] = _love_scanned(h[~rising], vs[~rising], rho, periods, steps)
+        return out
+    return _love_halved(h, vs, rho, periods, steps)
+
+
+def reached(h: np.ndarray, vs: np.ndarray, mu: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the lowest root is at c (models, periods) or below, for velocities that rise with depth.
+
+    Displacement and traction, scaled, turn from the half-space upwards by q h in a layer (or stay between its axes), from an angle under 0; the traction is
+    nothing where the angle is 0. It grows with c, so the first root is where it gets there before the surface.
+    """
+    k = w / c
+    u, t = np.ones_like(c), -mu[:, -1, None] * np.sqrt(np.maximum(k**2 - (w / vs[:, -1, None]) ** 2, 1e-18))
+    found = np.zeros(c.shape, bool)
+    for n in range(vs.shape[1] - 2, -1, -1):
+        q2 = (w / vs[:, n, None]) ** 2 - k**2
+        real = q2 >= 0
+        q = np.sqrt(np.abs(q2)) + 1e-12
+        qh, m = q * h[:, n, None], mu[:, n, None] * q
+        found |= real & (np.arctan2(t / m, u) + qh >= 0)
+        if n:
             grow = np.exp(np.minimum(qh, 50))
             cos, sin = np.where(real, np.cos(qh), (grow + 1 / grow) / 2), np.where(real, np.sin(qh), (grow - 1 / grow) / 2)
-            m = at(mu, n) * q
             u, t = cos * u - sin / m * t, np.where(real, 1, -1) * m * sin * u + cos * t
             big = np.maximum(np.abs(u), np.abs(t))
             u, t = u / big, t / big
-        return t
+    return found
+
+
+def _love_halved(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.ndarray, steps: int) -> np.ndarray:
+    mu, w = rho * vs**2, 2 * np.pi / periods
+    low, high = (vs[:, :-1].min(axis=1) + 1e-6)[:, None], (vs[:, -1] - 1e-9)[:, None]
+
+    def halved(at, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The last of n places before the root, and whether the last place is beyond it."""
+        a, b = np.zeros((len(vs), len(w)), int), np.full((len(vs), len(w)), n - 1)
+        beyond = reached(h, vs, mu, w, at(b))
+        for _ in range((n - 2).bit_length()):
+            mid = (a + b) // 2
+            over = reached(h, vs, mu, w, at(mid))
+            a, b = np.where(over, a, mid), np.where(over, mid, b)
+        return np.minimum(a, n - 2), beyond
+
+    share, part = np.linspace(0, 1, steps), np.linspace(0, 1, 17)
+    coarse = lambda i: low + (high - low) * share[i]
+    k, any_ = halved(coarse, steps)
+    a, b = coarse(k), coarse(k + 1)
+    fine = lambda i: a + (b - a) * part[i]
+    k, _ = halved(fine, 17)
+    a, b = fine(k), fine(k + 1)
+    f = _love_traction(h, vs, mu, w, np.stack([a, b], -1))
+    fa, fb = f[..., 0], f[..., 1]
+    step = np.where(fb != fa, fb - fa, 1)
+    return np.where(any_ & (high > low), a - fa * (b - a) / step, np.nan)
+
+
+def _love_traction(h: np.ndarray, vs: np.ndarray, mu: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The traction at the surface of velocities c (models, periods, places)."""
+    k = w[:, None] / c
+    at = lambda x, n: x[:, n, None, None]
+    g = np.sqrt(np.maximum(k**2 - (w[:, None] / at(vs, -1)) ** 2, 1e-18))
+    u, t = np.ones_like(c), -at(mu, -1) * g
+    for n in range(vs.shape[1] - 2, -1, -1):
+        q2 = (w[:, None] / at(vs, n)) ** 2 - k**2
+        real = q2 >= 0
+        q = np.sqrt(np.abs(q2)) + 1e-12
+        qh = q * at(h, n)
+        grow = np.exp(np.minimum(qh, 50))
+        cos, sin = np.where(real, np.cos(qh), (grow + 1 / grow) / 2), np.where(real, np.sin(qh), (grow - 1 / grow) / 2)
+        m = at(mu, n) * q
+        u, t = cos * u - sin / m * t, np.where(real, 1, -1) * m * sin * u + cos * t
+        big = np.maximum(np.abs(u), np.abs(t))
+        u, t = u / big, t / big
+    return t
+
+
+def _love_scanned(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.ndarray, steps: int) -> np.ndarray:
+    mu = rho * vs**2
+    w = 2 * np.pi / periods
+
+    traction = lambda c: _love_traction(h, vs, mu, w, c)
 
     def first(c: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place before the first change of sign of each model and period, and whether there is one."""
@@ -117,16 +186,20 @@ def sample_chains(seeds: list[int], steps: int, start: np.ndarray, sigma: np.nda
 
     misfit, like = judged(now)
     out[:, 0] = np.column_stack([np.ones(len(seeds)), misfit, like, now])
+    # plain numbers are faster than arrays of a few; the random numbers are those of rng.normal(0, sigma)
+    spans = list(zip(np.asarray(sigma, float).tolist(), np.asarray(low, float).tolist(), np.asarray(high, float).tolist(), strict=True))
     for k in range(1, steps):
-        new = np.empty_like(now)
+        new = now.tolist()
         for i, rng in enumerate(rngs):
+            at = new[i]
             for _ in range(5000):
-                x = now[i] + rng.normal(0, sigma)
-                if (x >= low).all() and (x <= high).all() and valid(x):
+                x = [a + s * z for a, (s, _l, _h), z in zip(at, spans, rng.standard_normal(len(at)).tolist(), strict=True)]
+                if all(b <= v <= e for v, (_s, b, e) in zip(x, spans, strict=True)) and valid(x):
                     break
             else:
-                x = rng.uniform(low, high)
+                x = rng.uniform(low, high).tolist()
             new[i] = x
+        new = np.array(new)
         m, lk = judged(new)
         # a number is drawn for every step, taken or not, so that each step uses up alike
         chance = np.array([rng.random() for rng in rngs])
@@ -136,8 +209,8 @@ def sample_chains(seeds: list[int], steps: int, start: np.ndarray, sigma: np.nda
     return out
 
 
-#: Chains that go in step; more make the work on arrays no faster.
-TOGETHER = 64
+#: Chains that go in step.
+TOGETHER = 256
 
 
 def run_chains(tasks: DataFrame, steps: int, periods: tuple[float, ...]) -> DataFrame:
@@ -169,4 +242,5 @@ def run_chains(tasks: DataFrame, steps: int, periods: tuple[float, ...]) -> Data
                 flat = out.reshape(-1, out.shape[2])
                 yield pd.DataFrame({"grid": np.repeat(part["grid"].to_numpy(), steps), "chain": np.repeat(part["chain"].to_numpy(), steps), "step": np.tile(np.arange(steps), len(part)), "accepted": flat[:, 0].astype(int), "misfit": flat[:, 1], "likelihood": flat[:, 2], **{f"p{k}": flat[:, 3 + k] for k in range(4)}})
 
-    return tasks.mapInPandas(run, "grid long, chain long, step long, accepted int, misfit double, likelihood double, p0 double, p1 double, p2 double, p3 double")
+    # a number of parts of its own, since small tables of heavy rows would end up in one
+    return tasks.repartition(max(1, -(-tasks.count() // TOGETHER)), "grid", "chain").mapInPandas(run, "grid long, chain long, step long, accepted int, misfit double, likelihood double, p0 double, p1 double, p2 double, p3 double")

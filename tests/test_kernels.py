@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strataspark.functions import geo
-from strataspark.operators import blocks, interferometry, layers, lookup, pairs, stacks, tomography
+from strataspark.operators import blocks, interferometry, inversion, layers, lookup, pairs, stacks, tomography
 from strataspark.operators.inversion import love_velocities, love_velocity, prior_ok, sample_chains
 from strataspark.sources import files
 
@@ -198,3 +198,20 @@ def test_curves_and_correlations_on_disk(spark, tmp_path):
     m = spark.createDataFrame([(0, 1, 0, 2.5, 0.5, 0.05)], "part int, kind int, place int, value double, space double, step double")
     files.write_columns(m, str(tmp_path / "m"), files.PARAMETERS)
     assert files.read_columns(spark, str(tmp_path / "m"), files.PARAMETERS).collect() == m.collect()
+
+
+def test_love_brackets_by_halves():
+    rng = np.random.default_rng(3)
+    n, rho, periods = 400, np.array([2.6, 2.8, 3.3]), np.array([8.0, 15, 25, 40])
+    h = np.column_stack([rng.uniform(5, 30, n), np.full(n, 20.0), np.zeros(n)])
+    vs = np.column_stack([rng.uniform(2.2, 3.6, n), rng.uniform(3.0, 4.2, n), rng.uniform(4.0, 4.6, n)])
+    want = inversion._love_scanned(h, vs, rho, periods, 96)
+    got = inversion.love_velocities(h, vs, rho, periods)
+    assert (np.diff(vs, axis=1) > 0).all(axis=1).sum() > 200 and np.array_equal(got, want, equal_nan=True)
+
+
+def test_halves_look_at_few_velocities(monkeypatch):
+    seen = []
+    monkeypatch.setattr(inversion, "_love_traction", lambda h, vs, mu, w, c, own=inversion._love_traction: seen.append(c.shape[-1]) or own(h, vs, mu, w, c))
+    inversion.love_velocities(np.array([[15.0, 20, 0]]), np.array([[3.0, 3.6, 4.4]]), np.array([2.6, 2.8, 3.3]), np.array([8.0, 40]))
+    assert sum(seen) == 2
