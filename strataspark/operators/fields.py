@@ -24,15 +24,18 @@ def checkerboard(g: DataFrame, v0: float, dv: float, width: float, height: float
 
 
 def sampled(paths: DataFrame, n: int) -> DataFrame:
-    """paths(lon, lat, lon2, lat2, ...) with dist in km, and k, lon and lat of n midpoints along the great circle of each."""
+    """paths(lon, lat, lon2, lat2, ...) with dist in km, and k, lon and lat of n midpoints along the great circle of each; ends that are the same or opposite give nulls.
+
+    What is a path's is computed before its points are made, each step in a column of its own: as one expression it would be worked out anew for every use.
+    """
     keep = [c for c in paths.columns if c not in ("lon", "lat", "lon2", "lat2")]
-    ends = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
-    x1, y1, z1 = geo.cartesian(ends[0], ends[1], F.lit(1.0))
-    x2, y2, z2 = geo.cartesian(ends[2], ends[3], F.lit(1.0))
-    dist = geo.RADIUS * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x1 * x2 + y1 * y2 + z1 * z2)))
-    p = paths.select(*keep, *ends, dist.alias("dist"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    lon, lat = geo.along(*ends, (F.col("k") + 0.5) / n)
-    return p.select(*keep, "dist", "k", lon.alias("lon"), lat.alias("lat"))
+    ends = (*geo.cartesian(F.col("lon"), F.col("lat"), F.lit(1.0)), *geo.cartesian(F.col("lon2"), F.col("lat2"), F.lit(1.0)))
+    p = paths.select(*keep, *(c.alias(f"_{k}{i}") for c, (i, k) in zip(ends, [(i, k) for i in (1, 2) for k in "xyz"], strict=True)))
+    p = p.withColumn("_d", F.expr("acos(greatest(-1.0D, least(1.0D, _x1 * _x2 + _y1 * _y2 + _z1 * _z2)))")).withColumn("_sin", F.expr("nullif(sin(_d), 0.0D)"))
+    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_s", (F.col("k") + 0.5) / n)
+    p = p.withColumns({"_a": F.expr("sin((1 - _s) * _d) / _sin"), "_b": F.expr("sin(_s * _d) / _sin")}).withColumns({f"_{c}": F.expr(f"_a * _{c}1 + _b * _{c}2") for c in "xyz"})
+    lon, lat = F.degrees(F.atan2("_y", "_x")), F.degrees(F.atan2(F.col("_z"), F.sqrt(F.expr("_x * _x + _y * _y"))))
+    return p.select(*keep, (geo.RADIUS * F.col("_d")).alias("dist"), "k", lon.alias("lon"), lat.alias("lat"))
 
 
 def path_average(points: DataFrame, cells: DataFrame, keys: list[str], step: float = 1.0) -> DataFrame:
