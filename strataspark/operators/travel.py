@@ -25,34 +25,64 @@ TASK_POINTS = 2000
 
 
 def k0(x: np.ndarray) -> np.ndarray:
-    """The modified Bessel function of the second kind of order 0, of positive numbers, by its integral of exp(-x cosh t)."""
+    """The modified Bessel function of the second kind of order 0, of positive numbers: by its series under 1, else by its integral of exp(-x cosh t)."""
     t = np.linspace(0, 12, 97)
     w = np.full(len(t), t[1])
     w[0] /= 2
     x = np.asarray(x, float)
-    out = np.empty(x.size)
-    for at in range(0, x.size, 10_000):
-        out[at : at + 10_000] = np.exp(-np.minimum(np.multiply.outer(x.ravel()[at : at + 10_000], np.cosh(t)), 700)) @ w
+    flat, out = x.ravel(), np.empty(x.size)
+    near = flat < 1
+    out[near] = _to_log(flat[near]) - np.log(flat[near])
+    far = np.flatnonzero(~near)
+    for at in range(0, len(far), 10_000):
+        part = far[at : at + 10_000]
+        out[part] = np.exp(-np.minimum(np.multiply.outer(flat[part], np.cosh(t)), 700)) @ w
     return out.reshape(x.shape)
 
 
+def _to_log(x: np.ndarray) -> np.ndarray:
+    """k0(x) + ln(x) of numbers from 0 to 1, by the series of powers of x * x / 4."""
+    q, log = x * x / 4, np.log(np.maximum(x, 1e-300))
+    term, out, h = np.ones_like(q), np.full_like(q, _AT_ZERO), 0.0
+    for k in range(1, 12):
+        h += 1 / k
+        term = term * q / k**2
+        out += term * (h + _AT_ZERO - log)
+    return out
+
+
 def green(r: np.ndarray, tension: float) -> np.ndarray:
     """The response of a thin plate under tension to a point force at distances r in units of the grid's spacing; of a free plate at tension 0."""
     if tension <= 0:
         return np.where(r > 0, r * r * (np.log(np.maximum(r, 1e-300)) - 1), 0.0)
-    x = np.log(np.maximum(r * np.sqrt(tension / (1 - tension)), 1e-300))
-    at, rest = _table()
-    # beyond the table k0 is nothing, before it the sum doesn't change
-    return np.where(x > at[-1], x, np.interp(x, at, rest))
+    return _tense(r * np.sqrt(tension / (1 - tension)))
+
+
+#: Up to where k0 is in a table, beyond which it is nothing, and steps of the table.
+_END, _STEPS = 20.0, 1 << 17
+
+
+def _tense(x: np.ndarray) -> np.ndarray:
+    """k0(x) + ln(x) by lines between the places of a table, whose even steps need no search; x is overwritten."""
+    value, rise = _table()
+    far = x >= _END
+    distant = x[far]
+    x *= _STEPS / _END
+    at = x.astype(np.intp)
+    x -= at
+    x *= rise.take(at, mode="clip")
+    x += value.take(at, mode="clip")
+    if len(distant):
+        x[far] = np.log(distant)
+    return x
 
 
 @lru_cache(maxsize=1)
 def _table() -> tuple[np.ndarray, np.ndarray]:
-    """ln x from 1e-4 to 20 and k0(x) + ln(x) there, close enough that lines between are right to 1e-7."""
-    at = np.linspace(np.log(1e-4), np.log(20), 20_000)
-    rest = k0(np.exp(at)) + at
-    rest[0] = _AT_ZERO
-    return at, rest
+    """k0(x) + ln(x) at even steps from 0 to _END, close enough that lines between are right to 1e-7, and how much it rises in a step."""
+    x = np.linspace(0, _END, _STEPS + 1)
+    value = np.append(_AT_ZERO, k0(x[1:]) + np.log(x[1:]))
+    return value, np.diff(value)
 
 
 def tension_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray, tension: float, spacing: float) -> np.ndarray:
@@ -76,13 +106,13 @@ def tension_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray,
 
 
 def _apart(gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray, tension: float, spacing: float) -> np.ndarray:
-    """green of all of (gx, gy) to all of (x, y); of a free plate from squares of distances in place, as most of a field's time goes here."""
-    if tension > 0:
-        return green(np.hypot(gx[..., None] - x, gy[..., None] - y) / spacing, tension)
+    """green of all of (gx, gy) to all of (x, y), from squares of distances in place, as most of a field's time goes here."""
     r, v = np.subtract.outer(gx / spacing, x / spacing), np.subtract.outer(gy / spacing, y / spacing)
     r *= r
     v *= v
     r += v
+    if tension > 0:
+        return green(np.sqrt(r, out=r), tension)
     np.maximum(r, 1e-300, out=v)
     np.log(v, out=v)
     v *= 0.5

@@ -20,6 +20,13 @@ def test_bessel_function():
     assert np.allclose(green(x, 0.5), np.where(x < 1e-4, np.log(2) - np.euler_gamma, k0(x) + np.log(x)), atol=2e-7)
 
 
+def test_responses_close_to_the_source():
+    x = np.array([1e-6, 1e-5, 1e-4, 1e-3])
+    assert np.allclose(k0(x), np.log(2) - np.euler_gamma - np.log(x), rtol=0, atol=1e-5) and np.allclose(k0(np.array([1 - 1e-9])), k0(np.array([1 + 1e-9])), atol=1e-8)
+    x = np.append(np.geomspace(1e-3, 30, 5000), 20.0)
+    assert np.abs(green(x.copy(), 0.5) - k0(x) - np.log(x)).max() < 2e-8 and green(np.zeros(1), 0.5)[0] == np.log(2) - np.euler_gamma
+
+
 @pytest.mark.parametrize("tension", [0.0, 0.2, 0.5])
 def test_surface_goes_through_its_points_and_obeys_its_equation(tension):
     x, y = stations(30)
