@@ -135,30 +135,55 @@ def grouped_median(counts: DataFrame, key: str, value: str) -> DataFrame:
     """key and median of counts(key, value, n), values that stand n times each, by running totals over distinct values.
 
     The window runs over the distinct values of a key only; its totals are of groups of values first, so that a key of
-    many values is not sorted in one task: the group that holds the middle is found, then only that one is read.
+    many values is not sorted in one task: the group that holds the middle is found, then only that one is read. Groups are
+    equally wide; row_median takes rows that aren't counted, and doesn't depend on how values lie.
     """
     parts = 1000
     ends = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("_all"))
     part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(parts - 1))).otherwise(0).cast("int")
-    c = counts.join(ends, key).withColumn("_p", part)
+    c = counts.join(F.broadcast(ends), key).withColumn("_p", part)
     sums = c.groupBy(key, "_p").agg(F.sum("n").alias("_n"), F.first("_all").alias("_all"))
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_p")) - F.col("_n")
     # the two middle places, counted from 0
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
     hold = sums.withColumn("_b", before).where((F.col("_b") <= high) & (low < F.col("_b") + F.col("_n"))).select(key, "_p", "_b")
-    v = c.join(hold, [key, "_p"])
+    v = c.join(F.broadcast(hold), [key, "_p"])
     at = F.col("_b") + F.sum("n").over(Window.partitionBy(key, "_p").orderBy(value)) - F.col("n")
     v = v.withColumn("_at", at)
     pick = lambda place: F.max(F.when((F.col("_at") <= place) & (place < F.col("_at") + F.col("n")), F.col(value)))
     return v.groupBy(key).agg(((pick(low) + pick(high)) / 2).alias("median"))
 
 
+#: Ranks at either side of the middle, as a share of a key's rows, that are looked at exactly; a tenth of it is the error of approximate quantiles.
+_MIDDLE = 0.001
+
+
+def row_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key and the exact median of the values of a few keys with very many rows each; nulls don't count, a key of nulls alone has null.
+
+    Approximate quantiles enclose the middle, rows below them are counted, and the rows between, a few thousandths however the values lie, are
+    sorted as distinct values with their counts. A few numbers a key are broadcast; no key's rows are gathered.
+    """
+    rows = rows.select(key, F.col(value).alias("_v"))
+    ends = F.percentile_approx("_v", [0.5 - _MIDDLE, 0.5 + _MIDDLE], round(10 / _MIDDLE))
+    ends = rows.groupBy(key).agg(ends.alias("_e")).select(key, F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi"))
+    # one row a value between the ends; one, of null, for all that is below or above
+    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
+    c = rows.where("_v is not null").join(F.broadcast(ends), key).groupBy(key, inside.alias("_m")).agg(F.count("*").alias("_n"), F.count_if(F.col("_v") < F.col("_lo")).alias("_b"))
+    per = c.groupBy(key).agg(F.sum("_n").alias("_all"), F.sum("_b").alias("_below"))
+    v = c.where("_m is not null").select(key, F.col("_m").alias("_v"), "_n").join(F.broadcast(per), key)
+    v = v.withColumn("_at", F.col("_below") + F.sum("_n").over(Window.partitionBy(key).orderBy("_v")) - F.col("_n"))
+    # the two middle places, counted from 0
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    pick = lambda place: F.max(F.when((F.col("_at") <= place) & (place < F.col("_at") + F.col("_n")), F.col("_v")))
+    m = v.groupBy(key).agg(((pick(low) + pick(high)) / 2).alias("median"))
+    return ends.select(key).join(F.broadcast(m), key, "left")
+
+
 def grouped_mad(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key and mad, the median absolute deviation from the median, of a few keys with very many rows each: values are counted first."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
-    med = grouped_median(counts, key, value)
-    off = counts.join(med, key).groupBy(key, F.abs(F.col(value) - F.col("median")).alias("off")).agg(F.sum("n").alias("n"))
-    return grouped_median(off, key, "off").withColumnRenamed("median", "mad")
+    """key and mad, the median absolute deviation from the median, of a few keys with very many rows each."""
+    off = rows.join(F.broadcast(row_median(rows, key, value)), key).select(key, F.abs(F.col(value) - F.col("median")).alias("off"))
+    return row_median(off, key, "off").withColumnRenamed("median", "mad")
 
 
 def trimmed(rows: DataFrame, keys: list[str], value: str, deviations: float) -> DataFrame:

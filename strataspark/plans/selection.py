@@ -50,7 +50,7 @@ def residual_mad_qc(spark, sf_dir):
     """Residuals within three median absolute deviations of the period, or small against it."""
     r = table(spark, sf_dir, "residuals")
     mad = stacks.grouped_mad(r, "period_idx", "res")
-    return r.join(mad, "period_idx").where("abs(res) < 3 * mad or abs(res) < least(0.5D * (6 + 2 * period_idx), 10.0D) * 0.1D").select("rec", "period_idx")
+    return r.join(F.broadcast(mad), "period_idx").where("abs(res) < 3 * mad or abs(res) < least(0.5D * (6 + 2 * period_idx), 10.0D) * 0.1D").select("rec", "period_idx")
 
 
 @query("moveout_flags", """select sta_key, baz, it, amp, case when baz / 2000 <= 0.04 or baz / 2000 > 0.1 then -3 when amp > 0.04 then -2 when amp < 0 then -1 else 1 end as flag from rf""")

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strataspark.functions import geo
-from strataspark.operators import fields
+from strataspark.operators import fields, stacks
 from strataspark.plans.catalog import QUERIES
 
 
@@ -27,3 +27,20 @@ def test_points_of_paths(spark):
         assert all(g[c] is None if r[c] is None else abs(g[c] - r[c]) < 1e-6 for c in ("lon", "lat"))
         assert r["id"] == 4 or abs(g["dist"] - r["dist"]) < 1e-6
     assert got[3, 0]["lon"] is None and got[2, 0]["lon"] is not None
+
+
+def test_medians_of_rows_however_they_lie(spark):
+    rng = np.random.default_rng(7)
+    d = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in enumerate((rng.normal(size=30_000) ** 9, np.append(rng.normal(size=4999), 1e12), np.repeat([1.0, 2.0], 700), [5.0], [5.0, 7.0], rng.integers(0, 3, 999).astype(float)))])
+    d = pd.concat([d, pd.DataFrame({"k": [1] * 999 + [6], "v": [None] * 1000})])
+    rows = spark.createDataFrame([(int(k), None if v != v else float(v)) for k, v in d.itertuples(index=False)], "k int, v double")
+    got, mad = ({r["k"]: r[1] for r in x.collect()} for x in (stacks.row_median(rows, "k", "v"), stacks.grouped_mad(rows, "k", "v")))
+    for k, v in d.groupby("k")["v"]:
+        v = v.dropna()
+        assert (got[k], mad[k]) == ((None, None) if v.empty else (v.median(), (v - v.median()).abs().median()))
+
+
+def test_no_task_has_a_period_to_itself(spark, sf_dir):
+    """Joins with a few numbers a period leave rows where they are; only counts are sorted."""
+    plan = QUERIES["residual_mad_qc"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
