@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataspark.operators import arrays, stacks
 from strataspark.sources.fixtures import table
 
-from .registry import query
+from .registry import curves_by_pair, query
 
 
 @query("trimmed_curve_statistics", """with a as (select sta1, period, c, avg(c) over w as m, stddev_pop(c) over w as s from curves window w as (partition by sta1, period)),
@@ -28,7 +28,7 @@ def trimmed_curve_statistics(spark, sf_dir):
   select sta1, sta2, period, round(avg(c) over (partition by sta1, sta2 order by period range between 2 preceding and 2 following), 5) as c from k""")
 def smoothed_profile(spark, sf_dir):
     """Moving means over two units to either side of the depth or period."""
-    k = table(spark, sf_dir, "curves").groupBy("sta1", "sta2", "period").agg(F.round(F.avg("c"), 6).alias("c"))
+    k = curves_by_pair(spark, sf_dir, "period", "c").groupBy("sta1", "sta2", "period").agg(F.round(F.avg("c"), 6).alias("c"))
     w = Window.partitionBy("sta1", "sta2").orderBy("period").rangeBetween(-2, 2)
     return k.select("sta1", "sta2", "period", F.round(F.avg("c").over(w), 5).alias("c"))
 

@@ -9,7 +9,7 @@ from strataspark.operators import stacks
 from strataspark.operators.pairs import first_by, prefer
 from strataspark.sources.fixtures import table
 
-from .registry import query
+from .registry import curves_by_pair, query
 
 #: Waves of this many km/s set the shortest distance of a period.
 REFERENCE_SPEED = 3.5
@@ -152,7 +152,7 @@ def mask_combine(spark, sf_dir):
   left join lateral (select min(period) as hi, min_by(c, period) as hc from c where c.sta1 = l.sta1 and c.sta2 = l.sta2 and c.period >= p.period) b on true""")
 def period_resample(spark, sf_dir):
     """Curves at other periods: linear between the neighbours, the end value outside, and whether it is inside."""
-    c = table(spark, sf_dir, "curves").groupBy("sta1", "sta2", "period").agg(F.avg("c").alias("c"))
+    c = curves_by_pair(spark, sf_dir, "period", "c").groupBy("sta1", "sta2", "period").agg(F.avg("c").alias("c"))
     curve = c.groupBy("sta1", "sta2").agg(F.array_sort(F.collect_list(F.struct("period", "c"))).alias("p"))
     x = curve.withColumn("period", F.explode(F.array(*(F.lit(float(t)) for t in (7, 9, 11, 13, 15)))))
     from strataspark.operators.arrays import interpolate

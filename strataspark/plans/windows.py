@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspark.sources.fixtures import table
 
-from .registry import query
+from .registry import curves_by_pair, query
 
 
 @query("running_minimum", "select grid, isample, min(misfit) over (partition by grid order by isample, misfit rows unbounded preceding) as least from ensemble")
@@ -22,7 +22,7 @@ def _pair():
 
 
 def _curves(spark, sf_dir):
-    return table(spark, sf_dir, "curves").groupBy("sta1", "sta2", "period").agg(F.round(F.avg("c"), 6).alias("c"))
+    return curves_by_pair(spark, sf_dir, "period", "c").groupBy("sta1", "sta2", "period").agg(F.round(F.avg("c"), 6).alias("c"))
 
 
 _JUMPS = f"""with {_CURVE}, n as (select *, lag(period) over w as p0, lag(c) over w as c0, lead(period) over w as p1, lead(c) over w as c1 from k window w as (partition by sta1, sta2 order by period)),

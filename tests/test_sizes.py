@@ -1,11 +1,14 @@
 """Tables that are large but lie in few files, or have keys of very many rows, are dealt to tasks by their size."""
 
+import re
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strataspark.functions import geo
-from strataspark.operators import fields, stacks
+from strataspark.operators import dealing, fields, stacks
 from strataspark.plans.catalog import QUERIES
 
 
@@ -44,3 +47,18 @@ def test_no_task_has_a_period_to_itself(spark, sf_dir):
     """Joins with a few numbers a period leave rows where they are; only counts are sorted."""
     plan = QUERIES["residual_mad_qc"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    x = dealing.dealt(spark.range(1000).withColumn("k", F.col("id") % 100), 20 * dealing.TASK_ROWS, "k")
+    assert x.rdd.getNumPartitions() == 20 and dealing.dealt(x, 1, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["longest_smooth_segment", "curve_jumps", "local_extrema", "dispersion_sanity", "smoothed_profile", "period_resample"])
+def test_tasks_of_curves_follow_their_rows(spark, sf_dir, monkeypatch, name):
+    """Curves are shuffled once, by pair, in partitions for their number of rows; what groups and orders them stays in these."""
+    monkeypatch.setattr(dealing, "TASK_ROWS", 500)
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    shuffles = re.findall(r"Exchange hashpartitioning\((?:sta1|sta2)[^\n]*", plan)
+    assert shuffles and all(f", {parts})" in s for s in shuffles)
