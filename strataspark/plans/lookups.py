@@ -9,12 +9,12 @@ from strataspark.functions import geo
 from strataspark.operators import lookup
 from strataspark.sources.fixtures import table
 
-from .registry import query
+from .registry import curves_by_pair, query
 
 
 def _curve_table(spark, sf_dir) -> DataFrame:
     """A row a pair with three numbers, smallest, mean and largest velocity, in place of a correlation's lags."""
-    k = table(spark, sf_dir, "curves").groupBy("sta1", "sta2").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.avg("c").alias("mid"), F.max("c").alias("hi"))
+    k = curves_by_pair(spark, sf_dir, "c").groupBy("sta1", "sta2").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.avg("c").alias("mid"), F.max("c").alias("hi"))
     return k.select("sta1", "sta2", "n", F.array("lo", "mid", "hi").alias("data"))
 
 

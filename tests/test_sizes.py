@@ -54,7 +54,7 @@ def test_rows_are_dealt_by_their_number(spark):
     assert x.rdd.getNumPartitions() == 20 and dealing.dealt(x, 1, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["longest_smooth_segment", "curve_jumps", "local_extrema", "dispersion_sanity", "smoothed_profile", "period_resample"])
+@pytest.mark.parametrize("name", ["longest_smooth_segment", "curve_jumps", "local_extrema", "dispersion_sanity", "smoothed_profile", "period_resample", "correlation_lookup"])
 def test_tasks_of_curves_follow_their_rows(spark, sf_dir, monkeypatch, name):
     """Curves are shuffled once, by pair, in partitions for their number of rows; what groups and orders them stays in these."""
     monkeypatch.setattr(dealing, "TASK_ROWS", 500)
