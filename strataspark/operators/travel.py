@@ -90,30 +90,48 @@ def tension_surface(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray,
 
     A plane is taken off first, so what is even stays so. Tension acts over the grid's spacing.
     """
+    return tension_surfaces(x, y, [z], gx, gy, [tension], spacing)[0]
+
+
+def tension_surfaces(x: np.ndarray, y: np.ndarray, zs: list[np.ndarray], gx: np.ndarray, gy: np.ndarray, tensions: list[float], spacing: float, known: _Known | None = None) -> list[np.ndarray]:
+    """tension_surface of several values at the same points, each in its tension; known has responses of the grid to places, where a grid has many fields."""
     at, which = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)
-    z = np.bincount(which.ravel(), z) / np.bincount(which.ravel())
+    n = np.bincount(which.ravel())
+    zs = [np.bincount(which.ravel(), z) / n for z in zs]
     x, y = at.T
     ones = lambda u, v: np.stack([np.ones_like(u), (u - x.mean()) / spacing, (v - y.mean()) / spacing], -1)
-    plane = np.linalg.lstsq(ones(x, y), z, rcond=None)[0]
-    rest = z - ones(x, y) @ plane
-    g = _apart(x, y, x, y, tension, spacing)
-    force = np.linalg.lstsq(g, rest, rcond=1e-13)[0] if len(x) < 3 else _solved(g, rest)
-    out = ones(gx, gy) @ plane
-    for k in range(0, len(x), 256):
-        part = slice(k, k + 256)
-        out = out + _apart(gx, gy, x[part], y[part], tension, spacing) @ force[part]
+    base, even = ones(x, y), ones(gx, gy)
+    planes = np.linalg.lstsq(base, np.stack(zs, -1), rcond=None)[0].T
+    apart = _squares(x, y, x, y, spacing)
+    out = []
+    for z, plane, tension in zip(zs, planes, tensions, strict=True):
+        g, rest = _responses(apart.copy(), tension), z - base @ plane
+        force = np.linalg.lstsq(g, rest, rcond=1e-13)[0] if len(x) < 3 else _solved(g, rest)
+        rows = known.rows(x, y, tension) if known else None
+        own = even @ plane
+        if rows is not None:
+            own = own + (force @ rows).reshape(gx.shape)
+        for k in range(0, len(x) if rows is None else 0, 256):
+            part = slice(k, k + 256)
+            own = own + _responses(_squares(gx, gy, x[part], y[part], spacing), tension) @ force[part]
+        out.append(own)
     return out
 
 
-def _apart(gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray, tension: float, spacing: float) -> np.ndarray:
-    """green of all of (gx, gy) to all of (x, y), from squares of distances in place, as most of a field's time goes here."""
+def _squares(gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray, spacing: float) -> np.ndarray:
+    """Squares of the distances of all of (gx, gy) to all of (x, y), in units of the spacing."""
     r, v = np.subtract.outer(gx / spacing, x / spacing), np.subtract.outer(gy / spacing, y / spacing)
     r *= r
     v *= v
     r += v
+    return r
+
+
+def _responses(r: np.ndarray, tension: float) -> np.ndarray:
+    """green at distances with squares r, in place, as most of a field's time goes here."""
     if tension > 0:
         return green(np.sqrt(r, out=r), tension)
-    np.maximum(r, 1e-300, out=v)
+    v = np.maximum(r, 1e-300)
     np.log(v, out=v)
     v *= 0.5
     v -= 1
@@ -121,6 +139,33 @@ def _apart(gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray, tension
     return r
 
 
+class _Known:
+    """Responses of a grid's points to the places that a task has met, as fields of one network share its places; forgotten where they get too many."""
+
+    def __init__(self, gx: np.ndarray, gy: np.ndarray, spacing: float, size: int = 16_000_000):
+        self.gx, self.gy, self.spacing = gx.ravel(), gy.ravel(), spacing
+        self.most = size // (8 * gx.size)
+        self.at: dict[float, dict[tuple[float, float], int]] = {}
+        self.store: dict[float, np.ndarray] = {}
+
+    def rows(self, x: np.ndarray, y: np.ndarray, tension: float) -> np.ndarray | None:
+        """A row of the grid's responses for each of the places, which differ; None where they are too many to keep."""
+        if len(x) > self.most:
+            return None
+        at = self.at.setdefault(tension, {})
+        store = self.store.setdefault(tension, np.empty((self.most, self.gx.size)))
+        keys = list(zip(x.tolist(), y.tolist(), strict=True))
+        new = [k for k in keys if k not in at]
+        if len(at) + len(new) > self.most:
+            at.clear()
+            new = keys
+        if new:
+            nx, ny = np.array(new).T
+            store[len(at) : len(at) + len(new)] = _responses(_squares(nx, ny, self.gx, self.gy, self.spacing), tension)
+            at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
+        return store[[at[k] for k in keys]]
+
+
 def inverted(gx: np.ndarray, gy: np.ndarray, tension: float, spacing: float) -> np.ndarray:
     """The inverse of green of all points of a grid to each other."""
     x, y = gx.ravel(), gy.ravel()
@@ -290,16 +335,16 @@ def beside(reason: np.ndarray, mark: np.ndarray, code: int) -> np.ndarray:
     return np.where((reason == 0) & (p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]), code, reason)
 
 
-def field(x: np.ndarray, y: np.ndarray, z: np.ndarray, source: tuple[float, float], period: float, gx: np.ndarray, gy: np.ndarray, step: float, rules: Rules, inverse: Callable[[float], np.ndarray] | None = None) -> dict[str, np.ndarray]:
+def field(x: np.ndarray, y: np.ndarray, z: np.ndarray, source: tuple[float, float], period: float, gx: np.ndarray, gy: np.ndarray, step: float, rules: Rules, inverse: Callable[[float], np.ndarray] | None = None, known: _Known | None = None, also: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """t, velocity, angle, deflection, reason and curvature on a grid, of times z at (x, y) from a source.
 
     Reasons, the first that holds: 1 surfaces of tension 0 and 0.2 through the points whose curvature is under `smooth` differ by over `difference`; 2 lonely; 4 beside a point
     without time; 3 slowness out of bounds; 5 nearer to the source than `wavelengths` of 3.5 km/s; and before all 6, curvature. angle is that of
     propagation from north, deflection its difference from the direction away from the source (0 where 5 holds). inverse gives inverted()
-    at a tension, where a grid has many fields.
+    at a tension and known its responses, where a grid has many fields. also are other values at the points, whose surface of tension 0.2 is given as `also`.
     """
     inverse = inverse or (lambda tension: inverted(gx, gy, tension, step))
-    t = tension_surface(x, y, z, gx, gy, 0.0, step)
+    t, *other = tension_surfaces(x, y, [z] if also is None else [z, also], gx, gy, [0.0] if also is None else [0.0, 0.2], step, known)
     curved = laplacian(t, step)
     even = np.abs(curved) < rules.smooth
     reason = np.zeros(t.shape, int) if even.any() else np.ones(t.shape, int)
@@ -319,7 +364,7 @@ def field(x: np.ndarray, y: np.ndarray, z: np.ndarray, source: tuple[float, floa
     deflection = np.where(near, 0.0, deflection)
     reason = np.where(near, 5, reason)
     reason = np.where(np.abs(curved) > rules.curvature, 6, reason)
-    return {"t": t, "velocity": np.where(slow > 0, 1 / np.maximum(slow, 1e-12), 0), "angle": angle, "deflection": deflection, "reason": reason, "curvature": curved}
+    return {"t": t, "velocity": np.where(slow > 0, 1 / np.maximum(slow, 1e-12), 0), "angle": angle, "deflection": deflection, "reason": reason, "curvature": curved, **{"also": o for o in other}}
 
 
 _FIELD = "period double, event long, x double, y double, t double, velocity double, angle double, deflection double, reason int, kept int, corrected int"
@@ -347,6 +392,11 @@ def _by_field(points: DataFrame, run, schema: str, parts: int | None) -> DataFra
     return points.select("*", part).repartition(min(parts, max(96, parts // 50)), "_part").groupBy("_part").applyInPandas(group, schema)
 
 
+@lru_cache(maxsize=1)
+def _known(grid: tuple[float, float, float, int, int]) -> _Known:
+    return _Known(*_grid(grid)[:2], grid[2])
+
+
 def _grid(grid: tuple[float, float, float, int, int]) -> tuple[np.ndarray, np.ndarray, Callable[[float], np.ndarray]]:
     """Positions of a grid's points, and the inverse of their responses to each other, kept by the task."""
     x0, y0, step, nx, ny = grid
@@ -373,7 +423,7 @@ def travel_fields(points: DataFrame, grid: tuple[float, float, float, int, int],
         times, kept = without_skips(x, y, np.hypot(x - source[0], y - source[1]), t, period)
         if kept.sum() < least:
             return None
-        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, grid[2], rules, inverse)
+        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, grid[2], rules, inverse, _known(grid))
         own = {c: f[c].ravel() for c in ("t", "velocity", "angle", "deflection", "reason")}
         return {"period": period, "event": p["event"][0], "x": gx.ravel(), "y": gy.ravel(), **own, "kept": int(kept.sum()), "corrected": int((kept & (np.abs(times - t) > 1e-9)).sum())}
 
@@ -397,9 +447,8 @@ def corrected_fields(points: DataFrame, grid: tuple[float, float, float, int, in
         times, kept = without_skips(x, y, np.hypot(x - source[0], y - source[1]), t, period)
         if kept.sum() < least:
             return None
-        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, step, rules, inverse)
-        amplitude = tension_surface(x[kept], y[kept], a[kept], gx, gy, 0.2, step)
-        v, bad = helmholtz(np.where(f["velocity"] > 0, f["velocity"], 3.0), amplitude, period, step, step)
+        f = field(x[kept], y[kept], times[kept], source, period, gx, gy, step, rules, inverse, _known(grid), a[kept])
+        v, bad = helmholtz(np.where(f["velocity"] > 0, f["velocity"], 3.0), f["also"], period, step, step)
         reason = np.where(f["reason"] == 0, bad, f["reason"])
         return {"period": period, "event": p["event"][0], "x": gx.ravel(), "y": gy.ravel(), "apparent": f["velocity"].ravel(), "velocity": v.ravel(), "reason": reason.ravel()}
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from strataspark.operators import travel
 from strataspark.operators import travel
 from strataspark.operators.travel import Rules, field, green, grown, k0, laplacian, lonely, tension_surface, without_skips
 
@@ -223,3 +224,26 @@ def test_corrected_fields_share_a_task(spark):
     grid = (0.0, 0.0, 100.0, 10, 10)
     f, one = (travel.corrected_fields(p, grid, Rules(smooth=0.001), parts=n) for n in (2, 500))
     assert f.count() == 1200 and f.rdd.getNumPartitions() == 2 and f.exceptAll(one).count() == 0
+
+
+def test_fields_of_one_network_share_the_grids_responses(monkeypatch):
+    x, y = stations(40)
+    gx, gy = np.meshgrid(50.0 * np.arange(8), 50.0 * np.arange(6))
+    rng = np.random.default_rng(3)
+    made = []
+    responses = travel._responses
+    monkeypatch.setattr(travel, "_responses", lambda r, tension: made.append(r.shape) or responses(r, tension))
+    for room in (100, 30, 5):
+        known = travel._Known(gx, gy, 50.0, 8 * 48 * room)
+        made.clear()
+        for _ in range(12):
+            at = rng.permutation(40)[:30]
+            zs = [np.sin(x[at] / 90), rng.normal(size=30)]
+            both = travel.tension_surfaces(x[at], y[at], zs, gx, gy, [0.0, 0.2], 50.0, known)
+            n = len(made)
+            for got, z, tension in zip(both, zs, (0.0, 0.2), strict=True):
+                assert np.allclose(got, tension_surface(x[at], y[at], z, gx, gy, tension, 50.0), atol=1e-9)
+            del made[n:]
+        # all 40 places are met in a few fields where there is room for them, and none is kept twice
+        on_grid = [s for s in made if s != (30, 30)]
+        assert sum(s[0] for s in on_grid) == 80 if room == 100 else len(on_grid) >= 12
