@@ -43,8 +43,13 @@ def love_velocity(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.nd
     return out
 
 
-def prior_ok(vs: np.ndarray, crust: int, most: float = 4.9, crust_most: float = 4.3, mantle: tuple[float, float] = (4.0, 4.6)) -> bool:
-    """Velocity rises through the crust and at its base, nothing is above most, the last crustal layer and the mantle's top are in bounds."""
+def prior_ok(vs: np.ndarray, crust: int, most: float = 4.9, crust_most: float = 4.3, mantle: tuple[float, float] = (4.0, 4.6)):
+    """Velocity rises through the crust and at its base, nothing is above most, the last crustal layer and the mantle's top are in bounds.
+
+    vs has a velocity a layer, or (layers, models) of them, for which there is an answer a model.
+    """
+    if getattr(vs, "ndim", 1) == 2:
+        return (vs[:crust] < vs[1 : crust + 1]).all(axis=0) & (vs <= most).all(axis=0) & (vs[crust - 1] <= crust_most) & (mantle[0] <= vs[crust]) & (vs[crust] <= mantle[1])
     v = vs if isinstance(vs, list) else np.asarray(vs).tolist()  # plain numbers are faster than arrays of a few
     return all(a < b for a, b in zip(v[:crust], v[1 : crust + 1], strict=True)) and all(a <= most for a in v) and v[crust - 1] <= crust_most and mantle[0] <= v[crust] <= mantle[1]
 
@@ -167,15 +172,110 @@ def _love_scanned(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, periods: np.nd
     return np.where(any_ & (high > low)[:, None], a - fa * (b - a) / step, np.nan)
 
 
+def turned(h: np.ndarray, z: np.ndarray, mu: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The angle of displacement and traction at the surface (see reached) for squared wave numbers k2, and where it got to 0 below the first layer.
+
+    h and mu have a row a layer, z the squares of frequency over velocity, for velocities that rise with depth and a wave faster than the first layer's. The angle grows with
+    the wave's velocity and is 0 at the lowest root; where it got to 0 before, it means nothing. Below it is between -90 degrees and 0, so its tangent is enough.
+    """
+    over = np.zeros(k2.shape, bool)
+    # minus the tangent, times the layer's m
+    y = mu[-1] * np.sqrt(np.maximum(k2 - z[-1], 1e-18))
+    for n in range(len(z) - 2, -1, -1):
+        q2 = z[n] - k2
+        q = np.sqrt(np.abs(q2)) + 1e-12
+        qh, m = q * h[n], mu[n] * q
+        y = y / m
+        if n == 0:
+            return qh - np.arctan(y), over
+        real = q2 >= 0
+        # tan, or minus tanh
+        t = np.where(real, np.tan(qh), 2 / (np.exp(2 * np.minimum(qh, 50)) + 1) - 1)
+        y1 = (y - t) / (1 + np.where(real, y, -y) * t)
+        over |= real & ((y1 <= 0) | (qh >= np.pi / 2))
+        y = y1 * m
+
+
+class LoveRoots:
+    """love_velocities of chains that go in step: from its last root and slope each chain's next roots are found by secants, a few looks each.
+
+    Called with h and vs (models, layers), rows in the same order each time. Where secants don't end or velocities don't rise with depth, love_velocities
+    is asked. A chain's roots don't depend on which chains go with it.
+    """
+
+    def __init__(self, rho: np.ndarray, periods: np.ndarray, looks: int = 15, close: float = 1e-7):
+        self.rho, self.periods, self.looks, self.close = rho, periods, looks, close
+        self.c = self.slope = None
+
+    def __call__(self, h: np.ndarray, vs: np.ndarray) -> np.ndarray:
+        w, h_, v = (2 * np.pi / self.periods)[:, None], np.ascontiguousarray(h.T), np.ascontiguousarray(vs.T)
+        mu, z = self.rho[:, None] * v**2, (w / v[:, None]) ** 2
+        with np.errstate(all="ignore"):
+            if self.c is None:
+                self.c = love_velocities(h, vs, self.rho, self.periods).T
+                f, g = (turned(h_, z, mu, (w / x) ** 2)[0] for x in (self.c, self.c - 1e-5))
+                self.slope = (f - g) / 1e-5
+                return self.c.T
+            low, high = np.broadcast_to(v[:-1].min(axis=0) + 1e-6, self.c.shape), np.broadcast_to(v[-1] - 1e-9, self.c.shape)
+            root = np.minimum(np.maximum(self.c, low), high)
+            slope, a, fa, off = np.where(self.slope > 0, self.slope, 1.0), root, 0.0, True
+            left, own, model, b, s = np.ones(root.shape, bool), None, (h_, z, mu, w), root, slope
+            for k in range(self.looks):
+                h_, z, mu, w = model
+                fb, over = turned(h_, z, mu, (w / b) ** 2)
+                # the root lies between low and high
+                above = over | (fb > 0)
+                low, high = np.where(above, low, b), np.where(above, b, high)
+                moved = np.abs(b - a)
+                s = np.where(off | over | (moved < 1e-9), s, (fb - fa) / (b - a))
+                y = b - fb / s
+                y = np.where((y >= low) & (y <= high) & ~over, y, (low + high) / 2)
+                # a secant's error is about the product of both before
+                go = over | ~(np.abs(y - b) * np.maximum(moved, 1e-4) < self.close) if k else True
+                if own is None:
+                    root, slope = np.where(left, y, root), np.where(left, s, slope)
+                    left &= go
+                    a, fa, b, s, off = b, fb, root, slope, over
+                    # all three times, then those that are left
+                    if k == 2:
+                        own = i, j = np.nonzero(left)
+                        model = h_[:, j], z[:, i, j], mu[:, j], w[i, 0]
+                        low, high, a, fa, b, s, off = (x[own] for x in (low, high, a, fa, b, s, off))
+                else:
+                    root[own], slope[own] = y, s
+                    own = own[0][go], own[1][go]
+                    model = h_[:, go], z[:, go], mu[:, go], w[go]
+                    low, high, a, fa, b, s, off = (x[go] for x in (low, high, b, fb, y, s, over))
+                if own is not None and not len(own[0]):
+                    break
+            again = ~(np.isfinite(root) & (slope > 0)).all(axis=0) | ~(vs[:, 1:] > vs[:, :-1]).all(axis=1)
+            again[own[1]] = True
+        if again.any():
+            root[:, again] = love_velocities(h[again], vs[again], self.rho, self.periods).T
+        self.c, self.slope = root, slope
+        return root.T
+
+
+#: Steps whose normal numbers a chain draws at once.
+DRAWN = 128
+
+
 def sample_chains(seeds: list[int], steps: int, start: np.ndarray, sigma: np.ndarray, low: np.ndarray, high: np.ndarray, forward, observed: np.ndarray, spread: np.ndarray, valid) -> np.ndarray:
     """Metropolis chains that go in step, one for each seed: an array of chains by steps of accepted (1 or -1), misfit, likelihood and parameters.
 
     Gaussian steps within bounds are redrawn until valid, 5000 times at most, then drawn evenly within the bounds; better
     models are taken, worse ones by the ratio of likelihoods. start and observed have a row a chain; forward takes the models
-    of all chains. A chain's numbers come from its own seed, so they don't depend on which chains go with it.
+    of all chains, valid takes (parameters, models). A chain's numbers come from its own seed, so they don't depend on which chains go with it.
     """
+    n, size = len(seeds), start.shape[1]
     rngs = [np.random.default_rng(s) for s in seeds]
-    now, out = start.copy(), np.empty((len(seeds), steps, 3 + start.shape[1]))
+    others = [np.random.default_rng([s, 2]) for s in seeds]
+    # a number for every step, taken or not, so that each step uses up alike
+    chances = np.stack([rng.random(steps) for rng in others])
+    ahead, place = np.empty((n, DRAWN, size)), np.full(n, DRAWN)
+    low, high = np.asarray(low, float), np.asarray(high, float)
+    now, out = start.copy(), np.empty((n, steps, 3 + size))
+    every = np.arange(n)
 
     def judged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(invalid="ignore"):
@@ -184,33 +284,41 @@ def sample_chains(seeds: list[int], steps: int, start: np.ndarray, sigma: np.nda
         s = np.where(bad, 0, s)
         return np.where(bad, 9999.0, np.sqrt(s / observed.shape[1])), np.where(bad, 0.0, np.exp(-0.5 * np.where(s <= 50, s, np.sqrt(50 * s))))
 
+    def drawn() -> np.ndarray:
+        new, left = None, every
+        for _ in range(5000):
+            at = place[left]
+            if at.max() == DRAWN:
+                for i in left[at == DRAWN]:
+                    ahead[i], place[i] = rngs[i].standard_normal((DRAWN, size)), 0
+                at = place[left]
+            x = now[left] + sigma * ahead[left, at]
+            place[left] = at + 1
+            bad = np.flatnonzero(~(((x >= low) & (x <= high)).all(axis=1) & valid(x.T)))
+            if new is None:
+                new = x
+            else:
+                new[left] = x
+            if not len(bad):
+                return new
+            left = left[bad]
+        for i in left:
+            new[i] = others[i].uniform(low, high)
+        return new
+
     misfit, like = judged(now)
-    out[:, 0] = np.column_stack([np.ones(len(seeds)), misfit, like, now])
-    # plain numbers are faster than arrays of a few; the random numbers are those of rng.normal(0, sigma)
-    spans = list(zip(np.asarray(sigma, float).tolist(), np.asarray(low, float).tolist(), np.asarray(high, float).tolist(), strict=True))
+    out[:, 0] = np.column_stack([np.ones(n), misfit, like, now])
     for k in range(1, steps):
-        new = now.tolist()
-        for i, rng in enumerate(rngs):
-            at = new[i]
-            for _ in range(5000):
-                x = [a + s * z for a, (s, _l, _h), z in zip(at, spans, rng.standard_normal(len(at)).tolist(), strict=True)]
-                if all(b <= v <= e for v, (_s, b, e) in zip(x, spans, strict=True)) and valid(x):
-                    break
-            else:
-                x = rng.uniform(low, high).tolist()
-            new[i] = x
-        new = np.array(new)
+        new = drawn()
         m, lk = judged(new)
-        # a number is drawn for every step, taken or not, so that each step uses up alike
-        chance = np.array([rng.random() for rng in rngs])
-        taken = (lk >= like) | (chance < lk / np.where(like > 0, like, 1)) | (like <= 0)
-        out[:, k] = np.column_stack([np.where(taken, 1, -1), m, lk, new])
+        taken = (lk >= like) | (chances[:, k] < lk / np.where(like > 0, like, 1)) | (like <= 0)
+        out[:, k, 0], out[:, k, 1], out[:, k, 2], out[:, k, 3:] = np.where(taken, 1, -1), m, lk, new
         now, like = np.where(taken[:, None], new, now), np.where(taken, lk, like)
     return out
 
 
 #: Chains that go in step.
-TOGETHER = 256
+TOGETHER = 512
 
 
 def run_chains(tasks: DataFrame, steps: int, periods: tuple[float, ...]) -> DataFrame:
@@ -222,7 +330,6 @@ def run_chains(tasks: DataFrame, steps: int, periods: tuple[float, ...]) -> Data
     t = np.array(periods)
     base, sigma, low, high = np.array([15.0, 3.0, 3.6, 4.4]), np.array([0.8, 0.05, 0.05, 0.05]), np.array([5.0, 2.2, 3.0, 4.0]), np.array([30.0, 3.6, 4.2, 4.6])
     rho = np.array([2.6, 2.8, 3.3])
-    forward = lambda p: love_velocities(np.column_stack([p[:, 0], np.full(len(p), 20.0), np.zeros(len(p))]), p[:, 1:], rho, t)
     valid = lambda p: prior_ok(p[1:], 2)
 
     def begin(seed: int, chain: int) -> np.ndarray:
@@ -238,9 +345,13 @@ def run_chains(tasks: DataFrame, steps: int, periods: tuple[float, ...]) -> Data
                 part = b.iloc[at : at + TOGETHER]
                 seeds = [int(g) * 1000 + int(c) for g, c in zip(part["grid"], part["chain"], strict=True)]
                 start = np.stack([begin(s, int(c)) for s, c in zip(seeds, part["chain"], strict=True)])
+                roots = LoveRoots(rho, t)
+                forward = lambda p, roots=roots: roots(np.column_stack([p[:, 0], np.full(len(p), 20.0), np.zeros(len(p))]), p[:, 1:])
                 out = sample_chains(seeds, steps, start, sigma, low, high, forward, np.stack(part["curve"].to_list()), np.full(len(t), 0.05), valid)
-                flat = out.reshape(-1, out.shape[2])
-                yield pd.DataFrame({"grid": np.repeat(part["grid"].to_numpy(), steps), "chain": np.repeat(part["chain"].to_numpy(), steps), "step": np.tile(np.arange(steps), len(part)), "accepted": flat[:, 0].astype(int), "misfit": flat[:, 1], "likelihood": flat[:, 2], **{f"p{k}": flat[:, 3 + k] for k in range(4)}})
+                # some chains at a time, as columns of all would hold the samples once more
+                for k in range(0, len(part), 64):
+                    flat, keys = out[k : k + 64].reshape(-1, out.shape[2]), part.iloc[k : k + 64]
+                    yield pd.DataFrame({"grid": np.repeat(keys["grid"].to_numpy(), steps), "chain": np.repeat(keys["chain"].to_numpy(), steps), "step": np.tile(np.arange(steps), len(keys)), "accepted": flat[:, 0].astype(int), "misfit": flat[:, 1], "likelihood": flat[:, 2], **{f"p{k}": flat[:, 3 + k] for k in range(4)}})
 
     # a number of parts of its own, since small tables of heavy rows would end up in one
     return tasks.repartition(max(1, -(-tasks.count() // TOGETHER)), "grid", "chain").mapInPandas(run, "grid long, chain long, step long, accepted int, misfit double, likelihood double, p0 double, p1 double, p2 double, p3 double")
